@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from docloom.llm import quality
+from docloom.llm import quality, tokencount
 from docloom.llm.runtime import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,8 +17,12 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.run(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.run(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def queries() -> dict[str, Query]:
-    return {"op1_quality": op1_quality}
+    return {"op1_quality": op1_quality, "op2_token_counts": op2_token_counts}
 
 
 def oracle_sql() -> dict[str, str]:

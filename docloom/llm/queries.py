@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from docloom.llm import quality, tokencount
+from docloom.llm import decontam, mixing, quality, simhash, tokencount
 from docloom.llm.runtime import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,9 +21,27 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.run(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.run(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.run(read_table(spark, sf_dir, "documents"))
+
+
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.run(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {"op1_quality": op1_quality, "op2_token_counts": op2_token_counts}
+    return {
+        "op1_quality": op1_quality,
+        "op2_token_counts": op2_token_counts,
+        "op6_decontamination": op6_decontamination,
+        "op7_mixing": op7_mixing,
+        "op8_simhash": op8_simhash,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_mixing": mixing.SQL}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from docloom.llm import decontam, mixing, quality, simhash, tokencount
+from docloom.llm import decontam, embeddings, linedup, mixing, quality, simhash, tokencount
 from docloom.llm.runtime import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +21,10 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.run(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linedup.run(read_table(spark, sf_dir, "documents"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.run(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
@@ -33,15 +37,21 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.run(read_table(spark, sf_dir, "documents"))
 
 
+def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.run(read_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_quality": op1_quality,
         "op2_token_counts": op2_token_counts,
+        "op3_line_dedup": op3_line_dedup,
         "op6_decontamination": op6_decontamination,
         "op7_mixing": op7_mixing,
         "op8_simhash": op8_simhash,
+        "op10_embeddings": op10_embeddings,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_mixing": mixing.SQL}
+    return {"op3_line_dedup": linedup.SQL, "op7_mixing": mixing.SQL}

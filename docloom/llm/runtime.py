@@ -13,16 +13,21 @@ from pyspark.sql import types as T
 from docloom.functions.session import importable
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in the shared folder.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share.
 
-    ``spark.checkpoint.dir`` of the session names the folder; a temporary one
-    is set only where the session has none, as in tests on one machine.
+    ``spark.checkpoint.dir`` of the session names it; a temporary one is set
+    only where the session has none, as in tests on one machine.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="docloom-checkpoint-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cut lineage with a reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -50,16 +55,18 @@ def add_columns(
     """
     names = {f.name for f in fields}
     kept = [c for c in (df.columns if keep is None else keep) if c not in names]
-    # The text travels under a name of its own, so a clash cannot lose it.
-    inner = df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text_col}`").alias("__text"))
-    schema = T.StructType([*inner.schema.fields[:-1], *fields])
-    arrow_names = [f.name for f in schema.fields]
+    passed = [F.col(f"`{c}`") for c in kept]
+    # A text that isn't kept, or is replaced, travels last, under a name of its own.
+    own = text_col not in kept
+    inner = df.select(*passed, *[F.col(f"`{text_col}`").alias("__text")] * own)
+    at = len(kept) if own else kept.index(text_col)
+    schema = T.StructType([*inner.schema.fields[: len(kept)], *fields])
+    arrow_names, n_kept = [f.name for f in schema.fields], len(kept)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                out = compute(batch.column(batch.num_columns - 1))
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *out], names=arrow_names)
+                yield pa.RecordBatch.from_arrays([*batch.columns[:n_kept], *compute(batch.column(at))], names=arrow_names)
 
     importable(df.sparkSession)
     return inner.mapInArrow(run, schema)

@@ -215,6 +215,10 @@ LABELLED = np.array(
         (40, 0, 30, 0, 5, 0, 0, 1, 0, 1, 0),
         (60, 0, 9, 0, 20, 0, 0, 1, 0, 1, 0),
         # stray blocks outside the article
+        (30, 0, 14, 0, 22, 0, 0, 0, 0, 1, 0),
+        (50, 0, 30, 0, 2, 0, 0, 0, 0, 1, 0),
+        (9, 0, 22, 0, 0, 0, 0, 0, 0, 1, 0),
+        (70, 0.1, 3, 1, 25, 0, 0, 0, 0, 1, 0),
         (6, 0, 1, 1, 12, 0, 0, 0, 0, 1, 0),
         (25, 0, 10, 0, 0, 0, 0, 0, 0, 1, 0),
         (3, 1, 40, 0, 2, 1, 0, 0, 0, 1, 0),
@@ -229,6 +233,19 @@ LABELLED = np.array(
         (7, 0, 35, 0, 50, 0, 0, 0, 1, 0, 1),
         (8, 0, 2, 1, 55, 0, 0, 0, 1, 0, 1),
         (12, 0, 40, 0, 0, 0, 0, 0, 0, 0, 1),
+        (3, 0, 30, 0, 25, 0, 0, 0, 1, 0, 1),
+        (2, 0, 1, 1, 40, 0, 0, 0, 1, 0, 1),
+        (3, 0, 12, 0, 24, 0, 0, 0, 1, 0, 1),
+        (25, 0, 30, 0, 12, 0, 0, 0, 0, 0, 1),
+        (30, 0, 22, 0, 3, 0, 0, 0, 0, 0, 1),
+        (20, 0, 40, 0, 2, 1, 0, 0, 0, 0, 1),
+        (45, 0, 4, 1, 2, 0, 0, 0, 0, 0, 1),
+        (16, 0.1, 25, 0, 14, 0, 0, 0, 0, 0, 1),
+        (70, 0.2, 1, 1, 1, 1, 0, 0, 0, 0, 1),
+        (22, 0, 0, 0, 0, 0, 0, 0, 0, 0, 1),
+        (2, 0, 3, 1, 3, 1, 0, 0, 0, 0, 0),
+        (6, 1, 4, 1, 5, 1, 0, 0, 0, 0, 0),
+        (4, 0, 25, 0, 0, 0, 0, 0, 0, 0, 0),
         (3, 1, 2, 1, 2, 1, 0, 0, 0, 0, 0),
         (2, 1, 0, 0, 3, 1, 0, 0, 0, 0, 0),
         (20, 0.9, 4, 1, 5, 1, 0, 0, 0, 0, 0),

@@ -8,7 +8,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from docloom.llm import decontam, embeddings, htmlextract, linedup, mixing, quality, simhash, tokencount
+from docloom.llm import decontam, embeddings, htmlextract, linedup, mixing, quality, secrets, simhash, tokencount
 from docloom.llm.runtime import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -42,6 +42,10 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.run(read_table(spark, sf_dir, "documents"))
 
 
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.run(read_table(spark, sf_dir, "documents"))
+
+
 def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.run(read_table(spark, sf_dir, "embeddings"))
 
@@ -56,6 +60,7 @@ def queries() -> dict[str, Query]:
         "op6_decontamination": op6_decontamination,
         "op7_mixing": op7_mixing,
         "op8_simhash": op8_simhash,
+        "op9_secrets": op9_secrets,
         "op10_embeddings": op10_embeddings,
     }
 

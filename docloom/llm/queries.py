@@ -8,7 +8,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from docloom.llm import decontam, embeddings, htmlextract, linedup, mixing, quality, secrets, simhash, tokencount
+from docloom.llm import decontam, embeddings, htmlextract, linedup, mixing, quality, secrets, simhash, substring, tokencount
 from docloom.llm.runtime import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +26,10 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linedup.run(read_table(spark, sf_dir, "documents"))
 
 
+def op4_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.run(read_table(spark, sf_dir, "documents"))
+
+
 def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmlextract.run(read_table(spark, sf_dir, "pages"))
 
@@ -56,6 +60,7 @@ def queries() -> dict[str, Query]:
         "op1_quality": op1_quality,
         "op2_token_counts": op2_token_counts,
         "op3_line_dedup": op3_line_dedup,
+        "op4_repeated_substrings": op4_repeated_substrings,
         "op5_html_text": op5_html_text,
         "op6_decontamination": op6_decontamination,
         "op7_mixing": op7_mixing,

@@ -1,15 +1,606 @@
-"""Queries of the engine's own operators and their SQL."""
+"""Queries of the engine's own operators, each with its SQL where SQL can say it.
+
+Texts are analysed by the ``simple`` analyzer here, which SQL can express; the
+``english`` one is held against SQLite's tokenizer in the tests.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from docloom.functions import text as tx
+from docloom.functions import urls
+from docloom.operators import catalog, chunks, graph, search
+from docloom.operators import index as ix
+from docloom.operators.query import Stage
+from docloom.plans import fixtures as fx
+from docloom.sources import crawl, html
+from docloom.streaming import ingest
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def _query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _QUERIES[name] = f
+        if sql is not None:
+            _SQL[name] = sql
+        return f
 
+    return add
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as pages."""
+    return fx.frame(spark, sf_dir, fx.PAGES).withColumn("title", F.substring_index(F.col("body"), "\n", 1))
+
+
+def _entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fx.frame(spark, sf_dir, fx.ENTITIES)
+
+
+_WITH_PAGES = f"p AS (SELECT *, split_part(body, chr(10), 1) AS title FROM ({fx.PAGES}))"
+_WITH_GRAPH = f"e AS ({fx.ENTITIES}), q AS ({fx.PARAMS}), c AS ({fx.CANDIDATES}), g AS ({fx.EDGES})"
+_TOKENS = "regexp_extract_all(lower(coalesce({0}, '')), '[\\p{{L}}\\p{{N}}]+')"
+
+# --- search ------------------------------------------------------------------------
+
+_TERMS = ("the", "thing", "erthat")
+_COUNT = "len(list_filter(t, lambda x: x = '{0}'))"
+
+
+def _bm25_sql(terms: tuple[str, ...], where: str = "TRUE", top: int = 20) -> str:
+    """BM25 of an OR of terms over the page bodies."""
+    f = [_COUNT.format(t) for t in terms]
+    parts = " + ".join(
+        f"CASE WHEN ln((n - n{i} + 0.5) / (n{i} + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - n{i} + 0.5) / (n{i} + 0.5)) END * (f{i} * 2.2 / (f{i} + 1.2 * (0.25 + 0.75 * d / mean)))"
+        for i in range(len(terms))
+    )
+    return f"""
+WITH {_WITH_PAGES}, t AS (SELECT url, source_base, {_TOKENS.format('body')} AS t FROM p),
+f AS (SELECT url, source_base, len(t) AS d, {', '.join(f'{x} AS f{i}' for i, x in enumerate(f))} FROM t),
+s AS (SELECT count(*)::DOUBLE AS n, avg(d) AS mean, {', '.join(f'sum(CASE WHEN f{i} > 0 THEN 1 ELSE 0 END)::DOUBLE AS n{i}' for i in range(len(terms)))} FROM f),
+r AS (SELECT url, -({parts}) AS rank FROM f, s WHERE ({' OR '.join(f'f{i} > 0' for i in range(len(terms)))}) AND {where})
+SELECT url, round(rank, 6) AS rank FROM (SELECT * FROM r ORDER BY rank, url LIMIT {top})
+"""
+
+
+def _bm25(pages: DataFrame, scope: DataFrame | None = None) -> DataFrame:
+    plan = ix.Plan.of([Stage((), _TERMS)], "simple")
+    hits = ix.match(*ix.scan(pages, ["url"], ["body"], plan), plan, scope)
+    return hits.orderBy("rank", "url").limit(20).select("url", F.round("rank", 6).alias("rank"))
+
+
+@_query("search_bm25", _bm25_sql(_TERMS))
+def search_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _bm25(_pages(spark, sf_dir))
+
+
+@_query("search_postings", _bm25_sql(_TERMS))
+def search_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from a built index."""
+    index = ix.build(_pages(spark, sf_dir), ["url"], ["body"], "simple")
+    plan = ix.Plan.of([Stage((), _TERMS)], "simple")
+    hits = ix.match(*ix.look_up(index, plan), plan)
+    return hits.orderBy("rank", "url").limit(20).select("url", F.round("rank", 6).alias("rank"))
+
+
+_ROOT = "https://docs.example/src3/"
+
+
+@_query("search_scoped", _bm25_sql(_TERMS, f"source_base = '{_ROOT}'"))
+def search_scoped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _pages(spark, sf_dir)
+    return _bm25(pages, pages.where(F.col("source_base") == _ROOT).select("url"))
+
+
+def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as pages, turns as their chunks."""
+    return fx.frame(spark, sf_dir, "SELECT CAST(conv_id AS STRING) AS url, CAST(turn AS INT) AS ord, role AS title, text AS chunk FROM conversations")
+
+
+_TURN_SQL = f"""
+t AS (SELECT conv_id::VARCHAR AS url, turn::INT AS ord, text, {_TOKENS.format('role')} AS a, {_TOKENS.format('text')} AS b FROM conversations),
+f AS (SELECT url, ord, text, len(a) + len(b) AS d, {_COUNT.format('the').replace('filter(t', 'filter(b')} AS f0, {_COUNT.format('user').replace('filter(t', 'filter(a')} AS f1 FROM t),
+s AS (SELECT count(*)::DOUBLE AS n, avg(d) AS mean, sum((f0 > 0)::INT)::DOUBLE AS n0, sum((f1 > 0)::INT)::DOUBLE AS n1 FROM f),
+k AS (SELECT url, ord, text, f0, f1, d, n, mean, CASE WHEN ln((n - n0 + 0.5) / (n0 + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - n0 + 0.5) / (n0 + 0.5)) END AS i0,
+      CASE WHEN ln((n - n1 + 0.5) / (n1 + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - n1 + 0.5) / (n1 + 0.5)) END AS i1 FROM f, s),
+r AS (SELECT url, ord, text, f0, f1, -(i0 * f0 * 2.2 / (f0 + 1.2 * (0.25 + 0.75 * d / mean)) + i1 * f1 * 2.2 / (f1 + 1.2 * (0.25 + 0.75 * d / mean))) AS rank FROM k)
+"""
+_TURN_STAGE = Stage(("the", "user"))
+
+
+@_query(
+    "search_dedupe_url",
+    f"""WITH {_TURN_SQL}, o AS (SELECT * FROM r WHERE f0 > 0 AND f1 > 0 ORDER BY rank, url, ord LIMIT 200),
+x AS (SELECT *, row_number() OVER (PARTITION BY url ORDER BY rank, ord) AS k FROM o)
+SELECT url, ord, round(rank, 9) AS rank FROM x WHERE k = 1 ORDER BY rank, url LIMIT 15""",
+)
+def search_dedupe_url(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best turn of each conversation, over two columns, after the cap."""
+    plan = ix.Plan.of([_TURN_STAGE], "simple")
+    hits = ix.match(*ix.scan(_turns(spark, sf_dir), ["url", "ord"], ["title", "chunk"], plan), plan)
+    return search.one_per_page(hits, 15, search.over_fetch(5)).select("url", "ord", F.round("rank", 9).alias("rank"))
+
+
+@_query(
+    "search_in_page",
+    f"WITH {_TURN_SQL} SELECT url, ord, round(rank, 9) AS rank FROM r WHERE (f0 > 0 OR f1 > 0) AND url = '1'",
+)
+def search_in_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _turns(spark, sf_dir)
+    plan = ix.Plan.of([Stage((), _TURN_STAGE.every)], "simple")
+    scope = turns.where("url = '1'").select("url").distinct()
+    hits = ix.match(*ix.scan(turns, ["url", "ord"], ["title", "chunk"], plan), plan, scope)
+    return hits.orderBy("rank", "ord").select("url", "ord", F.round("rank", 9).alias("rank"))
+
+
+@_query(
+    "search_staged",
+    f"""WITH {_WITH_PAGES}, t AS (SELECT url, {_TOKENS.format('body')} AS t FROM p),
+f AS (SELECT url, list_contains(t, 'zzabsent') AS f0, list_contains(t, 'erthat') AS f1, list_contains(t, 'thing') AS f2 FROM t),
+g AS (SELECT url, CASE WHEN f0 AND f1 AND f2 THEN 1 WHEN f1 AND f2 THEN 2 WHEN f1 OR f2 THEN 3 END AS stage FROM f)
+SELECT url, stage::INT AS stage FROM g WHERE stage = (SELECT min(stage) FROM g)""",
+)
+def search_staged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages of the first stage that has a hit."""
+    plan = ix.Plan.of([Stage(("zzabsent", "erthat", "thing")), Stage(("erthat", "thing")), Stage((), ("erthat", "thing"))], "simple")
+    return ix.match(*ix.scan(_pages(spark, sf_dir), ["url"], ["body"], plan), plan).select("url", "stage")
+
+
+@_query(
+    "phrase_match",
+    f"""WITH {_WITH_PAGES}, t AS (SELECT url, {_TOKENS.format('body')} AS t FROM p)
+SELECT url, len(list_filter(range(1, len(t)), lambda i: t[i] = 'of' AND t[i + 1] = 'the'))::INT AS n FROM t
+WHERE len(list_filter(range(1, len(t)), lambda i: t[i] = 'of' AND t[i + 1] = 'the')) > 0""",
+)
+def phrase_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan = ix.Plan.of([Stage(("of the",))], "simple")
+    hits, _, _ = ix.scan(_pages(spark, sf_dir), ["url"], ["body"], plan)
+    return hits.select("url", F.col("f_0").alias("n"))
+
+
+@_query(
+    "column_scoped_match",
+    f"""WITH {_WITH_PAGES}, t AS (SELECT url, {_TOKENS.format('title')} AS a, {_TOKENS.format('body')} AS b FROM p),
+f AS (SELECT url, len(a) + len(b) AS d, len(list_filter(a, lambda x: x = 'thing')) AS f FROM t),
+s AS (SELECT count(*)::DOUBLE AS n, avg(d) AS mean, sum((f > 0)::INT)::DOUBLE AS m FROM f)
+SELECT url, round(-(CASE WHEN ln((n - m + 0.5) / (m + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - m + 0.5) / (m + 0.5)) END) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * d / mean)), 6) AS rank
+FROM f, s WHERE f > 0""",
+)
+def column_scoped_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Only titles match; the length is that of both columns."""
+    plan = ix.Plan.of([Stage(("thing",))], "simple")
+    hits = ix.match(*ix.scan(_pages(spark, sf_dir), ["url"], ["title", "body"], plan, only=["title"]), plan)
+    return hits.select("url", F.round("rank", 6).alias("rank"))
+
+
+@_query(
+    "corpus_stats",
+    f"WITH {_WITH_PAGES}, t AS (SELECT len({_TOKENS.format('body')}) AS d FROM p) SELECT count(*) AS n, sum(d)::BIGINT AS tokens, round(avg(d), 6) AS mean FROM t",
+)
+def corpus_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = ix.build(_pages(spark, sf_dir), ["url"], ["body"], "simple")
+    return index.lengths.agg(F.count("*").alias("n"), F.sum("length").alias("tokens"), F.round(F.avg("length"), 6).alias("mean"))
+
+
+@_query(
+    "document_frequency",
+    f"""WITH {_WITH_PAGES}, t AS (SELECT url, unnest({_TOKENS.format('body')}) AS term FROM p)
+SELECT term, count(DISTINCT url) AS pages, count(*) AS occurrences FROM t GROUP BY term""",
+)
+def document_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = ix.build(_pages(spark, sf_dir), ["url"], ["body"], "simple")
+    return index.postings.groupBy("term").agg(F.count("*").alias("pages"), F.sum(F.size("positions")).alias("occurrences"))
+
+
+@_query(
+    "best_snippet_line",
+    f"""WITH {_WITH_PAGES}, l AS (SELECT url, string_split(body, chr(10)) AS rows FROM p), x AS (SELECT url, unnest(rows) AS line, unnest(range(0, len(rows))) AS i FROM l),
+k AS (SELECT url, line, i, (contains(lower(line), 'erthat')::INT + contains(lower(line), 'thing')::INT) AS score FROM x WHERE trim(line) <> ''),
+o AS (SELECT *, row_number() OVER (PARTITION BY url ORDER BY score DESC, length(trim(line)) DESC, i) AS n FROM k)
+SELECT url, substr(trim(line), 1, 800) AS line, i::INT AS "offset" FROM o WHERE n = 1""",
+)
+def best_snippet_line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pages(spark, sf_dir).select("url", search.best_line(F.col("body"), "erthat thing").alias("b")).select("url", "b.line", "b.offset")
+
+
+@_query("search_pages")
+def search_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole search: chunks, stages, cap, one hit for each page, line."""
+    pages = _pages(spark, sf_dir)
+    return search.search(None, chunks.chunk(pages), pages, "erthat thing nothing documentation", 20)
+
+
+# --- pages ---------------------------------------------------------------------------
+
+
+@_query("list_sources", f"WITH {_WITH_PAGES} SELECT source_base, count(*) AS page_count, max(fetched_at) AS last_fetched_at FROM p GROUP BY source_base")
+def list_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog.list_sources(_pages(spark, sf_dir))
+
+
+@_query("list_pages", f"WITH {_WITH_PAGES} SELECT url, title, source_base, fetched_at FROM p WHERE contains(url, '1.html') ORDER BY url LIMIT 50 OFFSET 10")
+def list_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog.list_pages(_pages(spark, sf_dir), url_contains="1.html", limit=50, offset=10)
+
+
+@_query("page_count_filtered", f"WITH {_WITH_PAGES} SELECT count(*) AS total FROM p WHERE contains(url, '7.html')")
+def page_count_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog.count_pages(_pages(spark, sf_dir), url_contains="7.html")
+
+
+@_query("get_page", f"WITH {_WITH_PAGES} SELECT url, title, body, fetched_at FROM p WHERE url = '{_ROOT}3.html'")
+def get_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog.get_page(_pages(spark, sf_dir), f"{_ROOT}3.html").select("url", "title", "body", "fetched_at")
+
+
+@_query(
+    "fetch_slice",
+    f"""WITH {_WITH_PAGES}, l AS (SELECT url, string_split(body, chr(10)) AS r FROM p)
+SELECT url, array_to_string(r[3:8], chr(10)) AS text, 3 AS "start", least(8, len(r))::INT AS "end" FROM l""",
+)
+def fetch_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pages(spark, sf_dir).select("url", tx.line_slice(F.col("body"), 3, 8).alias("p")).select("url", "p.*")
+
+
+@_query("chunk_pages")
+def chunk_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunks.chunk(_pages(spark, sf_dir)).select("url", "ord", "line_start", "line_end", F.length("chunk").alias("size"))
+
+
+@_query(
+    "paragraph_spans",
+    f"""WITH {_WITH_PAGES}, l AS (SELECT url, string_split(replace(body, '. ', chr(10) || chr(10)), chr(10)) AS r FROM p),
+x AS (SELECT url, unnest(r) AS line, unnest(range(1, len(r) + 1)) AS i FROM l),
+y AS (SELECT url, i, i - row_number() OVER (PARTITION BY url ORDER BY i) AS island FROM x WHERE trim(line) <> '')
+SELECT url, min(i)::INT AS line_start, max(i)::INT AS line_end FROM y GROUP BY url, island""",
+)
+def paragraph_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paragraphs, set-wise: islands of lines that aren't blank."""
+    body = F.replace(F.col("body"), F.lit(". "), F.lit("\n\n"))
+    rows = _pages(spark, sf_dir).select("url", tx.lines(body).alias("r"))
+    edge = lambda at: F.element_at(F.col("r"), at) == ""
+    n = F.size("r")
+    blank = lambda i: tx.strip(F.element_at(F.col("r"), i)) == ""
+    every = F.sequence(F.lit(1), n)
+    first = F.filter(every, lambda i: ~blank(i) & ((i == 1) | F.when(i > 1, blank(F.greatest(i - 1, F.lit(1))))))
+    last = F.filter(every, lambda i: ~blank(i) & ((i == n) | F.when(i < n, blank(F.least(i + 1, n)))))
+    return rows.select("url", F.inline(F.arrays_zip(first.alias("line_start"), last.alias("line_end"))))
+
+
+# --- URLs, links, crawl ------------------------------------------------------------------
+
+
+@_query(
+    "canonical_urls",
+    """SELECT page_id, regexp_replace(regexp_replace(url, '#.*$', ''), '^(https?://[^/?]+)$', '\\1/') AS url FROM pages""",
+)
+def canonical_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", urls.canonical(F.col("url")).alias("url"))
+
+
+@_query(
+    "doc_roots",
+    """WITH u AS (SELECT page_id, regexp_extract(url, '^(https?://[^/?#]+)', 1) AS o, regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1) AS path FROM pages)
+SELECT page_id, o || CASE WHEN path = '' THEN '/' WHEN path LIKE '%/' THEN path WHEN contains(regexp_extract(path, '[^/]*$'), '.') THEN regexp_replace(path, '[^/]*$', '')
+ELSE path || '/' END AS root FROM u""",
+)
+def doc_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", urls.doc_root(F.col("url")).alias("root"))
+
+
+@_query("page_links", """SELECT page_id, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS href, FROM pages""")
+def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crawl.page_links(spark.read.parquet(f"{sf_dir}/pages.parquet")).select("page_id", "href")
+
+
+@_query(
+    "same_site_links",
+    """WITH l AS (SELECT page_id, regexp_extract(url, '^(https?://[^/?#]+)', 1) AS o, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS href FROM pages)
+SELECT page_id, o || href AS link FROM l WHERE NOT regexp_matches(lower(href), '\\.(pdf|zip|tar|gz|png|jpg|jpeg|gif|svg|ico|woff|woff2|ttf|eot|mp4|webm|js|css)$')""",
+)
+def same_site_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of each page to pages of its own site."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return crawl.same_site_links(pages, urls.origin(F.col("url")), F.lit("/")).select("page_id", "link")
+
+
+@_query(
+    "bfs_frontier",
+    f"""WITH RECURSIVE l AS ({fx.LINKS}), b AS (SELECT 0::BIGINT AS page, 0 AS depth UNION SELECT l.target, b.depth + 1 FROM b JOIN l ON l.page = b.page WHERE b.depth < 6)
+SELECT page, min(depth)::INT AS depth FROM b GROUP BY page""",
+)
+def bfs_frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages by the depth at which a breadth-first crawl meets them."""
+    return crawl.frontier(fx.frame(spark, sf_dir, fx.LINKS), 0, max_depth=6).select("page", "depth")
+
+
+@_query("sitemap_locations")
+def sitemap_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Page URLs written as a sitemap of 50 each, and read again."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.floor(F.col("page_id") / 50).alias("no"), F.replace("url", F.lit("&"), F.lit("&amp;")).alias("url"))
+    maps = pages.groupBy("no").agg(F.concat(F.lit("<urlset xmlns='http://www.sitemaps.org/schemas/sitemap/0.9'>"), F.array_join(F.transform(F.sort_array(F.collect_list("url")), lambda u: F.concat(F.lit("<url><loc>"), u, F.lit("</loc></url>"))), ""), F.lit("</urlset>")).alias("xml"))
+    return crawl.sitemap_locations(maps, "xml").select("no", "loc", "nested")
+
+
+@_query("render_pages")
+def render_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.parse(spark.read.parquet(f"{sf_dir}/pages.parquet")).select("url", "title", F.length("body").alias("n_chars"))
+
+
+@_query("page_titles", "SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title FROM pages")
+def page_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"))
+
+
+# --- entities ----------------------------------------------------------------------------------
+
+
+@_query(
+    "symbol_lookup_tiers",
+    f"""WITH {_WITH_GRAPH}, w AS (SELECT DISTINCT n_name AS symbol FROM nation UNION SELECT r_name FROM region UNION SELECT 'supply.' || s_name FROM supplier),
+m AS (SELECT w.symbol, e.entity_id, e.qualname, CASE WHEN e.qualname = w.symbol THEN 0 WHEN e.anchor = w.symbol THEN 1 ELSE 2 END AS tier
+      FROM w JOIN e ON e.qualname = w.symbol OR e.anchor = w.symbol OR e.name = w.symbol),
+o AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY tier, length(qualname), qualname, entity_id) AS k FROM m)
+SELECT symbol, tier::INT AS tier, qualname, entity_id FROM o WHERE k = 1""",
+)
+def symbol_lookup_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wanted = fx.frame(spark, sf_dir, "SELECT n_name AS symbol FROM nation UNION SELECT r_name FROM region UNION SELECT 'supply.' || s_name FROM supplier")
+    return catalog.lookup_symbols(_entities(spark, sf_dir), wanted.withColumn("source_base", F.lit("tpch"))).drop("source_base")
+
+
+@_query("class_shortest_match", f"WITH {_WITH_GRAPH} SELECT entity_id, qualname FROM e WHERE kind = 'class' AND (name = 'ASIA' OR qualname = 'ASIA') ORDER BY length(qualname), qualname, entity_id LIMIT 1")
+def class_shortest_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog.find_class(_entities(spark, sf_dir), "ASIA").select("entity_id", "qualname")
+
+
+@_query("class_methods", f"WITH {_WITH_GRAPH} SELECT entity_id, name, signature FROM e WHERE kind = 'method' AND parent_entity_id = (SELECT entity_id FROM e WHERE kind = 'class' AND name = 'EUROPE')")
+def class_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog.class_methods(_entities(spark, sf_dir), class_name="EUROPE").select("entity_id", "name", "signature")
+
+
+@_query(
+    "entity_detail",
+    f"""WITH {_WITH_GRAPH}, d AS (SELECT entity_id, count(*) AS n, string_agg(name, ',' ORDER BY ord) AS names FROM q GROUP BY entity_id)
+SELECT e.entity_id, coalesce(d.n, 0)::INT AS n_params, coalesce(d.names, '') AS names FROM e LEFT JOIN d ON d.entity_id = e.entity_id""",
+)
+def entity_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entities with their parameters in order."""
+    entities, params = _entities(spark, sf_dir), fx.frame(spark, sf_dir, fx.PARAMS)
+    notes = spark.createDataFrame([], "entity_id string, ord int, kind string, version string, text string")
+    full = catalog.entity_detail(entities, params, notes, methods=False)
+    return full.select("entity_id", F.size("params").alias("n_params"), F.array_join(F.transform("params", lambda p: p["name"]), ",").alias("names"))
+
+
+def _resolved_sql(refs: str) -> str:
+    """SQL of the three tiers for refs (entity_id, current, symbol, ...)."""
+    return f"""
+bq AS (SELECT source_base, qualname, max(entity_id) AS id FROM e WHERE qualname <> '' GROUP BY source_base, qualname),
+bn AS (SELECT source_base, name, min(entity_id) AS id FROM e WHERE qualname <> '' GROUP BY source_base, name HAVING count(*) = 1),
+w AS ({refs}),
+x AS (SELECT w.*, coalesce(bq.id, bn.id,
+        (SELECT arg_max(o.id, len(string_split(o.qualname, '.'))) FROM bq AS o WHERE NOT contains(w.symbol, '.') AND o.qualname LIKE '%.' || w.symbol
+           AND starts_with(w.current || '.', left(o.qualname, length(o.qualname) - length(w.symbol))) AND left(o.qualname, length(o.qualname) - length(w.symbol) - 1) <> w.current)) AS target
+      FROM w LEFT JOIN bq ON bq.qualname = w.symbol LEFT JOIN bn ON bn.name = w.symbol)
+"""
+
+
+_IGNORED = ", ".join(f"'{n}'" for n in tx.IGNORED_TYPES)
+_NAMES = "list_filter(list_distinct(regexp_extract_all({0}, '[A-Za-z_][A-Za-z0-9_.]*')), lambda n: NOT list_contains([" + _IGNORED + "], n) AND NOT list_contains([" + _IGNORED + "], regexp_replace(n, '^typing\\.', '')))"
+
+
+@_query(
+    "signature_returns",
+    f"""WITH {_WITH_GRAPH}, {_resolved_sql("SELECT entity_id, qualname AS current, unnest(" + _NAMES.format("regexp_extract(signature, '(?:->|→)\\s*(.+)$', 1)") + ") AS symbol FROM e")}
+SELECT entity_id AS from_entity_id, target AS to_entity_id FROM x WHERE target IS NOT NULL""",
+)
+def signature_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.returns(_entities(spark, sf_dir)).select("from_entity_id", "to_entity_id")
+
+
+@_query(
+    "inherits_from",
+    f"""WITH {_WITH_GRAPH}, {_resolved_sql("SELECT entity_id, qualname AS current, unnest(" + _NAMES.format("regexp_extract(signature, '^(?:class\\s+)?[A-Za-z_][A-Za-z0-9_.]*\\s*\\(([^)]*)\\)', 1)") + ") AS symbol FROM e WHERE kind = 'class'")}
+SELECT entity_id AS from_entity_id, target AS to_entity_id FROM x WHERE target IS NOT NULL""",
+)
+def inherits_from(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.inherits_from(_entities(spark, sf_dir)).select("from_entity_id", "to_entity_id")
+
+
+@_query(
+    "parameter_edges",
+    f"""WITH {_WITH_GRAPH}, {_resolved_sql("SELECT e.entity_id, e.qualname AS current, q.name AS param_name, q.type AS snippet, unnest(" + _NAMES.format("q.type") + ") AS symbol FROM e JOIN q ON q.entity_id = e.entity_id")}
+SELECT entity_id AS from_entity_id, target AS to_entity_id, param_name, snippet FROM x WHERE target IS NOT NULL""",
+)
+def parameter_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.accepts_parameter_type(_entities(spark, sf_dir), fx.frame(spark, sf_dir, fx.PARAMS)).select("from_entity_id", "to_entity_id", "param_name", "snippet")
+
+
+@_query("has_method", f"WITH {_WITH_GRAPH} SELECT parent_entity_id AS from_entity_id, entity_id AS to_entity_id, page_url FROM e WHERE kind = 'method' AND parent_entity_id IS NOT NULL")
+def has_method(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.has_method(_entities(spark, sf_dir)).select("from_entity_id", "to_entity_id", "page_url")
+
+
+@_query(
+    "resolve_types",
+    """WITH w AS (SELECT DISTINCT p_type AS t FROM part) SELECT t, array_to_string(list_filter(list_distinct(regexp_extract_all(t, '[A-Za-z_][A-Za-z0-9_.]*')), lambda n: n <> 'int'), ',') AS names FROM w""".replace("list_distinct(", "list_distinct("),
+)
+def resolve_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kinds = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_type").alias("t")).distinct()
+    return kinds.select("t", F.array_join(tx.type_names(F.col("t")), ",").alias("names"))
+
+
+# --- graph -----------------------------------------------------------------------------------------
+
+_MATCH = """e.source_base = c.source_base AND ((c.target_url = '' AND c.target_anchor <> '' AND e.anchor = c.target_anchor)
+ OR (c.target_url <> '' AND c.target_anchor <> '' AND e.page_url = c.target_url AND e.anchor = c.target_anchor)
+ OR (c.target_name <> '' AND e.qualname = c.target_name) OR (c.target_name <> '' AND e.name = c.target_name AND u.n = 1))"""
+_PAIRS = f"""u AS (SELECT name, count(*) AS n FROM e GROUP BY name),
+eu AS (SELECT e.*, u.n FROM e JOIN u ON u.name = e.name),
+m AS (SELECT DISTINCT c.cid, e.entity_id FROM c JOIN eu AS e ON {_MATCH.replace('u.n', 'e.n')}),
+lost AS (SELECT * FROM c WHERE cid NOT IN (SELECT cid FROM m))"""
+
+
+def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fx.frame(spark, sf_dir, fx.CANDIDATES)
+
+
+@_query("xref_resolve", f"WITH {_WITH_GRAPH}, {_PAIRS} SELECT cid, entity_id FROM m")
+def xref_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.resolved_pairs(_candidates(spark, sf_dir), _entities(spark, sf_dir))
+
+
+@_query("unresolved_xrefs", f"WITH {_WITH_GRAPH}, {_PAIRS} SELECT cid FROM lost")
+def unresolved_xrefs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.unresolved(_candidates(spark, sf_dir), _entities(spark, sf_dir)).select("cid")
+
+
+@_query(
+    "top_unresolved",
+    f"WITH {_WITH_GRAPH}, {_PAIRS} SELECT coalesce(nullif(target_anchor, ''), target_name, target_url) AS target, count(*) AS n FROM lost GROUP BY 1 ORDER BY n DESC, target LIMIT 20",
+)
+def top_unresolved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.top_unresolved(_candidates(spark, sf_dir), _entities(spark, sf_dir))
+
+
+def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fx.frame(spark, sf_dir, fx.EDGES)
+
+
+@_query("edge_histogram", f"WITH {_WITH_GRAPH} SELECT edge_type, count(*) AS n FROM g GROUP BY edge_type")
+def edge_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.histogram(_edges(spark, sf_dir), "edge_type")
+
+
+@_query("source_kind_histogram", f"WITH {_WITH_GRAPH} SELECT source_kind, count(*) AS n FROM g GROUP BY source_kind")
+def source_kind_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.histogram(_edges(spark, sf_dir), "source_kind")
+
+
+@_query(
+    "stale_edges",
+    f"WITH {_WITH_GRAPH} SELECT edge_no FROM g LEFT JOIN e AS a ON a.entity_id = from_entity_id LEFT JOIN e AS b ON b.entity_id = to_entity_id WHERE a.entity_id IS NULL OR b.entity_id IS NULL",
+)
+def stale_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.stale_edges(_edges(spark, sf_dir), _entities(spark, sf_dir)).select("edge_no")
+
+
+_EDGE_KEY = "from_entity_id, to_entity_id, edge_type, source_kind, param_name, page_url, line_start, line_end"
+
+
+@_query("edge_dedupe", f"WITH {_WITH_GRAPH} SELECT {_EDGE_KEY}, max(confidence) AS confidence FROM g GROUP BY ALL")
+def edge_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.unique_edges(_edges(spark, sf_dir).drop("edge_no")).select(*_EDGE_KEY.split(", "), "confidence")
+
+
+@_query(
+    "xref_dedupe",
+    f"WITH {_WITH_GRAPH} SELECT from_entity_id, edge_type, source_kind, target_url, target_anchor, target_name, snippet, max(confidence) AS confidence FROM c GROUP BY ALL",
+)
+def xref_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = graph.unique_candidates(_candidates(spark, sf_dir).drop("cid"))
+    return found.select("from_entity_id", "edge_type", "source_kind", "target_url", "target_anchor", "target_name", "snippet", "confidence")
+
+
+@_query(
+    "entity_edges",
+    f"WITH {_WITH_GRAPH} SELECT {_EDGE_KEY}, confidence FROM (SELECT {_EDGE_KEY}, max(confidence) AS confidence FROM g GROUP BY ALL) WHERE from_entity_id = 'n3' AND edge_type = 'references' "
+    "ORDER BY edge_type, source_kind, to_entity_id, from_entity_id, param_name, page_url, line_start LIMIT 50",
+)
+def entity_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = graph.unique_edges(_edges(spark, sf_dir).drop("edge_no"))
+    return graph.neighbours(edges, "n3", "out", "references").select(*_EDGE_KEY.split(", "), "confidence")
+
+
+_NEAR = """d AS (SELECT *, max(confidence) OVER (PARTITION BY from_entity_id, to_entity_id, edge_type, source_kind, page_url, line_start) AS best FROM g),
+k AS (SELECT DISTINCT from_entity_id, to_entity_id, edge_type, source_kind, page_url, line_start, best AS confidence FROM d),
+b AS (SELECT *, 'out' AS direction, 0 AS dn FROM k WHERE from_entity_id = '{0}' UNION ALL SELECT *, 'in', 1 FROM k WHERE to_entity_id = '{0}'),
+t AS (SELECT * FROM b ORDER BY dn, edge_type, source_kind, to_entity_id, from_entity_id, page_url, line_start LIMIT {1})"""
+
+
+@_query(
+    "related_symbols",
+    f"""WITH {_WITH_GRAPH}, {_NEAR.format('r2', 50)}
+SELECT t.direction, t.edge_type, t.source_kind, t.confidence, t.page_url AS source_page_url, t.line_start,
+CASE WHEN direction = 'in' AND edge_type = 'returns' THEN 'returned_by' WHEN direction = 'in' AND edge_type = 'has_method' THEN 'method_of' ELSE edge_type END AS relation_label,
+e.qualname AS target FROM t JOIN e ON e.entity_id = CASE t.direction WHEN 'out' THEN t.to_entity_id ELSE t.from_entity_id END""",
+)
+def related_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = graph.unique_edges(_edges(spark, sf_dir).drop("edge_no"))
+    found = graph.related(edges, _entities(spark, sf_dir), "r2")
+    return found.select("direction", "edge_type", "source_kind", "confidence", "source_page_url", "line_start", "relation_label", F.col("target.qualname").alias("target"))
+
+
+@_query(
+    "compact_related",
+    f"""WITH {_WITH_GRAPH}, {_NEAR.format('r1', 100)},
+s AS (SELECT t.*, x.qualname AS a, y.qualname AS z, row_number() OVER (ORDER BY CASE source_kind WHEN 'structure' THEN 0 WHEN 'xref' THEN 1 ELSE 2 END, confidence DESC,
+  length(CASE direction WHEN 'out' THEN to_entity_id ELSE from_entity_id END), edge_type, dn, source_kind, to_entity_id, from_entity_id, t.page_url, t.line_start) AS place
+  FROM t JOIN e AS x ON x.entity_id = from_entity_id JOIN e AS y ON y.entity_id = to_entity_id WHERE source_kind <> 'signature')
+SELECT direction, string_agg(a || ' ' || edge_type || ' ' || z, ';' ORDER BY place) AS relations FROM s WHERE place <= 30 GROUP BY direction""",
+)
+def compact_related(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = graph.unique_edges(_edges(spark, sf_dir).drop("edge_no"))
+    found = graph.compact_related(edges, _entities(spark, sf_dir), "r1")
+    return found.select("direction", F.array_join("relations", ";").alias("relations"))
+
+
+@_query(
+    "graph_stats",
+    f"""WITH {_WITH_GRAPH}, {_PAIRS} SELECT 'tpch' AS source_base, (SELECT count(*) FROM e) AS entities, (SELECT count(*) FROM lost) AS unresolved,
+(SELECT count(*) FROM g LEFT JOIN e AS a ON a.entity_id = from_entity_id LEFT JOIN e AS b ON b.entity_id = to_entity_id WHERE a.entity_id IS NULL OR b.entity_id IS NULL) AS stale_edges""",
+)
+def graph_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = graph.stats(_pages(spark, sf_dir), _entities(spark, sf_dir), _edges(spark, sf_dir).drop("edge_no"), _candidates(spark, sf_dir).drop("cid"), "tpch")
+    return found.select("source_base", "entities", "unresolved", "stale_edges")
+
+
+@_query("text_inference")
+def text_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Relations stated in turns of conversations."""
+    turns = _turns(spark, sf_dir)
+    said = F.concat(F.col("chunk"), F.lit(". It must be used with "), F.col("title"), F.lit("_x and is similar to Turn. See from_user_turn."))
+    entities = turns.select(F.concat_ws("#", "url", "ord").alias("entity_id"), F.lit("talk").alias("source_base"), F.col("url").alias("page_url"), F.lit(None).cast("int").alias("line_start"), F.lit(None).cast("int").alias("line_end"), said.alias("body_text"))
+    return graph.text_candidates(entities, spark.createDataFrame([], "entity_id string, text string"))
+
+
+# --- incremental --------------------------------------------------------------------------------------
+
+
+@_query(
+    "latest_wins_upsert",
+    "SELECT user_id, arg_max(event_type, event_id) AS event_type, arg_max(value, event_id) AS value, max(event_id) AS event_id FROM events GROUP BY user_id",
+)
+def latest_wins_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two batches of events, the second over the first; the last of each key stays."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "event_type", "value", "event_id")
+    half = events.agg(F.max("event_id")).first()[0] // 2
+    first, second = events.where(F.col("event_id") <= half), events.where(F.col("event_id") > half)
+    return ingest.merge(ingest.merge(None, first, ["user_id"], "event_id"), second, ["user_id"], "event_id")
+
+
+@_query("clear_source", f"WITH {_WITH_PAGES} SELECT url, fetched_at FROM p WHERE source_base <> '{_ROOT}'")
+def clear_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ingest.without_source(_pages(spark, sf_dir), _ROOT).select("url", "fetched_at")
+
+
+@_query("prune_incoming", f"WITH {_WITH_GRAPH} SELECT edge_no FROM g WHERE to_entity_id NOT IN ('r1', 'r4')")
+def prune_incoming(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges left when a page gives up two of its entities."""
+    entities = _entities(spark, sf_dir)
+    old, new = entities.where("entity_id in ('r1', 'r2', 'r4')"), entities.where("entity_id = 'r2'")
+    return ingest.prune_incoming(_edges(spark, sf_dir), old, new).select("edge_no")

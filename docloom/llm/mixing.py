@@ -21,6 +21,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docloom.llm.runtime import cut
+
 
 @dataclass(frozen=True)
 class Settings:
@@ -38,7 +40,8 @@ def rates(docs: DataFrame, source_col: str = "source", text_col: str = "text", s
     weight = F.lit(float(s.default_weight))
     for name, w in s.weights.items():
         weight = F.when(F.col("__source") == name, F.lit(float(w))).otherwise(weight)
-    sizes = sizes.where("size > 0").withColumn("weight", weight)
+    # A row for each source, used three times below.
+    sizes = cut(sizes.where("size > 0").withColumn("weight", weight))
     # One row of sums over the sources; joined to them as scalars.
     sums = sizes.agg(F.sum("weight").alias("w"), F.sum("size").alias("t")).first()
     rate = F.col("weight") / F.lit(float(sums.w or 1.0)) * F.lit(float(sums.t or 0)) / F.col("size")

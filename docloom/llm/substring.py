@@ -317,7 +317,8 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """(d, t, spans): for each document with repeated windows the byte intervals they cover, unmerged."""
     keyed = _doc_keys(docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")), id_col, text_col)
     found = anchors(keyed, text_col, s)
-    often = found.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    # Checkpointed, so that both sides of the join are plain exchanges and Spark can split a hot key.
+    often = cut(found.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
     settled, left = _settle(cut(found.join(often, "key")), s)
     out = settled
     rows = cut(_contexts(keyed, text_col, left, s))

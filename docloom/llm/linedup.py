@@ -69,9 +69,10 @@ def suffixes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s:
         F.xxhash64(line).alias("r"),
         (F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1 >= s.min_words).alias("long"),
     )
-    often = lines.groupBy("r").agg(F.count("*").alias("n")).where("n > 1").select("r")
+    # Checkpointed, so that both sides of the joins are plain exchanges and Spark can split a hot line.
+    often = cut(lines.groupBy("r").agg(F.count("*").alias("n")).where("n > 1").select("r"))
     repeated = cut(lines.join(often, "r"))
-    return cut(repeated.join(_intervals(repeated, ["r"]), "r").select("d", "tp", "r", "first", "long"))
+    return cut(repeated.join(cut(_intervals(repeated, ["r"])), "r").select("d", "tp", "r", "first", "long"))
 
 
 def _intervals(suffix: DataFrame, by: list[str]) -> DataFrame:

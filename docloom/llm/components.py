@@ -20,7 +20,8 @@ def _state(edges: DataFrame) -> tuple:
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("p").alias("v"), F.col("v").alias("p")))
-    least = both.groupBy("v").agg(F.min("p").alias("m")).select("v", F.least("v", "m").alias("m"))
+    # Checkpointed, so that both sides of the join are plain exchanges and Spark can split a hot vertex.
+    least = cut(both.groupBy("v").agg(F.min("p").alias("m")).select("v", F.least("v", "m").alias("m")))
     # Every larger neighbour of v points to the least id around v.
     return both.where(F.col("p") > F.col("v")).join(least, "v").select(F.col("p").alias("v"), F.col("m").alias("p"))
 

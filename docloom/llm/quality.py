@@ -50,6 +50,10 @@ class Settings:
     folds: int = 5
     threshold: float = 0.3
 
+    def __post_init__(self) -> None:
+        if not 1 <= self.buckets <= 1 << 16 or self.buckets & (self.buckets - 1):
+            raise ValueError("buckets must be a power of two up to 65536")
+
 
 def features(buf: np.ndarray, offs: np.ndarray, s: Settings) -> list[tuple[np.ndarray, np.ndarray]]:
     """(row, bucket) arrays by kind of feature, over a run of rows."""
@@ -85,7 +89,7 @@ def features(buf: np.ndarray, offs: np.ndarray, s: Settings) -> list[tuple[np.nd
 
 
 def _counts(col: pa.Array, s: Settings) -> pa.Array:
-    """Per row: its buckets and their counts, each as a list of ints in one list."""
+    """Per row: a list of its features, each the bucket in the upper and its count (at most 65535) in the lower 16 bits."""
     rows: list = []
     for _, _, buf, offs in tx.slices(col):
         n = len(offs) - 1
@@ -93,8 +97,8 @@ def _counts(col: pa.Array, s: Settings) -> pa.Array:
         key = np.concatenate([r * s.buckets + b for r, b in parts])
         key, cnt = np.unique(key, return_counts=True)
         cut = np.searchsorted(key, np.arange(n + 1) * s.buckets)
-        bucket = (key % s.buckets).astype(np.int32)
-        rows += [np.concatenate((bucket[a:b], cnt[a:b].astype(np.int32))) for a, b in zip(cut[:-1], cut[1:])]
+        packed = (((key % s.buckets) << 16) | np.minimum(cnt, 0xFFFF)).astype(np.uint32).view(np.int32)
+        rows += [packed[a:b] for a, b in zip(cut[:-1], cut[1:])]
     return pa.array(rows, pa.list_(pa.int32()))
 
 
@@ -118,7 +122,7 @@ class Model:
 
 
 def train(examples: list[tuple[np.ndarray, int]], s: Settings = Settings()) -> Model:
-    """Fit by stochastic gradient descent. An example: buckets then counts, and the label 0 or 1."""
+    """Fit by stochastic gradient descent. An example: packed features, and the label 0 or 1."""
     labels = np.array([y for _, y in examples], np.int64)
     if not len(labels) or labels.min() == labels.max():
         prior = (labels.sum() + 0.5) / (len(labels) + 1) if len(labels) else 0.5
@@ -126,8 +130,12 @@ def train(examples: list[tuple[np.ndarray, int]], s: Settings = Settings()) -> M
     rng = np.random.default_rng(s.seed)
     vec = rng.uniform(-1, 1, (s.buckets, s.dim)).astype(np.float32) / s.dim
     out, bias = np.zeros((2, s.dim), np.float32), np.zeros(2, np.float32)
-    split = [(x[: len(x) // 2], x[len(x) // 2 :].astype(np.float32)) for x, _ in examples]
-    split = [(b, c / max(1.0, float(c.sum()))) for b, c in split]
+
+    def unpacked(i: int) -> tuple[np.ndarray, np.ndarray]:
+        x = examples[i][0].view(np.uint32)
+        c = (x & np.uint32(0xFFFF)).astype(np.float32)
+        return x >> np.uint32(16), c / max(1.0, float(c.sum()))
+
     steps, done = s.epochs * ((len(labels) + s.batch - 1) // s.batch), 0
     for _ in range(s.epochs):
         order = rng.permutation(len(labels))
@@ -135,7 +143,8 @@ def train(examples: list[tuple[np.ndarray, int]], s: Settings = Settings()) -> M
             pick = order[at : at + s.batch]
             rate = s.rate * (1 - done / steps)
             done += 1
-            docs = np.stack([c @ vec[b] if len(b) else np.zeros(s.dim, np.float32) for b, c in (split[i] for i in pick)])
+            held = [unpacked(i) for i in pick]
+            docs = np.stack([c @ vec[b] for b, c in held])
             logit = docs @ out.T + bias
             p = np.exp(logit - logit.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
@@ -144,8 +153,7 @@ def train(examples: list[tuple[np.ndarray, int]], s: Settings = Settings()) -> M
             back = err @ out
             out -= rate * (err.T @ docs)
             bias -= rate * err.mean(0)
-            for k, i in enumerate(pick):
-                b, c = split[i]
+            for k, (b, c) in enumerate(held):
                 if len(b):  # normalised step: the document's mean moves by at most the rate
                     vec[b] -= np.float32(rate / float(c @ c) / max(1.0, float((out**2).sum()))) * c[:, None] * back[k]
     w = out[1] - out[0]

@@ -237,6 +237,7 @@ def run(table: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", s:
         least = roots.groupBy("p").agg(F.min(F.when(F.col("v") >= 0, F.col("v"))).alias("v"))
         # A component led by a class without ids takes its least id.
         roots = roots.join(least.withColumnRenamed("v", "real"), "p", "left").select(F.col("v").alias("key"), F.when(F.col("p") >= 0, F.col("p")).otherwise(F.col("real")).alias("root"))
+        roots = roots.unionByName(least.where("p < 0").select(F.col("p").alias("key"), F.col("v").alias("root")))
         joined = points.join(counts, "key", "left").join(roots, "key", "left")
         solved = joined.select("vec", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "rep").alias("component_id"))
     else:

@@ -92,9 +92,14 @@ def _swap(word: str, rules: list[tuple[str, str]]) -> str:
 
 @lru_cache(maxsize=200_000)
 def stem(word: str) -> str:
-    """Porter stem of a lower-case term; terms under three or over 64 bytes stay."""
-    if not 3 <= len(word.encode()) <= 64:
-        return word
+    """Porter stem of a lower-case term; terms under three or over 64 bytes stay. Letters are UTF-8 bytes."""
+    word = word.encode().decode("latin-1")
+    if 3 <= len(word) <= 64:
+        word = _stemmed(word)
+    return word.encode("latin-1").decode("utf-8", "ignore")
+
+
+def _stemmed(word: str) -> str:
     # Plurals and participles.
     if word.endswith(("sses", "ies")):
         word = word[:-2]

@@ -222,7 +222,7 @@ def best_snippet_line(spark: SparkSession, sf_dir: str) -> DataFrame:
 def search_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole search: chunks, stages, cap, one hit for each page, line."""
     pages = _pages(spark, sf_dir)
-    return search.search(None, chunks.chunk(pages), pages, "erthat thing nothing documentation", 20)
+    return search.search(None, chunks.chunk(pages), pages, "thing erthat nothing else matters here", 20)
 
 
 # --- pages ---------------------------------------------------------------------------

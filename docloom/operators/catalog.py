@@ -92,7 +92,7 @@ def search_entities(index: ix.Index, entities: DataFrame, query: str, limit: int
     if not plan.terms:
         return entities.limit(0).withColumn("rank", F.lit(0.0))
     narrowed = scope.select("entity_id") if scope is not entities else None
-    hits = ix.match(*ix.look_up(index, plan, SEARCHED), plan, narrowed)
+    hits = ix.match(ix.look_up(index, plan, SEARCHED), plan, narrowed)
     return hits.drop("stage").join(entities, "entity_id").orderBy("rank", "qualname", "entity_id").limit(limit)
 
 

@@ -7,6 +7,8 @@ by term, so that a query reads only its own terms.  Both give the same hits.
 
 from __future__ import annotations
 
+import math
+import re
 from dataclasses import dataclass
 from functools import reduce
 
@@ -70,6 +72,45 @@ class Plan:
         return sorted({t for p in self.phrases for t in p})
 
 
+@dataclass(frozen=True)
+class Hits:
+    """``rows``: keys, length and f_j, the frequency of phrase j.
+
+    ``total`` and ``mean`` (rows of the index, their mean length) are None if
+    ``rows`` are all rows of the index, so that they can be taken from them.
+    """
+
+    rows: DataFrame
+    total: float | None = None
+    mean: float | None = None
+
+
+_BEFORE = "(?<![\\p{L}\\p{N}\\p{Co}]\\p{M}{0,8}%s)"
+_AFTER = "(?![\\p{L}\\p{N}\\p{Co}\\p{M}])"
+_BETWEEN = "[^\\p{L}\\p{N}\\p{Co}]+"
+
+
+def _occurrences(text: Column, phrase: tuple[str, ...]) -> Column:
+    """Places in lower-case text where the phrase's tokens follow each other; overlapping ones count."""
+    if not phrase:
+        return F.lit(0)
+    # The first token is looked for as plain text, and what stands around it only where it is found.
+    first, ahead = re.escape(phrase[0]), "".join(f"{_BETWEEN}{re.escape(t)}" for t in phrase[1:])
+    pattern = first + _BEFORE % first + (f"(?={ahead}{_AFTER})" if ahead else _AFTER)
+    # A plain search for the terms is much cheaper than the pattern, and most rows fail it.
+    held = reduce(lambda a, b: a & b, [text.contains(t) for t in dict.fromkeys(phrase)])
+    return F.when(held, F.size(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))).otherwise(0)
+
+
+def scan(rows: DataFrame, keys: list[str], columns: list[str], plan: Plan, only: list[str] | None = None) -> Hits:
+    """Frequencies from the rows, by the simple analyzer. ``only``: columns that may match."""
+    add = lambda a, b: a + b
+    low = {c: F.lower(F.coalesce(F.col(c), F.lit(""))) for c in columns}
+    length = reduce(add, [F.size(analyze.tokens(F.col(c))) for c in columns]).cast("long")
+    counts = [reduce(add, [_occurrences(low[c], p) for c in columns if only is None or c in only]).alias(f"f_{j}") for j, p in enumerate(plan.phrases)]
+    return Hits(rows.select(*keys, length.alias("length"), *counts))
+
+
 def _frequency(phrase: tuple[str, ...], terms: list[str]) -> Column:
     """Occurrences of a phrase in a row of per-term positions ``at_i``; 0 for a phrase without terms."""
     if not phrase:
@@ -80,43 +121,19 @@ def _frequency(phrase: tuple[str, ...], terms: list[str]) -> Column:
     return F.size(F.filter(at[0], lambda p: reduce(lambda a, b: a & b, [F.array_contains(x, p + i) for i, x in enumerate(at[1:], 1)])))
 
 
-def _counted(hits: DataFrame, plan: Plan, keys: list[str]) -> DataFrame:
-    """Keys, length and f_j, the frequency of phrase j; rows with any phrase."""
-    out = hits.select(*keys, "length", *[_frequency(p, plan.terms).alias(f"f_{j}") for j, p in enumerate(plan.phrases)])
-    return out.where(reduce(lambda a, b: a | b, [F.col(f"f_{j}") > 0 for j in range(len(plan.phrases))]))
-
-
-def scan(rows: DataFrame, keys: list[str], columns: list[str], plan: Plan, only: list[str] | None = None) -> tuple[DataFrame, Column, Column]:
-    """(hits, number of rows, mean length) from the rows, by the simple analyzer. ``only``: columns that may match."""
-    listed = rows.select(*keys, *[analyze.tokens(F.col(c)).alias(f"tokens_{i}") for i, c in enumerate(columns)])
-    listed = listed.withColumn("length", reduce(lambda a, b: a + b, [F.size(f"tokens_{i}") for i in range(len(columns))]).cast("long"))
-    stats = listed.agg(F.count("*").alias("n"), F.avg("length").alias("mean")).first()
-
-    def places(term: str, number: int) -> Column:
-        placed = F.transform(F.col(f"tokens_{number}"), lambda t, k: F.when(t == term, k + number * COLUMN_STEP))
-        return F.filter(placed, lambda x: x.isNotNull())
-
-    def positions(term: str) -> Column:
-        return F.concat(*[places(term, i) for i, c in enumerate(columns) if only is None or c in only])
-
-    hits = listed.select(*keys, "length", *[positions(t).alias(f"at_{i}") for i, t in enumerate(plan.terms)])
-    return _counted(hits, plan, keys), F.lit(float(stats.n)), F.lit(stats.mean)
-
-
-def look_up(index: Index, plan: Plan, only: list[str] | None = None) -> tuple[DataFrame, Column, Column]:
-    """(hits, number of rows, mean length) from the postings of the query's terms."""
+def look_up(index: Index, plan: Plan, only: list[str] | None = None) -> Hits:
+    """Frequencies from the postings of the query's terms. ``only``: columns that may match."""
     keys = list(index.keys)
     stats = index.lengths.agg(F.count("*").alias("n"), F.avg("length").alias("mean")).first()
     found = index.postings.where(F.col("term").isin(plan.terms))
     if only is not None:
         bases = [i for i, c in enumerate(index.columns) if c in only]
-        allowed = lambda p: F.floor(p / COLUMN_STEP).isin(bases)
-        found = found.withColumn("positions", F.filter("positions", allowed))
+        found = found.withColumn("positions", F.filter("positions", lambda p: F.floor(p / COLUMN_STEP).isin(bases)))
     # At most one entry for each term of the query.
     merged = found.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("term", "positions"))).alias("at"))
     none = F.array().cast("array<int>")
     hits = merged.join(index.lengths, keys).select(*keys, "length", *[F.coalesce(F.col("at")[t], none).alias(f"at_{i}") for i, t in enumerate(plan.terms)])
-    return _counted(hits, plan, keys), F.lit(float(stats.n)), F.lit(stats.mean)
+    return Hits(hits.select(*keys, "length", *[_frequency(p, plan.terms).alias(f"f_{j}") for j, p in enumerate(plan.phrases)]), float(stats.n), stats.mean)
 
 
 def _flag(stage: tuple[tuple[int, ...], tuple[int, ...]]) -> Column:
@@ -126,27 +143,29 @@ def _flag(stage: tuple[tuple[int, ...], tuple[int, ...]]) -> Column:
     return reduce(lambda a, b: a & b, tests)
 
 
-def match(hits: DataFrame, total: Column, mean: Column, plan: Plan, scope: DataFrame | None = None) -> DataFrame:
+def match(hits: Hits, plan: Plan, scope: DataFrame | None = None) -> DataFrame:
     """Keys, rank (BM25, smaller is better) and stage of the rows that the first stage with a hit matches.
 
     Frequencies across the index weigh phrases whatever the scope, a table of
     keys that restricts the result.
     """
-    phrases = range(len(plan.phrases))
-    # One number for each phrase: rows that have it.
-    held = hits.agg(*[F.coalesce(F.sum((F.col(f"f_{j}") > 0).cast("long")), F.lit(0)).alias(f"n_{j}") for j in phrases]).first()
-    inside = hits if scope is None else hits.join(scope, [c for c in scope.columns], "left_semi")
-    first = inside.agg(*[F.max(_flag(s)).alias(f"s_{i}") for i, s in enumerate(plan.stages)]).first()
-    at = next((i for i in range(len(plan.stages)) if first[i]), None)
+    phrases, rows = range(len(plan.phrases)), hits.rows
+    flags = [F.max(_flag(s)).alias(f"s_{i}") for i, s in enumerate(plan.stages)]
+    # One row of numbers: of the index, of each phrase, and whether a stage has hits.
+    held = rows.agg(F.count("*").alias("n"), F.avg("length").alias("mean"), *[F.coalesce(F.sum((F.col(f"f_{j}") > 0).cast("long")), F.lit(0)).alias(f"n_{j}") for j in phrases], *flags).first()
+    inside = rows if scope is None else rows.join(scope, scope.columns, "left_semi")
+    first = held if scope is None else inside.agg(*flags).first()
+    at = next((i for i in range(len(plan.stages)) if first[f"s_{i}"]), None)
     if at is None:
         return inside.limit(0).withColumn("rank", F.lit(0.0)).withColumn("stage", F.lit(0)).drop("length", *[f"f_{j}" for j in phrases])
     every, some = plan.stages[at]
+    total, mean = (held.n, held.mean) if hits.total is None else (hits.total, hits.mean)
 
     def part(j: int) -> Column:
-        idf = F.log((total - held[j] + 0.5) / (F.lit(float(held[j])) + 0.5))
+        n = held[f"n_{j}"]
+        idf = math.log((total - n + 0.5) / (n + 0.5))
         f = F.col(f"f_{j}").cast("double")
-        weight = f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("length") / mean))
-        return F.when(idf <= 0, F.lit(1e-6)).otherwise(idf) * weight
+        return (idf if idf > 0 else 1e-6) * (f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("length") / F.lit(mean))))
 
     score = reduce(lambda a, b: a + b, [part(j) for j in (*every, *some)])
     out = inside.where(_flag(plan.stages[at])).withColumn("rank", -score).withColumn("stage", F.lit(at + 1))

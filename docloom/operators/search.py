@@ -33,11 +33,8 @@ def best_line(chunk: Column, query: str) -> Column:
     Lines are those of the stripped chunk, stripped; the offset counts from 0.
     """
     words = q.needles(query)
-    rows = tx.lines(tx.strip(chunk))
-    scored = F.transform(
-        rows,
-        lambda r, i: F.struct(_matches(r, words).alias("score"), F.length(tx.strip(r)).alias("size"), (-i).alias("before"), F.substring(tx.strip(r), 1, SNIPPET).alias("line")),
-    )
+    rows = F.transform(tx.lines(tx.strip(chunk)), tx.strip)
+    scored = F.transform(rows, lambda r, i: F.struct(_matches(r, words).alias("score"), F.length(r).alias("size"), (-i).alias("before"), F.substring(r, 1, SNIPPET).alias("line")))
     top = F.array_max(F.filter(scored, lambda s: s.size > 0))
     return F.struct(F.coalesce(top.line, F.lit("")).alias("line"), (-top.before).alias("offset"))
 
@@ -95,8 +92,8 @@ def ranked(index: ix.Index | None, chunks: DataFrame, pages: DataFrame, query: s
     plan = ix.Plan.of(found, index.analyzer if index else "simple")
     if not plan.terms:
         return empty
-    hits, n, mean = ix.look_up(index, plan) if index else ix.scan(chunks, ["url", "ord"], ["title", "chunk"], plan)
-    return ix.match(hits, n, mean, plan, _scope(pages, source_base, page))
+    hits = ix.look_up(index, plan) if index else ix.scan(chunks, ["url", "ord"], ["title", "chunk"], plan)
+    return ix.match(hits, plan, _scope(pages, source_base, page))
 
 
 def one_per_page(hits: DataFrame, limit: int, cap: int) -> DataFrame:

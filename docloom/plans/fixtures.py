@@ -6,6 +6,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from docloom.sources import tables
+
 #: Documents as pages of one root for each source.
 PAGES = """
 SELECT 'https://docs.example/' || source || '/' || doc_id || '.html' AS url, text AS body, 'https://docs.example/' || source || '/' AS source_base,
@@ -70,5 +72,5 @@ _NAMED = re.compile(rf"(?<=FROM |JOIN )({'|'.join(TABLES)})\b")
 
 def frame(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """The SQL over the Parquet tables it names, which are passed as parameters."""
-    found = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in set(_NAMED.findall(sql))}
+    found = {t: tables.read(spark, sf_dir, t) for t in set(_NAMED.findall(sql))}
     return spark.sql(_NAMED.sub(r"{\1}", sql), **found)

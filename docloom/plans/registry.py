@@ -17,7 +17,7 @@ from docloom.operators import catalog, chunks, graph, search
 from docloom.operators import index as ix
 from docloom.operators.query import Stage
 from docloom.plans import fixtures as fx
-from docloom.sources import crawl, html
+from docloom.sources import crawl, html, tables
 from docloom.streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -80,7 +80,7 @@ SELECT url, round(rank, 6) AS rank FROM (SELECT * FROM r ORDER BY rank, url LIMI
 
 def _bm25(pages: DataFrame, scope: DataFrame | None = None) -> DataFrame:
     plan = ix.Plan.of([Stage((), _TERMS)], "simple")
-    hits = ix.match(*ix.scan(pages, ["url"], ["body"], plan), plan, scope)
+    hits = ix.match(ix.scan(pages, ["url"], ["body"], plan), plan, scope)
     return hits.orderBy("rank", "url").limit(20).select("url", F.round("rank", 6).alias("rank"))
 
 
@@ -94,7 +94,7 @@ def search_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same from a built index."""
     index = ix.build(_pages(spark, sf_dir), ["url"], ["body"], "simple")
     plan = ix.Plan.of([Stage((), _TERMS)], "simple")
-    hits = ix.match(*ix.look_up(index, plan), plan)
+    hits = ix.match(ix.look_up(index, plan), plan)
     return hits.orderBy("rank", "url").limit(20).select("url", F.round("rank", 6).alias("rank"))
 
 
@@ -132,7 +132,7 @@ SELECT url, ord, round(rank, 9) AS rank FROM x WHERE k = 1 ORDER BY rank, url LI
 def search_dedupe_url(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best turn of each conversation, over two columns, after the cap."""
     plan = ix.Plan.of([_TURN_STAGE], "simple")
-    hits = ix.match(*ix.scan(_turns(spark, sf_dir), ["url", "ord"], ["title", "chunk"], plan), plan)
+    hits = ix.match(ix.scan(_turns(spark, sf_dir), ["url", "ord"], ["title", "chunk"], plan), plan)
     return search.one_per_page(hits, 15, search.over_fetch(5)).select("url", "ord", F.round("rank", 9).alias("rank"))
 
 
@@ -144,7 +144,7 @@ def search_in_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = _turns(spark, sf_dir)
     plan = ix.Plan.of([Stage((), _TURN_STAGE.every)], "simple")
     scope = turns.where("url = '1'").select("url").distinct()
-    hits = ix.match(*ix.scan(turns, ["url", "ord"], ["title", "chunk"], plan), plan, scope)
+    hits = ix.match(ix.scan(turns, ["url", "ord"], ["title", "chunk"], plan), plan, scope)
     return hits.orderBy("rank", "ord").select("url", "ord", F.round("rank", 9).alias("rank"))
 
 
@@ -158,7 +158,7 @@ SELECT url, stage::INT AS stage FROM g WHERE stage = (SELECT min(stage) FROM g)"
 def search_staged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages of the first stage that has a hit."""
     plan = ix.Plan.of([Stage(("zzabsent", "erthat", "thing")), Stage(("erthat", "thing")), Stage((), ("erthat", "thing"))], "simple")
-    return ix.match(*ix.scan(_pages(spark, sf_dir), ["url"], ["body"], plan), plan).select("url", "stage")
+    return ix.match(ix.scan(_pages(spark, sf_dir), ["url"], ["body"], plan), plan).select("url", "stage")
 
 
 @_query(
@@ -169,8 +169,7 @@ WHERE len(list_filter(range(1, len(t)), lambda i: t[i] = 'of' AND t[i + 1] = 'th
 )
 def phrase_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = ix.Plan.of([Stage(("of the",))], "simple")
-    hits, _, _ = ix.scan(_pages(spark, sf_dir), ["url"], ["body"], plan)
-    return hits.select("url", F.col("f_0").alias("n"))
+    return ix.scan(_pages(spark, sf_dir), ["url"], ["body"], plan).rows.where("f_0 > 0").select("url", F.col("f_0").alias("n"))
 
 
 @_query(
@@ -184,7 +183,7 @@ FROM f, s WHERE f > 0""",
 def column_scoped_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Only titles match; the length is that of both columns."""
     plan = ix.Plan.of([Stage(("thing",))], "simple")
-    hits = ix.match(*ix.scan(_pages(spark, sf_dir), ["url"], ["title", "body"], plan, only=["title"]), plan)
+    hits = ix.match(ix.scan(_pages(spark, sf_dir), ["url"], ["title", "body"], plan, only=["title"]), plan)
     return hits.select("url", F.round("rank", 6).alias("rank"))
 
 
@@ -290,7 +289,7 @@ def paragraph_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SELECT page_id, regexp_replace(regexp_replace(url, '#.*$', ''), '^(https?://[^/?]+)$', '\\1/') AS url FROM pages""",
 )
 def canonical_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", urls.canonical(F.col("url")).alias("url"))
+    return tables.read(spark, sf_dir, "pages").select("page_id", urls.canonical(F.col("url")).alias("url"))
 
 
 @_query(
@@ -300,12 +299,12 @@ SELECT page_id, o || CASE WHEN path = '' THEN '/' WHEN path LIKE '%/' THEN path
 ELSE path || '/' END AS root FROM u""",
 )
 def doc_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", urls.doc_root(F.col("url")).alias("root"))
+    return tables.read(spark, sf_dir, "pages").select("page_id", urls.doc_root(F.col("url")).alias("root"))
 
 
 @_query("page_links", """SELECT page_id, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS href, FROM pages""")
 def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return crawl.page_links(spark.read.parquet(f"{sf_dir}/pages.parquet")).select("page_id", "href")
+    return crawl.page_links(tables.read(spark, sf_dir, "pages")).select("page_id", "href")
 
 
 @_query(
@@ -315,7 +314,7 @@ SELECT page_id, o || href AS link FROM l WHERE NOT regexp_matches(lower(href), '
 )
 def same_site_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links of each page to pages of its own site."""
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    pages = tables.read(spark, sf_dir, "pages")
     return crawl.same_site_links(pages, urls.origin(F.col("url")), F.lit("/")).select("page_id", "link")
 
 
@@ -332,19 +331,19 @@ def bfs_frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("sitemap_locations")
 def sitemap_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Page URLs written as a sitemap of 50 each, and read again."""
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.floor(F.col("page_id") / 50).alias("no"), F.replace("url", F.lit("&"), F.lit("&amp;")).alias("url"))
+    pages = tables.read(spark, sf_dir, "pages").select(F.floor(F.col("page_id") / 50).alias("no"), F.replace("url", F.lit("&"), F.lit("&amp;")).alias("url"))
     maps = pages.groupBy("no").agg(F.concat(F.lit("<urlset xmlns='http://www.sitemaps.org/schemas/sitemap/0.9'>"), F.array_join(F.transform(F.sort_array(F.collect_list("url")), lambda u: F.concat(F.lit("<url><loc>"), u, F.lit("</loc></url>"))), ""), F.lit("</urlset>")).alias("xml"))
     return crawl.sitemap_locations(maps, "xml").select("no", "loc", "nested")
 
 
 @_query("render_pages")
 def render_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html.parse(spark.read.parquet(f"{sf_dir}/pages.parquet")).select("url", "title", F.length("body").alias("n_chars"))
+    return html.parse(tables.read(spark, sf_dir, "pages")).select("url", "title", F.length("body").alias("n_chars"))
 
 
 @_query("page_titles", "SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title FROM pages")
 def page_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"))
+    return tables.read(spark, sf_dir, "pages").select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"))
 
 
 # --- entities ----------------------------------------------------------------------------------
@@ -440,7 +439,7 @@ def has_method(spark: SparkSession, sf_dir: str) -> DataFrame:
     """WITH w AS (SELECT DISTINCT p_type AS t FROM part) SELECT t, array_to_string(list_filter(list_distinct(regexp_extract_all(t, '[A-Za-z_][A-Za-z0-9_.]*')), lambda n: n <> 'int'), ',') AS names FROM w""".replace("list_distinct(", "list_distinct("),
 )
 def resolve_types(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kinds = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_type").alias("t")).distinct()
+    kinds = tables.read(spark, sf_dir, "part").select(F.col("p_type").alias("t")).distinct()
     return kinds.select("t", F.array_join(tx.type_names(F.col("t")), ",").alias("names"))
 
 
@@ -587,7 +586,7 @@ def text_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def latest_wins_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two batches of events, the second over the first; the last of each key stays."""
-    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "event_type", "value", "event_id")
+    events = tables.read(spark, sf_dir, "events").select("user_id", "event_type", "value", "event_id")
     half = events.agg(F.max("event_id")).first()[0] // 2
     first, second = events.where(F.col("event_id") <= half), events.where(F.col("event_id") > half)
     return ingest.merge(ingest.merge(None, first, ["user_id"], "event_id"), second, ["user_id"], "event_id")

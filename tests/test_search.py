@@ -33,36 +33,36 @@ def fts():
 @pytest.mark.parametrize("match,stage", zip(MATCHES, STAGES))
 def test_ranks_equal_sqlite(index, fts, match, stage):
     plan = ix.Plan.of([stage], "english")
-    found = {r.u: r["rank"] for r in ix.match(*ix.look_up(index, plan), plan).collect()}
+    found = {r.u: r["rank"] for r in ix.match(ix.look_up(index, plan), plan).collect()}
     want = dict(fts.execute("select u, bm25(t) from t where t match ?", (match,)).fetchall())
     assert found == pytest.approx(want, rel=1e-9)
 
 
 def test_column_filter_equals_sqlite(index, fts):
     plan = ix.Plan.of([Stage(("photo",))], "english")
-    found = {r.u: r["rank"] for r in ix.match(*ix.look_up(index, plan, ["title"]), plan).collect()}
+    found = {r.u: r["rank"] for r in ix.match(ix.look_up(index, plan, ["title"]), plan).collect()}
     assert found == pytest.approx(dict(fts.execute("select u, bm25(t) from t where t match '{title} : \"photo\"'").fetchall()))
 
 
 def test_phrase_without_terms(index):
     plan = ix.Plan.of([Stage(("->", "photo")), Stage((), ("->", "photo"))], "english")
-    found = ix.match(*ix.look_up(index, plan), plan).collect()
+    found = ix.match(ix.look_up(index, plan), plan).collect()
     assert {r.stage for r in found} == {2} and len(found) == 4
 
 
 def test_scope_does_not_change_ranks(spark, index):
     plan = ix.Plan.of([Stage(("photo",))], "english")
     scope = spark.createDataFrame([("u2",)], "u string")
-    every = {r.u: r["rank"] for r in ix.match(*ix.look_up(index, plan), plan).collect()}
-    assert [(r.u, r["rank"]) for r in ix.match(*ix.look_up(index, plan), plan, scope).collect()] == [("u2", every["u2"])]
+    every = {r.u: r["rank"] for r in ix.match(ix.look_up(index, plan), plan).collect()}
+    assert [(r.u, r["rank"]) for r in ix.match(ix.look_up(index, plan), plan, scope).collect()] == [("u2", every["u2"])]
 
 
 def test_scan_and_postings_agree(spark):
     rows = spark.createDataFrame(ROWS, ["u", "title", "chunk"])
     simple = ix.build(rows, ["u"], ["title", "chunk"], "simple")
     plan = ix.Plan.of([Stage(("send photo",), ("photo", "guide"))], "simple")
-    a = ix.match(*ix.scan(rows, ["u"], ["title", "chunk"], plan), plan)
-    b = ix.match(*ix.look_up(simple, plan), plan)
+    a = ix.match(ix.scan(rows, ["u"], ["title", "chunk"], plan), plan)
+    b = ix.match(ix.look_up(simple, plan), plan)
     assert sorted(a.collect()) == sorted(b.collect()) and a.count() == 2
 
 

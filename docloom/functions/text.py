@@ -179,3 +179,8 @@ def notes_text(notes: Column) -> Column:
 def entity_body(body: Column, notes: Column) -> Column:
     """An entity's searchable body: its text, then its notes."""
     return F.concat_ws("\n\n", F.nullif(body, F.lit("")), F.nullif(notes_text(notes), F.lit("")))
+
+
+def json_list(raw: Column) -> Column:
+    """A JSON array's texts; the empty array for anything else."""
+    return F.coalesce(F.from_json(raw, "array<string>"), F.array().cast("array<string>"))

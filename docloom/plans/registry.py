@@ -443,6 +443,65 @@ def resolve_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kinds.select("t", F.array_join(tx.type_names(F.col("t")), ",").alias("names"))
 
 
+@_query("unique_names", f"WITH {_WITH_GRAPH} SELECT name AS key, min(entity_id) AS entity_id FROM e WHERE name <> '' AND qualname <> '' GROUP BY name HAVING count(*) = 1")
+def unique_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.unique_names(_entities(spark, sf_dir)).select("key", "entity_id")
+
+
+@_query("names_by_qualname", f"WITH {_WITH_GRAPH} SELECT qualname AS key, max(entity_id) AS entity_id FROM e WHERE qualname <> '' GROUP BY qualname")
+def names_by_qualname(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.names_by_qualname(_entities(spark, sf_dir)).select("key", "entity_id")
+
+
+@_query(
+    "relative_qualnames",
+    f"""WITH {_WITH_GRAPH}, x AS (SELECT entity_id, string_split(qualname, '.') AS p FROM e)
+SELECT entity_id, array_to_string(list_transform(range(len(p) - 1, 0, -1), lambda i: array_to_string(p[1:i], '.') || '.Target'), ',') AS names FROM x""",
+)
+def relative_qualnames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _entities(spark, sf_dir).select("entity_id", F.array_join(tx.relative_qualnames(F.col("qualname"), F.lit("Target")), ",").alias("names"))
+
+
+@_query(
+    "camel_names",
+    """SELECT p_partkey, array_to_string(list_transform(list_filter(string_split(replace(p_name, ' ', '_'), '_'), lambda x: x <> ''), lambda x: upper(x[1]) || lower(x[2:])), '') AS name FROM part""",
+)
+def camel_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.read(spark, sf_dir, "part").select("p_partkey", tx.camel(F.replace("p_name", F.lit(" "), F.lit("_"))).alias("name"))
+
+
+@_query(
+    "symbol_context",
+    f"""WITH {_WITH_PAGES}, l AS (SELECT url, string_split(body, chr(10)) AS r, 1 + fetched_at % 9 AS a FROM p)
+SELECT url, CASE WHEN greatest(1, a - 8) <= least(len(r), a + 18) AND array_to_string(r[greatest(1, a - 8):least(len(r), a + 18)], chr(10)) <> '' THEN array_to_string(r[greatest(1, a - 8):least(len(r), a + 18)], chr(10)) ELSE 'spare' END AS text FROM l""",
+)
+def symbol_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines around a symbol that stands somewhere in the first nine lines and is three long."""
+    first = (1 + F.col("fetched_at") % 9).cast("int")
+    return _pages(spark, sf_dir).select("url", tx.context(F.col("body"), first, first + 2, F.lit("spare")).alias("c")).select("url", "c.text")
+
+
+@_query(
+    "entity_search",
+    f"""WITH {_WITH_GRAPH}, t AS (SELECT entity_id, qualname, kind, list_concat({_TOKENS.format('name')}, {_TOKENS.format('qualname')}, {_TOKENS.format('signature')}, {_TOKENS.format('summary')}) AS t FROM e),
+f AS (SELECT entity_id, qualname, kind, len(t) AS d, len(list_filter(t, lambda x: x = 'asia')) AS f FROM t),
+s AS (SELECT count(*)::DOUBLE AS n, avg(d) AS mean, sum((f > 0)::INT)::DOUBLE AS m FROM f)
+SELECT entity_id, round(rank, 9) AS rank FROM (SELECT entity_id, qualname, -(ln((n - m + 0.5) / (m + 0.5)) * (f * 2.2 / (f + 1.2 * (0.25 + 0.75 * d / mean)))) AS rank
+FROM f, s WHERE f > 0 AND kind = 'method' ORDER BY rank, qualname, entity_id LIMIT 15)""",
+)
+def entity_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Methods by a word in name, qualified name, signature or summary."""
+    entities = _entities(spark, sf_dir)
+    notes = spark.createDataFrame([], "entity_id string, ord int, kind string, version string, text string")
+    index = catalog.entity_index(entities, notes, "simple")
+    return catalog.search_entities(index, entities, "asia", kind="method").select("entity_id", F.round("rank", 9).alias("rank"))
+
+
+@_query("edges_between", f"WITH {_WITH_GRAPH} SELECT edge_no FROM g WHERE from_entity_id = 'n4' AND to_entity_id = 'r3'")
+def edges_between(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.edges_between(_edges(spark, sf_dir), "n4", "r3").select("edge_no")
+
+
 # --- graph -----------------------------------------------------------------------------------------
 
 _MATCH = """e.source_base = c.source_base AND ((c.target_url = '' AND c.target_anchor <> '' AND e.anchor = c.target_anchor)

@@ -76,6 +76,11 @@ def test_items_and_notes(spark):
     assert notes.select(text.notes_text(F.col("n"))).first()[0] == "versionadded Added in version 1.2 x"
 
 
+def test_json_list(spark):
+    assert one(spark, '["a", "b"]', text.json_list) == ["a", "b"]
+    assert one(spark, "{broken", text.json_list) == one(spark, None, text.json_list) == []
+
+
 def test_context(spark):
     body = "\n".join(str(i) for i in range(1, 41))
     row = spark.createDataFrame([(body, 20, 20), (body, 2, 3), (body, None, None)], "b string, a int, z int").select(text.context(F.col("b"), F.col("a"), F.col("z"), F.lit("spare")).alias("c")).collect()

@@ -31,10 +31,10 @@ class Engine:
         return self.store.read(name)
 
     def _chunk_index(self) -> ix.Index:
-        return ix.build(self._t("chunks"), ["url", "ord"], ["title", "chunk"])
+        return ix.Index(self._t("chunk_postings"), self._t("chunk_lengths"), ("url", "ord"), ("title", "chunk"), "english")
 
     def _entity_index(self) -> ix.Index:
-        return catalog.entity_index(self._t("entities"), self._t("notes"))
+        return ix.Index(self._t("entity_postings"), self._t("entity_lengths"), ("entity_id",), (*catalog.SEARCHED, "body"), "english")
 
     # --- indexing ---
 

@@ -21,7 +21,13 @@ CANDIDATES = (
     "source_base string, page_url string, from_entity_id string, edge_type string, source_kind string, target_url string, target_anchor string, "
     "target_name string, snippet string, confidence double, line_start int, line_end int"
 )
-TABLES = {"pages": PAGES, "chunks": CHUNKS, "entities": ENTITIES, "params": PARAMS, "notes": NOTES, "edges": EDGES, "candidates": CANDIDATES}
+#: Full-text indexes of chunks and entities, laid out by term.
+CHUNK_POSTINGS = "term string, url string, ord int, positions array<int>"
+CHUNK_LENGTHS = "url string, ord int, length long"
+ENTITY_POSTINGS = "term string, entity_id string, positions array<int>"
+ENTITY_LENGTHS = "entity_id string, length long"
+INDEXES = {"chunk_postings": CHUNK_POSTINGS, "chunk_lengths": CHUNK_LENGTHS, "entity_postings": ENTITY_POSTINGS, "entity_lengths": ENTITY_LENGTHS}
+TABLES = {"pages": PAGES, "chunks": CHUNKS, "entities": ENTITIES, "params": PARAMS, "notes": NOTES, "edges": EDGES, "candidates": CANDIDATES, **INDEXES}
 
 #: Columns whose equality makes two rows one; null line numbers are equal.
 EDGE_KEY = ["from_entity_id", "to_entity_id", "edge_type", "source_kind", "param_name", "page_url", "line_start", "line_end"]

@@ -183,9 +183,10 @@ def lookup_symbol(index: ix.Index | None, entities: DataFrame, pages: DataFrame,
         "kind", "name", "qualname", "line_start", "line_end", F.col("c.start").alias("context_start"), F.col("c.end").alias("context_end"), F.col("c.text").alias("context"), "summary", "entity_id",
     )
     if related and edges is not None and (first := out.select("entity_id").first()):
-        near = graph.compact_related(edges, entities, first.entity_id)
-        out = out.withColumn("related", F.lit(None).cast("map<string,array<string>>")) if near.isEmpty() else out.crossJoin(near.agg(F.map_from_entries(F.collect_list(F.struct("direction", "relations"))).alias("related")))
-    asked = pages.sparkSession.createDataFrame([(symbol.strip(),)], "asked string")
-    # At most one row on either side.
-    joined = asked.join(out, F.lit(True), "left")
+        # Two rows at most, of thirty texts at most.
+        near = {r.direction: r.relations for r in graph.compact_related(edges, entities, first.entity_id).collect()}
+        said = [x for k, v in near.items() for x in (F.lit(k), F.array(*map(F.lit, v)))]
+        out = out.withColumn("related", F.create_map(*said) if said else F.lit(None).cast("map<string,array<string>>"))
+    asked = pages.sparkSession.createDataFrame([(1, symbol.strip())], "one int, asked string")
+    joined = asked.join(out.withColumn("one", F.lit(1)), "one", "left").drop("one")
     return joined.withColumn("symbol_name", F.coalesce("symbol_name", "asked")).withColumn("found", F.coalesce("found", F.lit(False))).drop("asked")

@@ -62,6 +62,9 @@ class Store:
         """A new snapshot; older ones but for the last few are deleted."""
         found = self._snapshots(table)
         number = int(found[-1].split("-")[0]) + 1 if found else 0
+        if "term" in rows.columns:
+            # Sorted by term, so that a query's terms are found by the files' statistics.
+            rows = rows.repartitionByRange("term").sortWithinPartitions("term")
         rows.write.parquet(f"{self.path}/{table}/{number:010d}-{uuid.uuid4().hex[:8]}")
         fs, path = self._fs()
         for old in found[: max(0, len(found) + 1 - keep)]:

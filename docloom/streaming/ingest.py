@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from docloom.functions import schema, validate
 from docloom.functions.session import importable
-from docloom.operators import chunks, graph
+from docloom.operators import catalog, chunks, graph
+from docloom.operators import index as ix
 from docloom.operators.store import Store, cut
 from docloom.sources import html
 
@@ -58,7 +59,8 @@ def clear_source(store: Store, source_base: str) -> int:
     entities = store.read("entities")
     ids = entities.where(F.col("source_base") == root).select("entity_id")
     changed = {"pages": without_source(pages, root), "chunks": without_pages(store.read("chunks"), gone, "url"), "entities": without_source(entities, root)}
-    changed |= {t: store.read(t).join(ids, "entity_id", "left_anti") for t in ("params", "notes")}
+    changed |= {t: store.read(t).join(ids, "entity_id", "left_anti") for t in ("params", "notes", "entity_postings", "entity_lengths")}
+    changed |= {t: without_pages(store.read(t), gone, "url") for t in ("chunk_postings", "chunk_lengths")}
     changed |= {t: without_source(store.read(t), root) for t in ("edges", "candidates")}
     # Everything is read before anything is replaced.
     changed = {t: cut(schema.conform(rows, t)) for t, rows in changed.items()}
@@ -70,8 +72,8 @@ def clear_source(store: Store, source_base: str) -> int:
 def upsert_pages(store: Store, fetched: DataFrame, source_base: str, now: int | None = None) -> None:
     """Write a batch of fetched pages (url, html) and all that follows from them.
 
-    Pages and their chunks, entities, parameters, notes and candidates are
-    replaced; edges from these pages are rebuilt, and edges into entities that
+    Pages and their chunks, entities, parameters, notes, candidates and index
+    entries are replaced; edges from these pages are rebuilt, and edges into entities that
     went are dropped.
     """
     root = validate.source_base(source_base)
@@ -99,7 +101,11 @@ def upsert_pages(store: Store, fetched: DataFrame, source_base: str, now: int |
     fresh = graph.signature_edges(own, all_params).join(mine.select("page_url").distinct(), "page_url", "left_semi")
     linked = graph.resolved_edges(candidates.where(F.col("source_base") == root), own)
     edges = graph.unique_edges(kept.unionByName(fresh.select(kept.columns)).unionByName(linked.select(kept.columns)))
-    tables = {"pages": over("pages", pages, "url"), "chunks": over("chunks", chunks.chunk(pages), "url"), "entities": entities, "params": all_params, "notes": child("notes", notes), "candidates": candidates, "edges": edges}
+    cut_up = cut(chunks.chunk(pages))
+    by_chunk, by_entity = ix.build(cut_up, ["url", "ord"], ["title", "chunk"]), catalog.entity_index(found, notes)
+    tables = {"pages": over("pages", pages, "url"), "chunks": over("chunks", cut_up, "url"), "entities": entities, "params": all_params, "notes": child("notes", notes), "candidates": candidates, "edges": edges}
+    tables |= {"chunk_postings": over("chunk_postings", by_chunk.postings, "url"), "chunk_lengths": over("chunk_lengths", by_chunk.lengths, "url")}
+    tables |= {"entity_postings": child("entity_postings", by_entity.postings), "entity_lengths": child("entity_lengths", by_entity.lengths)}
     tables = {t: cut(schema.conform(rows, t)) if t != "pages" else rows for t, rows in tables.items()}
     pages_now = tables.pop("pages")
     store.write("pages", pages_now)

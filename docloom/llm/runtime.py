@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -11,24 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docloom.functions.session import importable
+from docloom.operators.store import cut, shared_folder
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    ``spark.checkpoint.dir`` of the session names it; a temporary one is set
-    only where the session has none, as in tests on one machine.
-    """
-    sc = spark.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="docloom-checkpoint-"))
-    return sc._jsc.sc().getCheckpointDir().get()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in the shared folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+__all__ = ["add_columns", "cut", "read_table", "shared_folder", "shuffle_width"]
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

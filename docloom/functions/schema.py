@@ -22,9 +22,9 @@ CANDIDATES = (
     "target_name string, snippet string, confidence double, line_start int, line_end int"
 )
 #: Full-text indexes of chunks and entities, laid out by term.
-CHUNK_POSTINGS = "term string, url string, ord int, positions array<int>"
+CHUNK_POSTINGS = "term string, url string, ord int, length long, positions array<int>"
 CHUNK_LENGTHS = "url string, ord int, length long"
-ENTITY_POSTINGS = "term string, entity_id string, positions array<int>"
+ENTITY_POSTINGS = "term string, entity_id string, length long, positions array<int>"
 ENTITY_LENGTHS = "entity_id string, length long"
 INDEXES = {"chunk_postings": CHUNK_POSTINGS, "chunk_lengths": CHUNK_LENGTHS, "entity_postings": ENTITY_POSTINGS, "entity_lengths": ENTITY_LENGTHS}
 TABLES = {"pages": PAGES, "chunks": CHUNKS, "entities": ENTITIES, "params": PARAMS, "notes": NOTES, "edges": EDGES, "candidates": CANDIDATES, **INDEXES}

@@ -26,7 +26,10 @@ COLUMN_STEP = 1 << 26
 
 @dataclass(frozen=True)
 class Index:
-    """``postings``: keys, term, positions; ``lengths``: keys, length (tokens of all columns)."""
+    """``postings``: term, keys, length, positions; ``lengths``: keys, length (tokens of all columns).
+
+    A posting holds its row's length, so that a query never joins the lengths.
+    """
 
     postings: DataFrame
     lengths: DataFrame
@@ -38,10 +41,12 @@ class Index:
 def build(rows: DataFrame, keys: list[str], columns: list[str], analyzer: str = "english") -> Index:
     """Index rows by their text columns."""
     parts = F.array(*[F.struct(F.lit(i * COLUMN_STEP).alias("base"), analyze.tokens(F.col(c)).alias("tokens")) for i, c in enumerate(columns)])
-    tokenised = rows.select(*keys, F.explode(parts).alias("p"))
-    lengths = rows.select(*keys, reduce(lambda a, b: a + b, [F.size(analyze.tokens(F.col(c))) for c in columns]).cast("long").alias("length"))
-    seen = tokenised.select(*keys, F.col("p.base").alias("base"), F.posexplode("p.tokens").alias("pos", "token"))
-    seen = seen.select(*keys, "token", (F.col("base") + F.col("pos")).alias("at"))
+    length = F.aggregate("parts", F.lit(0).cast("long"), lambda n, p: n + F.size(p.tokens))
+    tokenised = rows.select(*keys, parts.alias("parts")).select(*keys, length.alias("length"), "parts")
+    lengths = tokenised.select(*keys, "length")
+    tokenised = tokenised.select(*keys, "length", F.explode("parts").alias("p"))
+    seen = tokenised.select(*keys, "length", F.col("p.base").alias("base"), F.posexplode("p.tokens").alias("pos", "token"))
+    seen = seen.select(*keys, "length", "token", (F.col("base") + F.col("pos")).alias("at"))
     if analyzer == "english":
         importable(rows.sparkSession)
         # Stems of the distinct vocabulary, joined back.
@@ -49,7 +54,7 @@ def build(rows: DataFrame, keys: list[str], columns: list[str], analyzer: str =
         seen = seen.join(vocabulary, "token")
     else:
         seen = seen.withColumnRenamed("token", "term")
-    postings = seen.groupBy("term", *keys).agg(F.sort_array(F.collect_list("at")).alias("positions"))
+    postings = seen.groupBy("term", *keys, "length").agg(F.sort_array(F.collect_list("at")).alias("positions"))
     return Index(postings, lengths, tuple(keys), tuple(columns), analyzer)
 
 
@@ -130,9 +135,9 @@ def look_up(index: Index, plan: Plan, only: list[str] | None = None) -> Hits:
         bases = [i for i, c in enumerate(index.columns) if c in only]
         found = found.withColumn("positions", F.filter("positions", lambda p: F.floor(p / COLUMN_STEP).isin(bases)))
     # At most one entry for each term of the query.
-    merged = found.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("term", "positions"))).alias("at"))
+    merged = found.groupBy(*keys).agg(F.max("length").alias("length"), F.map_from_entries(F.collect_list(F.struct("term", "positions"))).alias("at"))
     none = F.array().cast("array<int>")
-    hits = merged.join(index.lengths, keys).select(*keys, "length", *[F.coalesce(F.col("at")[t], none).alias(f"at_{i}") for i, t in enumerate(plan.terms)])
+    hits = merged.select(*keys, "length", *[F.coalesce(F.col("at")[t], none).alias(f"at_{i}") for i, t in enumerate(plan.terms)])
     return Hits(hits.select(*keys, "length", *[_frequency(p, plan.terms).alias(f"f_{j}") for j, p in enumerate(plan.phrases)]), float(stats.n), stats.mean)
 
 

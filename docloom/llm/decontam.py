@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -32,7 +33,7 @@ from pyspark.sql import types as T
 
 from docloom.functions.session import importable
 from docloom.llm import text as tx
-from docloom.llm.runtime import add_columns
+from docloom.llm.runtime import add_columns, keep_rows
 
 _WORD = np.zeros(256, bool)
 _WORD[0x30:0x3A] = _WORD[0x61:0x7B] = _WORD[0x80:] = True
@@ -209,8 +210,8 @@ def _blocks(bench: DataFrame, s: Settings) -> list[Block]:
     return [Block.of([(r.i, r.t) for r in rows.where(F.col("b") == k).orderBy("i", "t").collect()], s) for k in range(n)]
 
 
-def mark(docs: DataFrame, bench: DataFrame, text_col: str = "text", keep: list[str] | None = None, s: Settings = Settings()) -> DataFrame:
-    """Docs with n_words, n_hit, n_items, items_sha256 and contaminated added."""
+def _marker(docs: DataFrame, bench: DataFrame, text_col: str, s: Settings) -> Callable[[pa.Array], list[pa.Array]]:
+    """A function from a batch's texts to the columns of FIELDS."""
     spark = docs.sparkSession
     importable(spark)
     cast = spark.sparkContext.broadcast
@@ -270,7 +271,18 @@ def mark(docs: DataFrame, bench: DataFrame, text_col: str = "text", keep: list[s
         n_items = np.array([len(x) for x in items], np.int64)
         return [pa.array(words), pa.array(hit), pa.array(n_items), pa.array(digest, pa.string()), pa.array(n_items >= s.min_items)]
 
-    return add_columns(docs, text_col, FIELDS, compute, keep)
+    return compute
+
+
+def mark(docs: DataFrame, bench: DataFrame, text_col: str = "text", keep: list[str] | None = None, s: Settings = Settings()) -> DataFrame:
+    """Docs with n_words, n_hit, n_items, items_sha256 and contaminated added."""
+    return add_columns(docs, text_col, FIELDS, _marker(docs, bench, text_col, s), keep)
+
+
+def keep_clean(docs: DataFrame, bench: DataFrame, text_col: str = "text", s: Settings = Settings()) -> DataFrame:
+    """The rows of docs that aren't contaminated."""
+    marks = _marker(docs, bench, text_col, s)
+    return keep_rows(docs, text_col, lambda col: ~marks(col)[-1].to_numpy(zero_copy_only=False))
 
 
 def run(docs: DataFrame, bench: DataFrame, s: Settings = Settings()) -> DataFrame:

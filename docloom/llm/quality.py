@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docloom.llm import text as tx
-from docloom.llm.runtime import add_columns
+from docloom.llm.runtime import add_columns, keep_rows
 
 #: Bytes that are not ASCII white space.
 _SOLID = np.ones(256, bool)
@@ -206,6 +206,13 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str]
     return add_columns(docs, text_col, [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())], compute, keep)
 
 
+def keep_good(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows of docs that are predicted to be good."""
+    shared = docs.sparkSession.sparkContext.broadcast((model.table, model.bias))
+    s = model.settings
+    return keep_rows(docs, text_col, lambda col: Model(*shared.value, s).score_batch(col) >= s.threshold)
+
+
 def run(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted."""
     scored = score(docs, fit(docs, labels, s=s), keep=["doc_id"])

@@ -1,9 +1,14 @@
-"""Shared Spark plumbing of the training-data operators."""
+"""Shared Spark plumbing of the training-data operators.
+
+Column names that begin with two underscores are the operators' own; all
+others may stand in an input, whatever they are.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +17,7 @@ from pyspark.sql import types as T
 from docloom.functions.session import importable
 from docloom.operators.store import cut, shared_folder
 
-__all__ = ["add_columns", "cut", "read_table", "shared_folder", "shuffle_width"]
+__all__ = ["add_columns", "cut", "keep_rows", "read_table", "shared_folder", "shuffle_width"]
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,3 +59,16 @@ def add_columns(
 
     importable(df.sparkSession)
     return inner.mapInArrow(run, schema)
+
+
+def keep_rows(df: DataFrame, text_col: str, test: Callable[[pa.Array], np.ndarray]) -> DataFrame:
+    """The rows, as they are, whose text passes; ``test`` takes a batch's text column and returns a boolean for each row."""
+    at = df.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield batch.filter(pa.array(test(batch.column(at)), pa.bool_()))
+
+    importable(df.sparkSession)
+    return df.mapInArrow(run, df.schema)

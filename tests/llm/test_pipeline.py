@@ -1,5 +1,5 @@
 import corpus_pipeline as cp
-from docloom.llm import decontam, linedup, quality, simhash
+from docloom.llm import quality
 from tests.llm.test_decontam import brute as hits
 from tests.llm.test_linedup import brute as lines
 from tests.llm.test_simhash import classes, plain
@@ -45,6 +45,9 @@ def test_awkward_rows(spark, docs, no_docs, tmp_path, sf):
     for table in (docs, no_docs):
         for name, stage in cp.STAGES:
             out = stage(spark, table, str(tmp_path))
-            assert name == "mixing" or out.columns == table.columns
-            assert out.count() >= 0
-    assert all((decontam, linedup, simhash))
+            rows = out.collect()
+            if name == "mixing":
+                continue
+            assert out.columns == table.columns
+            # Columns that an operator also uses as a name of its own come through as they were.
+            assert all((r.score, r.key, r.d, r.copies, r.component_id, r.tp) == ("x", 1, "y", None, "c", 5) for r in rows)

@@ -59,8 +59,8 @@ def context(body: Column, first: Column, last: Column, fallback: Column, before:
     )
 
 
-#: Rewrites of running text, in order: pattern and replacement. They close up
-#: punctuation, space out separators and rejoin dotted names.
+#: Rewrites of running text, in order: pattern and replacement.
+#: They close up punctuation, space out separators and rejoin dotted names.
 INLINE_RULES: tuple[tuple[str, str], ...] = (
     (r"\s+([,.;!?%)\]}])", r"$1"),
     (r"([(\[{])\s+", r"$1"),
@@ -109,20 +109,29 @@ def type_names(text: Column) -> Column:
     return F.filter(F.array_distinct(F.regexp_extract_all(text, F.lit("[A-Za-z_][A-Za-z0-9_.]*"), F.lit(0))), lambda x: ~is_ignored_type(x))
 
 
+#: Patterns of signatures, parameter items and version sentences.
+RETURN_PATTERN = r"(?:->|→)\s*(.+)$"
+BASES_PATTERN = r"^(?:class\s+)?[A-Za-z_][A-Za-z0-9_.]*\s*\(([^)]*)\)"
+MODIFIER_PATTERN = r"^(async|abstract|abstractmethod|classmethod|staticmethod|class)\s+"
+PARAMETER_PATTERN = r"^([A-Za-z_][\w.]*)(?:\(([^)]*)\))?(?:\s*[–-]\s*(.*))?$"
+CHANGE_PATTERN = r"^(Added|Changed|Removed) in version ([^:]+):?\s*(.*)$"
+DEPRECATED_PATTERN = r"^Deprecated since version ([^:]+):?\s*(.*)$"
+
+
 def return_annotation(signature: Column) -> Column:
     """What follows an arrow; empty if there is none."""
-    return F.regexp_extract(signature, "(?:->|→)\\s*(.+)$", 1)
+    return F.regexp_extract(signature, RETURN_PATTERN, 1)
 
 
 def base_annotation(signature: Column) -> Column:
     """What stands in the first brackets after a name; empty if there is none."""
-    return F.regexp_extract(signature, "^(?:class\\s+)?[A-Za-z_][A-Za-z0-9_.]*\\s*\\(([^)]*)\\)", 1)
+    return F.regexp_extract(signature, BASES_PATTERN, 1)
 
 
 def signature_qualname(signature: Column) -> Column:
     """The dotted name before the brackets, without one leading keyword."""
     head = F.trim(F.substring_index(signature, "(", 1))
-    return F.regexp_replace(head, "^(async|abstract|abstractmethod|classmethod|staticmethod|class)\\s+", "")
+    return F.regexp_replace(head, MODIFIER_PATTERN, "")
 
 
 def relative_qualnames(current: Column, name: Column) -> Column:
@@ -135,10 +144,9 @@ def relative_qualnames(current: Column, name: Column) -> Column:
 
 def parameter_item(text: Column) -> Column:
     """Struct (name, type, description) of an item ``name(type) – description``; null if it is none."""
-    pattern = r"^([A-Za-z_][\w.]*)(?:\(([^)]*)\))?(?:\s*[–-]\s*(.*))?$"
     t = F.trim(text)
-    part = lambda k: F.trim(F.regexp_extract(t, pattern, k))
-    return F.when(t.rlike(pattern), F.struct(part(1).alias("name"), part(2).alias("type"), part(3).alias("description")))
+    part = lambda k: F.trim(F.regexp_extract(t, PARAMETER_PATTERN, k))
+    return F.when(t.rlike(PARAMETER_PATTERN), F.struct(part(1).alias("name"), part(2).alias("type"), part(3).alias("description")))
 
 
 #: Human labels of note kinds.
@@ -152,8 +160,7 @@ NOTE_LABELS = {
 
 def version_note(text: Column) -> Column:
     """Struct (kind, version, text) of a version sentence; null if it is none."""
-    added = r"^(Added|Changed|Removed) in version ([^:]+):?\s*(.*)$"
-    gone = r"^Deprecated since version ([^:]+):?\s*(.*)$"
+    added, gone = CHANGE_PATTERN, DEPRECATED_PATTERN
     kind = F.concat(F.lit("version"), F.lower(F.regexp_extract(text, added, 1)))
     rest = F.regexp_extract(text, added, 3)
     rest_gone = F.regexp_extract(text, gone, 2)

@@ -99,7 +99,7 @@ def signature_edges(entities: DataFrame, params: DataFrame) -> DataFrame:
 
 # --- candidates -------------------------------------------------------------------
 
-#: Phrases of prose that state a relation, and how sure it is.
+#: Phrases of prose that state a relation, how sure it is, and names that follow from_.
 RELATIONS = (
     ("only_valid_in", r"\bcan only be used in ([A-Z][A-Za-z0-9_.]*)\b", 0.7),
     ("requires", r"\bmust be used with ([A-Z][A-Za-z0-9_.]*)\b", 0.7),

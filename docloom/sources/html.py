@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.functions.session import importable
-from docloom.functions.text import INLINE_RULES
+from docloom.functions.text import CHANGE_PATTERN, DEPRECATED_PATTERN, INLINE_RULES, MODIFIER_PATTERN, PARAMETER_PATTERN
 
 # --- the tree -----------------------------------------------------------------
 
@@ -285,9 +285,8 @@ def contents(node: Node, url: str, level: int = 1) -> list[dict]:
 
 # --- entities --------------------------------------------------------------------------
 
-_MODIFIERS = re.compile(r"^(async|abstract|abstractmethod|classmethod|staticmethod|class)\s+")
-_PARAMETER = re.compile(r"^([A-Za-z_][\w.]*)(?:\(([^)]*)\))?(?:\s*[–-]\s*(.*))?$")
-_VERSIONED = re.compile(r"^(?:(Added|Changed|Removed) in|(Deprecated) since) version ([^:]+):?\s*(.*)$")
+_MODIFIERS, _PARAMETER = re.compile(MODIFIER_PATTERN), re.compile(PARAMETER_PATTERN)
+_CHANGED, _DEPRECATED = re.compile(CHANGE_PATTERN), re.compile(DEPRECATED_PATTERN)
 #: Classes that mark a note, in the order they decide its kind.
 NOTE_CLASSES = ("warning", "note", "versionadded", "versionchanged", "versionremoved", "deprecated", "admonition")
 
@@ -374,10 +373,11 @@ def _note(node: Node, top: Node) -> dict | None:
         return None
     kind = next((k for k in NOTE_CLASSES if k in node.classes), None)
     text, version = inline(node), ""
-    m = _VERSIONED.match(text)
-    if m and (kind is None or kind.startswith("version") or kind == "deprecated"):
-        kind = kind or ("deprecated" if m[2] else f"version{m[1].lower()}")
-        version, text = m[3].strip(), m[4].strip() or text
+    changed, gone = _CHANGED.match(text), _DEPRECATED.match(text)
+    if (changed or gone) and (kind is None or kind.startswith("version") or kind == "deprecated"):
+        kind = kind or ("deprecated" if gone else f"version{changed[1].lower()}")
+        *_, version, rest = (changed or gone).groups()
+        version, text = version.strip(), rest.strip() or text
     return {"kind": kind, "version": version, "text": text} if kind and text else None
 
 

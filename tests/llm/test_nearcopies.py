@@ -1,0 +1,72 @@
+import random
+import re
+
+import numpy as np
+import pyarrow as pa
+import pytest
+
+import corpus_pipeline as cp
+from docloom.llm import nearcopies as nc
+
+
+def shingles(text):
+    w = re.findall("[^\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return frozenset(" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
+
+
+def brute(rows):
+    """Ids of the least document of each component of five-word Jaccard 0.8 or more."""
+    sets, root = [shingles(t) for _, t in rows], list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            common = len(sets[i] & sets[j])
+            if 5 * common >= 4 * (len(sets[i]) + len(sets[j]) - common):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    return sorted(rows[i][0] for i in range(len(rows)) if find(i) == i)
+
+
+def edited(rng, words, times):
+    out = list(words)
+    for _ in range(times):
+        out[rng.randrange(len(out))] = f"edit{rng.randrange(10**6)}"
+    return out
+
+
+def corpus():
+    """Groups of copies with edits around and below the limit, over a line that all have."""
+    rng, rows = random.Random(3), []
+    for group in range(12):
+        base = [f"w{rng.randrange(400)}" for _ in range(rng.choice([6, 30, 120, 400]))]
+        for _ in range(12):
+            rows.append(" ".join(edited(rng, base, rng.randrange(0, 1 + len(base) // 25))) + "\nthe line that stands in all of them")
+    rng.shuffle(rows)
+    return list(enumerate(rows + ["a b c d e f g h", "A b\tc d  e f g h", "one two", "One two", "", " \n", None]))
+
+
+@pytest.mark.parametrize("s", [nc.Settings(), nc.Settings(nearest=(1,), tile=5, often=2), nc.Settings(often=10**6, bits=64)])
+def test_against_brute_force(spark, s):
+    rows = corpus()
+    kept = nc.keep_one(spark.createDataFrame(rows, "doc_id long, text string"), s=s)
+    assert sorted(r.doc_id for r in kept.collect()) == brute(rows)
+
+
+def test_pipeline_stage_links_at_four_fifths(spark, sf):
+    """Copies that five-word shingles link and fingerprints of four within 4 bits do not."""
+    words = [f"word{i}" for i in range(100)]
+    other = [*words[:50], "else", *words[51:]]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(other))], "doc_id long, text string")
+    assert [r.doc_id for r in dict(cp.STAGES)["simhash"](spark, docs, sf).collect()] == [1]
+
+
+def test_sets():
+    texts = [t for _, t in corpus()] + ["nul\x00inside is one word here"]
+    found = nc.shingle_sets(pa.array(texts, pa.string()), 5)
+    assert [len(x) for x in found] == [len(shingles(t)) for t in texts]
+    assert not len(next(nc.shingle_sets(pa.array([""]), 5))) and next(nc.shingle_sets(pa.array(["b a"]), 5)).dtype == np.uint64

@@ -1,6 +1,7 @@
 import math
 
 import duckdb
+import numpy as np
 
 from docloom.llm import mixing as mx
 
@@ -15,15 +16,47 @@ def test_sql(spark, sf):
     assert found.equals(want[list(found.columns)])
 
 
-def test_distribution_function(spark):
+def test_rates(spark):
     docs = spark.createDataFrame([(1, "a", "x" * 10), (2, "b", "x" * 40), (3, "c", "")], "doc_id long, source string, text string")
-    found = {r[0]: r for r in mx.rates(docs, s=mx.Settings(weights={"a": 3.0})).collect()}
-    assert set(found) == {"a", "b"} and math.isclose(found["a"].rate, 3 / 4 * 50 / 10) and math.isclose(found["b"].rate, 1 / 4 * 50 / 40)
-    rate, total = found["a"].rate, 0.0
-    for k, c in enumerate(found["a"].cdf[:30]):
-        total += math.exp(-rate) * rate**k / math.factorial(k)
-        assert math.isclose(c, total, rel_tol=1e-9)
-    assert math.isclose(found["a"].cdf[-1], 1.0, rel_tol=1e-12)
+    found = {r[0]: r[1] for r in mx.rates(docs, s=mx.Settings(weights={"a": 3.0})).collect()}
+    assert set(found) == {"a", "b"} and math.isclose(found["a"], 3 / 4 * 50 / 10) and math.isclose(found["b"], 1 / 4 * 50 / 40)
+
+
+def test_distribution_function():
+    for rate in (0.01, 0.7, 3.75, 40.0, 120.0):
+        low, cdf = mx.distribution(rate)
+        total = 0.0
+        for k in range(low + min(len(cdf), 60)):
+            total += math.exp(k * math.log(rate) - rate - sum(math.log(i) for i in range(1, k + 1)))
+            if k >= low:
+                assert math.isclose(cdf[k - low], total, rel_tol=1e-9)
+        assert math.isclose(cdf[-1], 1.0, rel_tol=1e-9)
+
+
+def test_large_rates():
+    """Mean and variance of a million copies; the time and memory go with the root of the rate."""
+    u = (np.arange(2000) + 0.5) / 2000
+    for rate in (400.0, 50_000.0, 1e6, 3e9):
+        got = mx.draw(u, np.full(2000, rate))
+        assert abs(got.mean() - rate) < 0.01 * math.sqrt(rate) + 1 and abs(got.std() / math.sqrt(rate) - 1) < 0.01
+
+
+def test_copies_beyond_a_block(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "big" if i else "tiny", "x" * (4000 if i else 1)) for i in range(5)], "doc_id long, source string, text string")
+    want = mx.mix(docs).select("doc_id", "copies", "copy").collect()
+    monkeypatch.setattr(mx, "_BLOCK", 7)
+    assert mx.mix(docs).select("doc_id", "copies", "copy").collect() == want
+    tiny = sorted(r.copy for r in want if r.doc_id == 0)
+    assert tiny == list(range(1, want[[r.doc_id for r in want].index(0)].copies + 1)) and len(tiny) > 7000
+
+
+def test_clashing_columns(spark):
+    rows = [(1, "a", "some text", 0.5, [1.0], 9, "n"), (2, "b", "other text", 0.5, None, 9, None)]
+    schema = "doc_id long, source string, text string, rate double, cdf array<double>, copy int, size string"
+    for part in (rows, []):
+        found = mx.mix(spark.createDataFrame(part, schema))
+        assert found.columns == ["doc_id", "source", "text", "rate", "cdf", "size", "copies", "copy", "shuffle_key"]
+        assert all(r.rate == 0.5 for r in found.collect())
 
 
 def test_shares_meet_their_targets(spark):

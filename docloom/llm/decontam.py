@@ -8,9 +8,12 @@ join token.  A shared token fixes where the window would lie; the positional
 bound is that it starts there and the length bound that it fits in the
 document.  What is left is verified word for word.
 
-The item side is a query set.  It is read in blocks of at most
-``block_bytes`` of text; each block is an index of proven size that is
-broadcast, and a task holds one block at a time.
+The item side is a query set.  It is dealt into blocks of about
+``block_bytes`` of text by a hash of the item (a longer item is a block of its
+own).  The driver builds one block at a time, a few flat arrays, and broadcasts
+it, a block's size being the bound; the shingle counts stay a table, of which
+the driver reads one block's part at a time.  A task holds one block at a time
+and takes the next from its executor's disk.
 
 Defined results: null and empty texts have no words and no hits; an item
 without words, with null text or with null id has no windows; an item of fewer
@@ -22,18 +25,19 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Callable
-from dataclasses import dataclass, field
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docloom.functions.session import importable
 from docloom.llm import text as tx
-from docloom.llm.runtime import add_columns, keep_rows
+from docloom.llm.runtime import add_columns, cut, keep_rows
 
 _WORD = np.zeros(256, bool)
 _WORD[0x30:0x3A] = _WORD[0x61:0x7B] = _WORD[0x80:] = True
@@ -44,8 +48,8 @@ class Settings:
     window: int = 8
     shingle: int = 3
     min_items: int = 2
-    #: Bound on the benchmark text in one broadcast block.
-    block_bytes: int = 8 << 20
+    #: Text of the benchmark in one broadcast block.
+    block_bytes: int = 4 << 20
 
 
 @dataclass
@@ -81,27 +85,30 @@ class Words:
 
 @dataclass
 class Block:
-    """Windows of some items. Shingles of each window are in ``shingles`` at its row."""
+    """The different windows of some items, as flat arrays."""
 
     items: list[str]
-    spelled: list[bytes] = field(default_factory=list)
-    owners: list[list[int]] = field(default_factory=list)
-    length: np.ndarray | None = None
-    code: np.ndarray | None = None
-    #: window, position in it, hash
-    shingles: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
-    #: after order(): sorted tokens of the joins, their windows and positions
-    token: np.ndarray | None = None
-    token_window: np.ndarray | None = None
-    token_at: np.ndarray | None = None
-    sieve: np.ndarray | None = None
-    sizes: tuple[int, ...] = ()
+    #: Windows spelled out one after another; window w is ``spelled[begin[w]:begin[w + 1]]``.
+    spelled: bytes
+    begin: np.ndarray
+    #: Items that have window w: ``owner[owned[w]:owned[w + 1]]``.
+    owner: np.ndarray
+    owned: np.ndarray
+    length: np.ndarray
+    code: np.ndarray
+    #: Shingle sizes that occur.
+    sizes: tuple[int, ...]
+    sieve: np.ndarray
+    #: Of each shingle its window, place in it and hash; of the tokens alone, and by hash, after order().
+    window: np.ndarray
+    at: np.ndarray
+    token: np.ndarray
 
     @classmethod
     def of(cls, rows: list[tuple[str, str]], s: Settings) -> "Block":
-        out = cls([])
         item_no: dict[str, int] = {}
         known: dict[bytes, int] = {}
+        owners: dict[tuple[int, int], None] = {}
         length, code, sh_w, sh_p, sh_h = [], [], [], [], []
         for a, b, buf, offs in tx.slices(pa.array([t for _, t in rows], pa.string())):
             w = Words.of(buf, offs)
@@ -112,36 +119,51 @@ class Block:
                     continue
                 no = item_no.setdefault(rows[a + r][0], len(item_no))
                 for at in range(lo, hi - n + 1):
-                    spelled = w.spelled(at, n)
-                    win = known.setdefault(spelled, len(known))
-                    if win == len(out.owners):
-                        out.spelled.append(spelled)
-                        out.owners.append([])
+                    win = known.setdefault(w.spelled(at, n), len(known))
+                    if win == len(length):
                         length.append(n)
                         code.append(w.window(np.array([at]), n)[0])
-                        k = min(s.shingle, n)
-                        for p, h in enumerate(tx.gram_hashes(w.code[at : at + n], k)):
-                            sh_w.append(win)
-                            sh_p.append(p)
-                            sh_h.append(h)
-                    if no not in out.owners[win]:
-                        out.owners[win].append(no)
-        out.items = list(item_no)
-        out.length, out.code = np.array(length, np.int64), np.array(code, np.uint64)
-        out.shingles = (np.array(sh_w, np.int64), np.array(sh_p, np.int64), np.array(sh_h, np.uint64))
-        out.sizes = tuple(sorted({min(s.shingle, n) for n in length}))
-        out.sieve = _sieve(out.shingles[2])
-        return out
-
-    def order(self, counts: dict[int, int]) -> None:
-        """Choose each window's rarest shingle as its join token."""
-        w, p, h = self.shingles
-        often = np.array([counts.get(x, 0) for x in h.view(np.int64).tolist()], np.int64)
-        by = np.lexsort((p, h, often, w))
-        rarest = by[np.unique(w[by], return_index=True)[1]]
-        rarest = rarest[np.argsort(h[rarest], kind="stable")]
-        self.token, self.token_window, self.token_at = h[rarest], w[rarest], p[rarest]
+                        h = tx.gram_hashes(w.code[at : at + n], min(s.shingle, n))
+                        sh_w.append(np.full(len(h), win))
+                        sh_p.append(np.arange(len(h)))
+                        sh_h.append(h)
+                    owners[win, no] = None
+        pairs = np.array(sorted(owners), np.int64).reshape(-1, 2)
+        flat = lambda parts, kind: np.concatenate(parts).astype(kind) if parts else np.zeros(0, kind)
+        token = flat(sh_h, np.uint64)
+        return cls(
+            list(item_no),
+            b"".join(known),
+            np.cumsum([0, *map(len, known)]),
+            pairs[:, 1],
+            np.searchsorted(pairs[:, 0], np.arange(len(known) + 1)),
+            np.array(length, np.int64),
+            np.array(code, np.uint64),
+            tuple(sorted({min(s.shingle, n) for n in length})),
+            _sieve(token),
+            flat(sh_w, np.int64),
+            flat(sh_p, np.int64),
+            token,
+        )
+
+    def order(self, shingle: np.ndarray, n: np.ndarray) -> "Block":
+        """Choose each window's rarest shingle as its join token; ``shingle`` is sorted, ``n`` its count in the corpus."""
+        often = np.zeros(len(self.token), np.int64)
+        if len(shingle):
+            found = np.minimum(np.searchsorted(shingle, self.token), len(shingle) - 1)
+            often = np.where(shingle[found] == self.token, n[found], 0)
+        by = np.lexsort((self.at, self.token, often, self.window))
+        rarest = by[np.unique(self.window[by], return_index=True)[1]]
+        rarest = rarest[np.argsort(self.token[rarest], kind="stable")]
+        self.token, self.window, self.at = self.token[rarest], self.window[rarest], self.at[rarest]
         self.sieve = _sieve(self.token)
+        return self
+
+    def names(self, window: int) -> list[str]:
+        return [self.items[i] for i in self.owner[self.owned[window] : self.owned[window + 1]].tolist()]
+
+    def spells(self, window: int) -> bytes:
+        return self.spelled[self.begin[window] : self.begin[window + 1]]
 
 
 _SIEVE_BITS = 20
@@ -169,9 +191,9 @@ def _occurrences(block: Block, w: Words) -> tuple[np.ndarray, np.ndarray]:
         if not len(at):
             continue
         entry = np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
-        win = block.token_window[entry]
+        win = block.window[entry]
         row = np.searchsorted(w.first, np.repeat(at, n), "right") - 1
-        start = np.repeat(at, n) - block.token_at[entry]
+        start = np.repeat(at, n) - block.at[entry]
         size = block.length[win]
         # Positional and length bounds; a window of another shingle size has another token.
         ok = (np.minimum(size, k) == k) & (start >= w.first[row]) & (start + size <= w.first[row + 1])
@@ -181,7 +203,7 @@ def _occurrences(block: Block, w: Words) -> tuple[np.ndarray, np.ndarray]:
             a, b = start[pick], win[pick]
             same = w.window(a, int(n_words)) == block.code[b]
             a, b = a[same], b[same]
-            real = [w.spelled(x, int(n_words)) == block.spelled[y] for x, y in zip(a.tolist(), b.tolist())]
+            real = [w.spelled(x, int(n_words)) == block.spells(y) for x, y in zip(a.tolist(), b.tolist())]
             real = np.array(real, bool)
             found_at.append(a[real])
             found_w.append(b[real])
@@ -201,13 +223,24 @@ FIELDS = [
 ]
 
 
-def _blocks(bench: DataFrame, s: Settings) -> list[Block]:
+def _items(bench: DataFrame, s: Settings) -> tuple[DataFrame, int]:
+    """(i, t, b): the items and the block of each; and how many blocks there are."""
     rows = bench.select(F.col("item_id").cast("string").alias("i"), F.col("text").cast("string").alias("t")).where("i is not null and t is not null")
     total = rows.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
-    n = max(1, math.ceil(2 * total / s.block_bytes))
-    rows = rows.withColumn("b", F.pmod(F.xxhash64("i"), n))
-    # One block of the query set at a time is on the driver.
-    return [Block.of([(r.i, r.t) for r in rows.where(F.col("b") == k).orderBy("i", "t").collect()], s) for k in range(n)]
+    n = max(1, math.ceil(total / s.block_bytes))
+    return rows.withColumn("b", F.pmod(F.xxhash64("i"), n).cast("int")), n
+
+
+def _block(items: DataFrame, k: int, s: Settings) -> Block:
+    return Block.of([(r.i, r.t) for r in items.where(F.col("b") == k).orderBy("i", "t").collect()], s)
+
+
+def _one_by_one(shared: list[Broadcast]) -> Iterator[tuple[int, Block]]:
+    """The blocks in turn; of several a process holds one, and reads the next from its executor's disk."""
+    for k, b in enumerate(shared):
+        yield k, b.value
+        if len(shared) > 1:
+            del b._value
 
 
 def _marker(docs: DataFrame, bench: DataFrame, text_col: str, s: Settings) -> Callable[[pa.Array], list[pa.Array]]:
@@ -215,15 +248,16 @@ def _marker(docs: DataFrame, bench: DataFrame, text_col: str, s: Settings) -> Ca
     spark = docs.sparkSession
     importable(spark)
     cast = spark.sparkContext.broadcast
-    blocks = _blocks(bench, s)
-    plain = [cast(b) for b in blocks]
+    items, n_blocks = _items(bench, s)
+    if n_blocks > 1:
+        items = cut(items.repartition(n_blocks, "b"))
+    plain = [cast(_block(items, k, s)) for k in range(n_blocks)]
 
     def count(batches):
         for batch in batches:
-            for shared in plain:
-                block = shared.value
+            for number, block in _one_by_one(plain):
                 got = [np.zeros(0, np.uint64)]
-                known = np.unique(block.shingles[2])
+                known = np.unique(block.token)
                 for _, _, buf, offs in tx.slices(batch.column(0)):
                     w = Words.of(buf, offs)
                     for k in block.sizes:
@@ -232,15 +266,18 @@ def _marker(docs: DataFrame, bench: DataFrame, text_col: str, s: Settings) -> Ca
                         at = np.minimum(np.searchsorted(known, h), max(0, len(known) - 1))
                         got.append(h[known[at] == h] if len(known) else h[:0])
                 h, n = np.unique(np.concatenate(got), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], names=["shingle", "n"])
+                columns = [pa.array(np.full(len(h), number, np.int32)), pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))]
+                yield pa.RecordBatch.from_arrays(columns, names=["b", "shingle", "n"])
 
     texts = docs.select(F.col(f"`{text_col}`").cast("string").alias("t"))
-    seen = texts.mapInArrow(count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
-    # At most as many rows as the benchmark has shingles.
-    counts = {r.shingle: r.n for r in seen.collect()}
-    for b in blocks:
-        b.order(counts)
-    ordered = [cast(b) for b in blocks]
+    # At most as many rows as the benchmark has shingles; they stay a table.
+    seen = cut(texts.mapInArrow(count, "b int, shingle long, n long").groupBy("b", "shingle").agg(F.sum("n").alias("n")))
+    ordered = []
+    for k in range(n_blocks):
+        mine = seen.where(F.col("b") == k).select("shingle", "n").toPandas()
+        shingle = mine["shingle"].to_numpy(np.int64).view(np.uint64)
+        by = np.argsort(shingle)
+        ordered.append(cast(_block(items, k, s).order(shingle[by], mine["n"].to_numpy(np.int64)[by])))
     for b in plain:
         b.unpersist()
 
@@ -248,17 +285,14 @@ def _marker(docs: DataFrame, bench: DataFrame, text_col: str, s: Settings) -> Ca
         n = len(col)
         words, hit, items = np.zeros(n, np.int64), np.zeros(n, np.int64), [set() for _ in range(n)]
         spans: dict[tuple[int, int], tuple[np.ndarray, list]] = {}
-        for shared in ordered:
-            block = shared.value
+        for _, block in _one_by_one(ordered):
             for a, b, buf, offs in tx.slices(col):
                 w = Words.of(buf, offs)
                 win, at = _occurrences(block, w)
                 spans.setdefault((a, b), (w.first, []))[1].append((at, at + block.length[win]))
                 row = np.searchsorted(w.first, at, "right") - 1
                 for r, x in set(zip(row.tolist(), win.tolist())):
-                    items[a + r].update(block.items[i] for i in block.owners[x])
-            if len(ordered) > 1:
-                del shared._value  # the next read takes it from the executor's disk again
+                    items[a + r].update(block.names(x))
         for (a, b), (first, found) in spans.items():
             words[a:b] = np.diff(first)
             edge = np.zeros(int(first[-1]) + 1, np.int64)

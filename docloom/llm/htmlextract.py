@@ -1,9 +1,11 @@
 """HTML extraction: flat text blocks classified by a decision tree.
 
 A page is read as a flat list of text blocks, cut at block-level tags.  Each
-block has its word count and link density, those of its neighbours, and a few
-marks of where it stands.  A decision tree (Gini, numpy), trained on the small
-labelled table below, decides which blocks are main text.
+block has its word count and link density, those of its neighbours on both
+sides, and marks of where it stands, which are weaker evidence: a split by a
+mark must gain half as much again as one by words or links.  A decision tree
+(Gini, numpy) is trained on a small labelled table of blocks that a seeded rule
+lays out as pages, with and without marks.
 
 Defined results: null or empty html, and pages without main text, give the
 empty text; unclosed and stray tags are tolerated; a page may end anywhere;
@@ -32,7 +34,8 @@ _MARKUP = re.compile(
     r"|<[!?][^>]*(?:>|\Z)",
     re.S | re.I,
 )
-_ATTR = re.compile(r"""(class|id|role|hidden|aria-hidden|style|type)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
+#: One attribute: its whole name, and its whole value if it has one.
+_ATTR = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 
 #: Elements that break the text into blocks.
 BLOCK_TAGS = frozenset(
@@ -45,13 +48,26 @@ VOID_TAGS = frozenset("area base br col embed hr img input link meta source trac
 SELF_CLOSING = frozenset("p li dt dd tr td th option".split())
 #: Elements whose blocks are seldom main text.
 FRAME_TAGS = frozenset("nav footer aside form menu button dialog fieldset label".split())
-#: Words in class, id and role that mark such parts of a page.
+#: Words in class, id and role of parts that are no main text whatever they hold.
 FRAME_WORDS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advert\w*|banner|sponsor\w*|promo\w*|comments?|disqus|replies|respond|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|"
-    r"subscribe|signup|login|sidebar|side|widget|related|recommend\w*|share|sharing|social|nav\w*|menu|breadcrumbs?|pagination|pager|footer|masthead|topbar|toolbar|"
-    r"copyright|legal|disclaimer|search|skip|toc|tags|meta|byline|complementary|contentinfo|navigation)(?:$|[\s_-])",
+    r"(?:^|[\s_-])(?:ads?|adverts?|advert\w*|banner|sponsor\w*|comments?|disqus|replies|respond|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|"
+    r"subscribe|signup|login|sidebar|nav\w*|menu|breadcrumbs?|pagination|pager|footer|masthead|topbar|toolbar|complementary|contentinfo|navigation)(?:$|[\s_-])",
     re.I,
 )
+#: Words of parts that may be either; their words and links decide.
+DOUBTFUL_WORDS = re.compile(
+    r"(?:^|[\s_-])(?:promo\w*|side|widget|related|recommend\w*|share|sharing|social|copyright|legal|disclaimer|search|skip|toc|tags|meta|byline)(?:$|[\s_-])", re.I
+)
+#: Elements that are text themselves; their class and id say how it looks, not what it is.
+TEXT_TAGS = frozenset("p h1 h2 h3 h4 h5 h6 pre blockquote article main body html".split())
+
+
+def attributes(raw: str) -> dict[str, str]:
+    """A tag's attributes; of a repeated name the first counts."""
+    out: dict[str, str] = {}
+    for name, value in _ATTR.findall(raw):
+        out.setdefault(name.lower(), value.strip("\"'"))
+    return out
 
 
 @dataclass
@@ -61,6 +77,7 @@ class Block:
     density: float
     article: bool
     frame: bool
+    doubtful: bool
     heading: bool
 
 
@@ -68,6 +85,7 @@ class Block:
 class _Open:
     tag: str
     frame: bool
+    doubtful: bool
     article: bool
     hidden: bool
 
@@ -90,7 +108,7 @@ def blocks(page: str) -> list[Block]:
         if text and not any(o.hidden for o in stack):
             n = len(text.split(" "))
             article = any(o.article for o in stack)
-            out.append(Block(text, n, min(1.0, n_link / n), article, any(o.frame for o in stack), heading))
+            out.append(Block(text, n, min(1.0, n_link / n), article, any(o.frame for o in stack), any(o.doubtful for o in stack), heading))
 
     def say(text: str) -> None:
         if text:
@@ -145,23 +163,27 @@ def blocks(page: str) -> list[Block]:
                         break
             elif stack and stack[-1].tag == "p":
                 stack.pop()
-            attrs = {k.lower(): (v or "").strip("\"'") for k, v in _ATTR.findall(m["attrs"])} if m["attrs"] else {}
-            named = " ".join(attrs.get(k, "") for k in ("class", "id", "role"))
-            article = tag in ("article", "main") or attrs.get("role", "").lower() in ("main", "article") or attrs.get("itemprop", "") == "articleBody"
+            attrs = attributes(m["attrs"]) if m["attrs"] else {}
+            named = "" if tag in TEXT_TAGS else " ".join(attrs.get(k, "") for k in ("class", "id", "role"))
+            article = tag in ("article", "main") or attrs.get("role", "").lower() in ("main", "article") or attrs.get("itemprop", "").lower() == "articlebody"
             inside = any(o.article for o in stack)
             frame = tag in FRAME_TAGS or (tag == "header" and not inside) or bool(named and FRAME_WORDS.search(named))
+            doubtful = bool(named and DOUBTFUL_WORDS.search(named))
             hidden = "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true" or "display:none" in attrs.get("style", "").replace(" ", "").lower()
-            stack.append(_Open(tag, frame, article, hidden))
+            stack.append(_Open(tag, frame, doubtful, article, hidden))
         heading = any(o.tag in ("h1", "h2", "h3", "h4", "h5", "h6") for o in stack[-2:])
     flush()
     return out
 
 
-#: Names of the features of a block.
-FEATURES = ("words", "density", "words_before", "density_before", "words_after", "density_after", "article", "frame", "heading", "any_article")
+#: Names of the features of a block: those of words and links, then the marks.
+FEATURES = ("words", "density", "words_before", "density_before", "words_after", "density_after", "words_near", "density_near", "article", "frame", "doubtful", "heading", "any_article")
+_MARKS = 8
+_REACH = 3
 
 
 def features(found: list[Block]) -> np.ndarray:
+    """A row for each block. ``_near`` is over the blocks up to three before and after, without the block."""
     n = len(found)
     X = np.zeros((n, len(FEATURES)))
     if n:
@@ -170,96 +192,76 @@ def features(found: list[Block]) -> np.ndarray:
         X[:, 0], X[:, 1] = words, dens
         X[1:, 2], X[1:, 3] = words[:-1], dens[:-1]
         X[:-1, 4], X[:-1, 5] = words[1:], dens[1:]
-        X[:, 6] = [b.article for b in found]
-        X[:, 7] = [b.frame for b in found]
-        X[:, 8] = [b.heading for b in found]
-        X[:, 9] = any(b.article for b in found)
+        sums, linked = np.concatenate(([0], np.cumsum(words))), np.concatenate(([0], np.cumsum(words * dens)))
+        low, high = np.maximum(np.arange(n) - _REACH, 0), np.minimum(np.arange(n) + _REACH + 1, n)
+        X[:, 6] = sums[high] - sums[low] - words
+        X[:, 7] = (linked[high] - linked[low] - words * dens) / np.maximum(X[:, 6], 1)
+        for i, name in enumerate(FEATURES[_MARKS:-1], _MARKS):
+            X[:, i] = [getattr(b, name) for b in found]
+        X[:, -1] = any(b.article for b in found)
     return X
 
 
-#: Labelled table, in the order of FEATURES, then the label: 1 is main text.
-LABELLED = np.array(
-    [
-        # blocks of an article: title, long and short paragraphs, with and without links
-        (9, 0, 8, 0, 60, 0, 1, 0, 1, 1, 1),
-        (3, 0, 1, 1, 90, 0, 1, 0, 1, 1, 1),
-        (80, 0, 9, 0, 2, 0, 1, 0, 0, 1, 1),
-        (2, 0, 80, 0, 45, 0, 1, 0, 0, 1, 1),
-        (1, 0, 60, 0, 11, 0, 1, 0, 0, 1, 1),
-        (45, 0.1, 2, 0, 30, 0, 1, 0, 0, 1, 1),
-        (30, 0.3, 45, 0.1, 12, 0, 1, 0, 0, 1, 1),
-        (4, 1, 30, 0, 50, 0, 1, 0, 0, 1, 1),
-        (12, 0, 30, 0.3, 14, 0, 1, 0, 0, 1, 1),
-        (70, 0, 1, 1, 9, 0, 1, 0, 0, 1, 1),
-        (6, 0, 40, 0, 0, 0, 1, 0, 1, 1, 1),
-        (3, 0.6, 5, 0, 6, 0, 1, 0, 0, 1, 1),
-        # the last blocks of an article, with lists of links after it
-        (60, 0, 40, 0, 1, 1, 1, 0, 0, 1, 1),
-        (30, 0, 20, 0, 2, 1, 1, 0, 0, 1, 1),
-        (11, 0, 50, 0, 1, 1, 1, 0, 0, 1, 1),
-        (2, 0, 15, 0, 3, 1, 1, 0, 0, 1, 1),
-        (90, 0.2, 9, 0, 5, 0.8, 1, 0, 0, 1, 1),
-        (7, 0, 1, 1, 4, 1, 1, 0, 1, 1, 1),
-        # parts inside an article that are no part of its text
-        (5, 0.8, 60, 0, 4, 1, 1, 1, 0, 1, 0),
-        (25, 0, 60, 0, 18, 0, 1, 1, 0, 1, 0),
-        (8, 0, 70, 0, 3, 0, 1, 1, 0, 1, 0),
-        (2, 0, 25, 0, 40, 0, 1, 1, 1, 1, 0),
-        # frames of a page that has an article
-        (1, 1, 0, 0, 1, 1, 0, 1, 0, 1, 0),
-        (1, 1, 1, 1, 1, 1, 0, 1, 0, 1, 0),
-        (2, 1, 1, 1, 8, 0, 0, 1, 0, 1, 0),
-        (8, 0, 1, 1, 9, 0, 0, 1, 0, 1, 0),
-        (13, 0, 1, 1, 3, 0, 0, 1, 0, 1, 0),
-        (14, 0, 12, 0, 0, 0, 0, 1, 0, 1, 0),
-        (40, 0, 30, 0, 5, 0, 0, 1, 0, 1, 0),
-        (60, 0, 9, 0, 20, 0, 0, 1, 0, 1, 0),
-        # stray blocks outside the article
-        (30, 0, 14, 0, 22, 0, 0, 0, 0, 1, 0),
-        (50, 0, 30, 0, 2, 0, 0, 0, 0, 1, 0),
-        (9, 0, 22, 0, 0, 0, 0, 0, 0, 1, 0),
-        (70, 0.1, 3, 1, 25, 0, 0, 0, 0, 1, 0),
-        (6, 0, 1, 1, 12, 0, 0, 0, 0, 1, 0),
-        (25, 0, 10, 0, 0, 0, 0, 0, 0, 1, 0),
-        (3, 1, 40, 0, 2, 1, 0, 0, 0, 1, 0),
-        (4, 0, 0, 0, 1, 1, 0, 0, 1, 1, 0),
-        (35, 0, 2, 0, 3, 0, 0, 0, 0, 1, 0),
-        # pages without article or main: text density decides
-        (60, 0, 6, 0, 40, 0, 0, 0, 0, 0, 1),
-        (40, 0.1, 60, 0, 35, 0, 0, 0, 0, 0, 1),
-        (25, 0, 3, 0, 30, 0, 0, 0, 0, 0, 1),
-        (18, 0.05, 30, 0, 22, 0, 0, 0, 0, 0, 1),
-        (5, 0, 60, 0, 40, 0, 0, 0, 0, 0, 1),
-        (7, 0, 35, 0, 50, 0, 0, 0, 1, 0, 1),
-        (8, 0, 2, 1, 55, 0, 0, 0, 1, 0, 1),
-        (12, 0, 40, 0, 0, 0, 0, 0, 0, 0, 1),
-        (3, 0, 30, 0, 25, 0, 0, 0, 1, 0, 1),
-        (2, 0, 1, 1, 40, 0, 0, 0, 1, 0, 1),
-        (3, 0, 12, 0, 24, 0, 0, 0, 1, 0, 1),
-        (25, 0, 30, 0, 12, 0, 0, 0, 0, 0, 1),
-        (30, 0, 22, 0, 3, 0, 0, 0, 0, 0, 1),
-        (20, 0, 40, 0, 2, 1, 0, 0, 0, 0, 1),
-        (45, 0, 4, 1, 2, 0, 0, 0, 0, 0, 1),
-        (16, 0.1, 25, 0, 14, 0, 0, 0, 0, 0, 1),
-        (70, 0.2, 1, 1, 1, 1, 0, 0, 0, 0, 1),
-        (22, 0, 0, 0, 0, 0, 0, 0, 0, 0, 1),
-        (2, 0, 3, 1, 3, 1, 0, 0, 0, 0, 0),
-        (6, 1, 4, 1, 5, 1, 0, 0, 0, 0, 0),
-        (4, 0, 25, 0, 0, 0, 0, 0, 0, 0, 0),
-        (3, 1, 2, 1, 2, 1, 0, 0, 0, 0, 0),
-        (2, 1, 0, 0, 3, 1, 0, 0, 0, 0, 0),
-        (20, 0.9, 4, 1, 5, 1, 0, 0, 0, 0, 0),
-        (14, 0.7, 30, 0, 3, 1, 0, 0, 0, 0, 0),
-        (3, 0, 2, 1, 2, 1, 0, 0, 0, 0, 0),
-        (5, 0, 3, 1, 4, 1, 0, 0, 0, 0, 0),
-        (4, 1, 30, 0, 3, 1, 0, 0, 0, 0, 0),
-        (30, 0, 20, 0, 8, 0, 0, 1, 0, 0, 0),
-        (9, 0.5, 30, 0, 2, 1, 0, 1, 0, 0, 0),
-        (2, 1, 1, 1, 40, 0, 0, 1, 0, 0, 0),
-        (50, 0, 10, 0, 6, 0, 0, 1, 0, 0, 0),
-    ],
-    float,
-)
+def labelled(pages: int = 240, seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
+    """The labelled table: features of blocks, and which are main text. Pages are laid out by rule."""
+    rng = np.random.default_rng(seed)
+    rows, labels = [], []
+    chance = rng.random
+
+    def size(low: int, high: int) -> int:
+        return int(np.exp(rng.uniform(np.log(low), np.log(high + 1))))
+
+    for _ in range(pages):
+        marked = chance() < 0.7  # the page says which part is its article
+        classed = marked or chance() < 0.5  # and what its frames are
+        out: list[tuple[Block, bool]] = []
+
+        def add(kind: str, words: int, density: float, main: bool, inside: bool = False) -> None:
+            frame = kind == "frame" and classed
+            out.append((Block("", words, density, inside and marked, frame, kind == "doubtful" and classed, kind == "heading"), main))
+
+        def links(kind: str, low: int, high: int, inside: bool = False) -> None:
+            for _ in range(rng.integers(low, high + 1)):
+                add(kind, size(1, 6), 1.0 if chance() < 0.8 else rng.uniform(0.6, 1), False, inside)
+
+        if chance() < 0.3:
+            add("frame", size(1, 8), 0, False)
+        if chance() < 0.9:
+            links("frame", 3, 9)
+        if chance() < 0.5:
+            add("frame", size(5, 40) if marked else size(4, 14), 0 if chance() < 0.7 else rng.uniform(0.1, 0.6), False)
+        if marked and chance() < 0.3:
+            add("stray", size(3, 60), 0, False)
+        if chance() < 0.8:
+            add("heading", size(1, 20), 0, True, True)
+        for i in range(rng.integers(1, 9)):
+            add("text", size(1, 160) if marked else size(15, 160), 0 if chance() < 0.6 else rng.uniform(0, 0.35), True, True)
+            if chance() < 0.08:
+                add("heading", size(1, 8), 0, True, True)
+            if chance() < 0.08 and i:  # a list of a few items, with few links
+                for _ in range(rng.integers(2, 5)):
+                    add("text", size(2, 30), 0 if chance() < 0.8 else rng.uniform(0, 0.4), True, True)
+            if chance() < 0.08:
+                add("doubtful", size(25, 120), 0 if chance() < 0.8 else rng.uniform(0, 0.2), True, True)
+            if chance() < 0.06 and i:  # an advert or a form within the article
+                add("frame", size(2, 40) if marked else size(2, 8), 0 if chance() < 0.5 else rng.uniform(0.5, 1), False, True)
+        if chance() < 0.4:  # more to read, within the article or after it
+            kind = "doubtful" if chance() < 0.5 else "text"
+            links(kind, 3, 7, True)
+        if chance() < 0.2:
+            add("doubtful", size(1, 8), rng.uniform(0.5, 1), False, True)
+        if chance() < 0.3 and classed:
+            for _ in range(rng.integers(1, 4)):
+                add("frame", size(5, 80), 0, False, chance() < 0.5)
+        if marked and chance() < 0.3:
+            add("stray", size(3, 60), 0, False)
+        if chance() < 0.3:
+            links("frame", 2, 7)
+        if chance() < 0.9:
+            add("frame", size(3, 25) if classed else size(2, 8), 0 if chance() < 0.5 else rng.uniform(0.2, 0.8), False)
+        rows.append(features([b for b, _ in out]))
+        labels.append([main for _, main in out])
+    return np.concatenate(rows), np.concatenate(labels).astype(float)
 
 
 @dataclass
@@ -277,17 +279,17 @@ class Tree:
         for column, x in ((self.feature, -1), (self.limit, 0.0), (self.left, -1), (self.right, -1), (self.value, float(y.mean()))):
             column.append(x)
         if depth and 0 < y.sum() < len(y):
-            best = (1e-12, -1, 0.0)
-            gini = lambda v: len(v) * 2 * v.mean() * (1 - v.mean()) if len(v) else 0.0
-            whole = gini(y)
-            # On ties the earlier of the marks that state the place of a block wins, then the densities.
-            for f in (7, 6, 9, 1, 0, 8, 3, 5, 2, 4):
-                values = np.unique(X[:, f])
-                for t in (values[1:] + values[:-1]) / 2:
-                    low = X[:, f] <= t
-                    gain = whole - gini(y[low]) - gini(y[~low])
-                    if gain > best[0] + 1e-9:
-                        best = (gain, f, float(t))
+            impurity = lambda n, ones: 2 * ones * (n - ones) / np.maximum(n, 1)
+            whole, best = impurity(len(y), y.sum()), (1e-9, -1, 0.0)
+            for f in range(X.shape[1]):
+                by = np.argsort(X[:, f], kind="stable")
+                x, ones = X[by, f], np.cumsum(y[by])[:-1]
+                n = np.arange(1, len(y))
+                gain = whole - impurity(n, ones) - impurity(len(y) - n, ones[-1] + y[by[-1]] - ones) if len(y) > 1 else np.zeros(0)
+                gain = np.where(x[1:] > x[:-1], gain, 0) * (1.0 if f < _MARKS else 2 / 3)
+                if len(gain) and gain.max() > best[0] + 1e-9:
+                    at = int(gain.argmax())
+                    best = (float(gain[at]), f, float(x[at] + x[at + 1]) / 2)
             if best[1] >= 0:
                 low = X[:, best[1]] <= best[2]
                 self.feature[me], self.limit[me] = best[1], best[2]
@@ -296,9 +298,9 @@ class Tree:
         return me
 
     @classmethod
-    def train(cls, table: np.ndarray = LABELLED, depth: int = 8) -> "Tree":
+    def train(cls, table: tuple[np.ndarray, np.ndarray] | None = None, depth: int = 14) -> "Tree":
         tree = cls()
-        tree._node(table[:, :-1], table[:, -1], depth)
+        tree._node(*(labelled() if table is None else table), depth)
         return tree
 
     def predict(self, X: np.ndarray) -> np.ndarray:

@@ -36,9 +36,44 @@ def test_without_article_text_density_decides():
     assert "with many words" in found and "Us" not in found and "reader" not in found and "cookies" not in found
 
 
-def test_tree_learns_its_table():
+def test_attributes_are_read_whole():
     tree = hx.Tree.train()
-    assert (tree.predict(hx.LABELLED[:, :-1]) == hx.LABELLED[:, -1].astype(bool)).all()
+    body = "<p>" + "Words of the article go on for quite a while here. " * 3 + "</p>"
+    for mark in ('title="a hidden gem"', 'data-note="hidden"', 'data-track-id="share"', "data-hidden=false", 'data-x="class=ad"', "class='story'"):
+        assert hx.main_text(f"<article {mark}>{body}{body}</article>", tree).count("quite a while") == 6, mark
+    for mark in ("hidden", 'hidden=""', 'aria-hidden="true"', 'style="x:1; display: none"', 'class="big advert"', "id=comments"):
+        assert hx.main_text(f"<article>{body}<div {mark}>{body}</div>{body}</article>", tree).count("quite a while") == 6, mark
+    assert hx.attributes('a="1 b=2" c d = e a=7 HIDDEN') == {"a": "1 b=2", "c": "", "d": "e", "hidden": ""}
+    assert "related" in hx.main_text(f'<article>{body}<p class="related work">An overview of related work by others, which is text.</p>{body}</article>', tree)
+    assert hx.main_text(f'<div itemprop="articleBody">{body}</div><div>A stray remark.</div>', tree).count("\n") == 0
+
+
+def test_words_and_links_decide():
+    """The same marks throughout: only link density and word counts of blocks and neighbours differ."""
+    tree = hx.Tree.train()
+    text = "<p>" + "Words of the article go on for quite a while here. " * 3 + "</p>"
+    items = ["first thing to read", "second thing", "third thing to see", "fourth thing"]
+    listed = "<ul>" + "".join(f"<li>{x}</li>" for x in items) + "</ul>"
+    linked = "<ul>" + "".join(f"<li><a href=x>{x}</a></li>" for x in items) + "</ul>"
+    for open_, close in (("<article>", "</article>"), ("<main>", "</main>")):
+        assert "third thing" in hx.main_text(f"{open_}{text}{listed}{text}{close}", tree)
+        assert "third thing" not in hx.main_text(f"{open_}{text}{linked}{text}{close}", tree)
+    plain_page = f"<body>{linked}{text}{text}{linked}</body>"
+    assert hx.main_text(plain_page, tree).count("quite a while") == 6 and "thing" not in hx.main_text(plain_page, tree)
+    long_box = f'<article>{text}<div class="related">{text}</div>{text}</article>'
+    short_box = f'<article>{text}<div class="related">{linked}</div>{text}</article>'
+    assert hx.main_text(long_box, tree).count("quite a while") == 9 and "thing" not in hx.main_text(short_box, tree)
+    # The first question of the tree is one of words or links.
+    assert tree.feature[0] < hx._MARKS
+
+
+def test_tree_on_held_out_pages():
+    tree = hx.Tree.train()
+    X, y = hx.labelled(pages=200, seed=99)
+    assert (tree.predict(X) == y).mean() > 0.99
+    dense = X.copy()
+    dense[:, 1] = 1.0
+    assert (tree.predict(dense) != tree.predict(X))[y == 1].mean() > 0.9
 
 
 def test_awkward_pages(spark):

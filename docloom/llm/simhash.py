@@ -4,16 +4,23 @@ A fingerprint has a bit set where over half the XXH64 values of a document's
 word shingles have it set.  Documents with equal fingerprints are one class;
 only classes are compared.  Two fingerprints within ``radius`` bits agree on
 at least ``blocks - radius`` of ``blocks`` bit blocks, so those that agree on
-some choice of blocks meet in one cell.  A cell too large for one task is cut
-into tiles by population count and pairs of tiles whose population counts
+some choice of blocks meet in one cell; comparing all tiles of a whole table
+would take time that grows with its square.  A cell too large for one task is
+cut into tiles by population count and pairs of tiles whose population counts
 differ beyond the radius are never made; inside a tile numpy compares by
 exclusive-or and bit counts, again skipping such rows.  A tile returns a
 spanning forest of its links, never all pairs, and the forests are joined by
-distributed connected components.
+distributed connected components over the fingerprints.
+
+With ``percent`` set, documents link instead at that Jaccard similarity of
+their shingle sets: see ``simhash_similar``.
 
 Defined results: null and empty texts have fingerprint zero and link like any
-other; a null id takes part but is never a component id; repeated rows share
-one class; input columns beyond the id and the text play no part.
+other; rows without an id take part and bridge like others, but a component id
+is the least id that is not null, and null only where a component has none;
+repeated rows share one class; input columns beyond the id and the text play
+no part.  ``keep_one`` keeps, of each component, one row: the least by id
+(nulls last) and then by the hash of its text, so an id may repeat.
 """
 
 from __future__ import annotations
@@ -45,6 +52,8 @@ class Settings:
     seed: int = 42
     #: Most rows that one side of a tile pair holds.
     tile: int = 2048
+    #: Jaccard similarity, in percent, at which ``keep_one`` links; by default the radius alone decides.
+    percent: int | None = None
 
 
 def fingerprint(text: bytes, s: Settings = Settings()) -> int:
@@ -156,35 +165,42 @@ def forest(fp: np.ndarray, rep: np.ndarray, radius: int) -> tuple[np.ndarray, np
     return rep[moved], p[moved]
 
 
-def links(classes: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """(v, p) edges that connect what links. ``classes``: distinct fp, and rep, a distinct id for each."""
-    spark = classes.sparkSession
-    blocks = block_count(classes.count(), s.radius)
-    cells = classes.select("fp", "rep", F.bit_count("fp").alias("ones"), F.explode(F.array(*_cells(blocks, s.radius))).alias("c"))
-    cells = cells.select("fp", "rep", "ones", "c.choice", "c.bits")
-    sizes = cells.groupBy("choice", "bits", "ones").agg(F.count("*").alias("n"))
-    # A cell has at most 65 population counts, so its list of them is short.
-    plan = (
-        sizes.groupBy("choice", "bits")
-        .agg(F.sum("n").alias("total"), F.collect_list(F.struct("ones", F.ceil(F.col("n") / (s.tile // 2)).alias("parts"))).alias("layers"))
+def tiled(rows: DataFrame, by: list[str], name: str, tile: int, radius: int) -> DataFrame:
+    """Rows (by, ones, name, ...) with ``cell``: each row once for each tile pair that it is in.
+
+    Rows that share ``by`` make one cell up to ``tile`` of them; beyond, tiles
+    by population count ``ones`` and a hash of ``name``, in the pairs that the
+    radius allows.  Rows alone in their cell are left out.
+    """
+    sizes = rows.groupBy(*by, "ones").agg(F.count("*").alias("n"))
+    # A cell has at most 65 population counts, so its list of them is short.  Checkpointed, so that both sides of the
+    # join are plain exchanges and Spark can split a hot cell.
+    plan = cut(
+        sizes.groupBy(*by)
+        .agg(F.sum("n").alias("total"), F.collect_list(F.struct("ones", F.ceil(F.col("n") / (tile // 2)).alias("parts"))).alias("layers"))
         .where("total > 1")
-        .withColumn("layers", F.when(F.col("total") <= s.tile, F.lit(None)).otherwise(F.col("layers")))
-        .select("choice", "bits", "layers")
+        .select(*by, F.when(F.col("total") > tile, F.col("layers")).alias("layers"))
     )
-    rows = cells.join(plan, ["choice", "bits"])
+    rows = rows.join(plan, by)
+    whole = F.col("layers").isNull()
     own = F.expr("filter(layers, x -> x.ones = ones)[0].parts")
-    rows = rows.withColumn("part", F.when(F.col("layers").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("fp"), own)).cast("int"))
-    mine = F.col("ones").cast("long") * (1 << 32) + F.col("part")
-    # The other tiles to meet: those whose population counts are within the radius.
+    part = F.when(whole, F.lit(0)).otherwise(F.pmod(F.xxhash64(name), own)).cast("int")
+    rows = rows.withColumn("mine", F.col("ones").cast("long") * (1 << 32) + part)
+    # The tiles to meet: those whose population counts are within the radius.
     others = F.expr(
-        f"flatten(transform(filter(layers, x -> abs(x.ones - ones) <= {s.radius}), x -> transform(sequence(0L, x.parts - 1), q -> cast(x.ones as long) * {1 << 32} + q)))"
-    )
-    rows = rows.withColumn("mine", mine).withColumn("other", F.explode(F.when(F.col("layers").isNull(), F.array(F.lit(-1).cast("long"))).otherwise(others)))
-    rows = rows.select(
-        F.xxhash64("choice", "bits", F.when(F.col("other") < 0, -1).otherwise(F.least("mine", "other")), F.greatest("mine", "other") * F.when(F.col("other") < 0, 0).otherwise(1)).alias("cell"),
-        "fp",
-        "rep",
+        f"flatten(transform(filter(layers, x -> abs(x.ones - ones) <= {radius}), x -> transform(sequence(0L, x.parts - 1), q -> cast(x.ones as long) * {1 << 32} + q)))"
     )
+    rows = rows.withColumn("other", F.explode(F.when(whole, F.array(F.lit(-1).cast("long"))).otherwise(others)))
+    pair = [F.when(F.col("other") < 0, -1).otherwise(F.least("mine", "other")), F.when(F.col("other") < 0, 0).otherwise(F.greatest("mine", "other"))]
+    return rows.withColumn("cell", F.xxhash64(*by, *pair)).drop(*by, "layers", "mine", "other")
+
+
+def links(classes: DataFrame, s: Settings = Settings()) -> DataFrame:
+    """(v, p) edges between fingerprints that connect what links. ``classes``: distinct fp."""
+    spark = classes.sparkSession
+    blocks = block_count(classes.count(), s.radius)
+    cells = classes.select("fp", F.bit_count("fp").alias("ones"), F.explode(F.array(*_cells(blocks, s.radius))).alias("c"))
+    rows = tiled(cells.select("fp", "ones", "c.choice", "c.bits"), ["choice", "bits"], "fp", s.tile, s.radius).select("cell", "fp")
     schema, radius = "v long, p long", s.radius
 
     def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -192,7 +208,8 @@ def links(classes: DataFrame, s: Settings = Settings()) -> DataFrame:
         held = 0
         for g in grouped(frames, ["cell"]):
             if len(g) > 1:
-                v, p = forest(g["fp"].to_numpy().view(np.uint64), g["rep"].to_numpy(), radius)
+                fp = np.unique(g["fp"].to_numpy())
+                v, p = forest(fp.view(np.uint64), fp, radius)
                 if len(v):
                     found.append((v, p))
                     held += len(v)
@@ -209,8 +226,10 @@ def links(classes: DataFrame, s: Settings = Settings()) -> DataFrame:
 def components(prints: DataFrame, id_col: str = "doc_id", s: Settings = Settings()) -> DataFrame:
     """(fp, component_id) for each distinct fingerprint of ``prints``, which should be checkpointed."""
     classes = cut(prints.groupBy("fp").agg(F.min(F.col(f"`{id_col}`").cast("long")).alias("rep")))
-    found = stars(links(classes.where("rep is not null"), s))
-    return classes.join(found.withColumnRenamed("v", "rep"), "rep", "left").select("fp", F.coalesce("p", "rep").alias("component_id"))
+    found = stars(links(classes.select("fp"), s))
+    labelled = classes.join(found.withColumnRenamed("v", "fp"), "fp", "left").select("fp", "rep", F.coalesce("p", "fp").alias("label"))
+    least = labelled.groupBy("label").agg(F.min("rep").alias("component_id"))
+    return labelled.select("fp", "label").join(least, "label").select("fp", "component_id")
 
 
 def run(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
@@ -220,15 +239,32 @@ def run(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     return prints.join(found, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+#: Columns that name a row: whether it has no id, its id, the hash of its text.
+ROW = ["__none", "__id", "__h"]
+
+
+def named(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Docs with the columns of ROW."""
+    key = F.col(f"`{id_col}`").cast("long")
+    return docs.withColumn("__none", key.isNull()).withColumn("__id", F.coalesce(key, F.lit(0))).withColumn("__h", F.xxhash64(f"`{text_col}`"))
+
+
+def one_each(rows: DataFrame, cols: list[str], least: DataFrame, found: DataFrame) -> DataFrame:
+    """Of the rows of named(), the least of each component. ``least``: (key, r), each class and its least row; ``found``: stars of keys."""
+    kept = least.join(found.withColumnRenamed("v", "key"), "key", "left").groupBy(F.coalesce("p", "key")).agg(F.min("r").alias("r")).select("r.*")
+    once = Window.partitionBy(*ROW).orderBy("__h")
+    return rows.join(kept, ROW, "left_semi").withColumn("__n", F.row_number().over(once)).where("__n = 1").select(*[F.col(f"`{c}`") for c in cols])
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s: Settings = Settings()) -> DataFrame:
-    """The rows of docs that stay: of each component the one with its smallest id.
+    """The rows of docs that stay: one of each component."""
+    rows = named(docs, id_col, text_col)
+    if s.percent is not None:
+        from docloom.llm import simhash_similar
 
-    An id names one document: of rows that repeat it the one with the least
-    text stays.  Rows with a null id have no place in that order and all stay.
-    """
-    known = docs.where(F.col(f"`{id_col}`").isNotNull())
-    prints = cut(with_fingerprints(known, text_col, [id_col], s))
-    kept = prints.join(components(prints, id_col, s), "fp").where(F.col(f"`{id_col}`") == F.col("component_id")).select(id_col).distinct()
-    by_id = Window.partitionBy(f"`{id_col}`").orderBy(f"`{text_col}`")
-    chosen = known.join(kept, id_col, "left_semi").withColumn("__n", F.row_number().over(by_id)).where("__n = 1").drop("__n")
-    return chosen.unionByName(docs.where(F.col(f"`{id_col}`").isNull()))
+        least, found = simhash_similar.classes(rows, text_col, s)
+    else:
+        prints = with_fingerprints(rows, text_col, ROW, s)
+        least = cut(prints.groupBy(F.col("fp").alias("key")).agg(F.min(F.struct(*ROW)).alias("r")))
+        found = stars(links(least.select(F.col("key").alias("fp")), s))
+    return one_each(rows, docs.columns, least, found)

@@ -1,3 +1,4 @@
+import dataclasses
 import random
 import re
 
@@ -6,7 +7,10 @@ import pyarrow as pa
 import pytest
 
 import corpus_pipeline as cp
-from docloom.llm import nearcopies as nc
+from docloom.llm import simhash as sh
+from docloom.llm import simhash_similar as nc
+
+SIMILAR = sh.Settings(words=5, radius=24, percent=80)
 
 
 def shingles(text):
@@ -50,13 +54,45 @@ def corpus():
     return list(enumerate(rows + ["a b c d e f g h", "A b\tc d  e f g h", "one two", "One two", "", " \n", None]))
 
 
-@pytest.mark.parametrize("s", [nc.Settings(), nc.Settings(nearest=(1,), tile=5, often=2), nc.Settings(often=10**6, bits=64)])
-def test_against_brute_force(spark, s):
+@pytest.mark.parametrize("nearest,tile,often", [((2, 8), 2048, 8), ((1,), 6, 2), ((2, 8), 2048, 10**6)])
+def test_against_brute_force(spark, monkeypatch, nearest, tile, often):
+    monkeypatch.setattr(nc, "NEAREST", nearest)
+    monkeypatch.setattr(nc, "OFTEN", often)
     rows = corpus()
-    kept = nc.keep_one(spark.createDataFrame(rows, "doc_id long, text string"), s=s)
+    kept = sh.keep_one(spark.createDataFrame(rows, "doc_id long, text string"), s=dataclasses.replace(SIMILAR, tile=tile))
     assert sorted(r.doc_id for r in kept.collect()) == brute(rows)
 
 
+def test_radius_loses_no_similar_pair():
+    """Fingerprints of all pairs of similarity 0.8 or more in the corpus and in many short sets are within the radius."""
+    rng, far = random.Random(8), []
+    texts = [t for _, t in corpus()]
+    for _ in range(4000):
+        base = [f"v{rng.randrange(10**6)}" for _ in range(rng.choice([9, 13, 20, 40, 100, 300]))]
+        texts += [" ".join(base), " ".join(edited(rng, base, 1)), " ".join(base[: max(1, len(base) * 9 // 10)])]
+    sets = list(nc.shingle_sets(pa.array(texts, pa.string()), 5))
+    prints = np.array([nc._fingerprint(x) for x in sets], np.int64).view(np.uint64)
+    for i in range(len(corpus()), len(sets) - 2, 3):
+        for j in (i + 1, i + 2):
+            both = len(np.intersect1d(sets[i], sets[j]))
+            if 5 * both >= 4 * (len(sets[i]) + len(sets[j]) - both):
+                far.append(int(np.bitwise_count(prints[i] ^ prints[j])))
+    assert len(far) > 3000 and max(far) <= SIMILAR.radius, max(far)
+
+
+def test_repeated_ids_and_rows_without_id(spark):
+    """An id with two texts that differ keeps both; copies without an id go, but for one of each group."""
+    long = " ".join(f"w{i}" for i in range(80))
+    other = " ".join(f"x{i}" for i in range(80))
+    rows = [(1, long), (1, other), (2, other + " end"), (None, long), (None, "alone " * 9), (None, "alone " * 9), (3, long + " more")]
+    for s in (SIMILAR, sh.Settings()):
+        kept = sorted((r.doc_id is None, r.doc_id or 0, r.text) for r in sh.keep_one(spark.createDataFrame(rows, "doc_id long, text string"), s=s).collect())
+        assert [k for k in kept if k[:2] == (False, 1)] == [(False, 1, long), (False, 1, other)]
+        assert [k for k in kept if k[0]] == [(True, 0, "alone " * 9)]
+        if s is SIMILAR:
+            assert len(kept) == 3
+
+
 def test_pipeline_stage_links_at_four_fifths(spark, sf):
     """Copies that five-word shingles link and fingerprints of four within 4 bits do not."""
     words = [f"word{i}" for i in range(100)]

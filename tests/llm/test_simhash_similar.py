@@ -10,7 +10,7 @@ import corpus_pipeline as cp
 from docloom.llm import simhash as sh
 from docloom.llm import simhash_similar as nc
 
-SIMILAR = sh.Settings(words=5, radius=24, percent=80)
+SIMILAR = sh.Settings(words=5, radius=30, percent=80)
 
 
 def shingles(text):

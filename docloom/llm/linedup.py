@@ -1,18 +1,27 @@
 """Line dedup: a suffix array over line-ID sequences by distributed prefix doubling.
 
 Every line of every document has an ID (the 64-bit hash of its text), and every
-line starts a suffix of its document's ID sequence.  Round k ranks the
-suffixes by their first 2**k lines: the ranks of two halves make a pair, and
-the sorted distinct pairs are numbered in order, so ranks are true suffix
-order.  Suffixes of equal rank are the members of one longest-common-prefix
-interval of depth 2**k or more; an interval with one member is finished and
-leaves the next rounds, which go on until none is left.
-
-An interval of depth ``min_lines`` is a repeated run of lines.  Its first
-suffix in the order of id and position is kept, the run at each later one is
-deleted; the windows of a maximal repeated run cover it, so all of its later
-copies go.  A single line goes too if it has ``min_words`` words (spaces + 1)
-and an earlier copy.
+line starts a suffix of its document's ID sequence.  A suffix is one long, the
+document's number in the order of ids and then the line's, so that the order of
+suffixes is the order of places.  Round k ranks the suffixes by their first
+2**k lines: the ranks of two halves make a pair, and the sorted distinct pairs
+are numbered in order, so ranks are true suffix order.  Suffixes of equal rank
+are the members of one longest-common-prefix interval of depth 2**k or more; an
+interval with one member is finished and leaves the next rounds, which go on
+until none is left.
+
+A run of lines that has an earlier copy is deleted: an interval's first suffix
+is kept, the run at each later one goes.  Runs of ``min_lines`` lines are the
+intervals of that depth (two overlapping windows of 2**k lines name one of any
+length), and the windows of a maximal repeated run cover it, so all of its
+later copies go.  Blank lines alone are no repeated run; with ``min_lines`` 1 a
+blank line goes if it and a line beside it that isn't blank stand together
+elsewhere before.
+
+The longest common prefix of a later suffix and the first of its deepest
+interval follows by binary descent over the stored rounds: equal ranks at depth
+2**k move both on by as many lines.  ``longest_run`` is the greatest of a
+document's.
 
 Everything is DataFrame functions; keys are pre-aggregated before they are
 joined, and ranks, never groups, are collected by key.
@@ -20,7 +29,8 @@ joined, and ranks, never groups, are collected by key.
 Defined results: null text has no lines and stays null; the empty text is one
 empty line; rows that repeat both id and text are one document and get the
 same result; null ids come first; a document all of whose lines go becomes the
-empty text; lines are split at ``\\n`` alone.
+empty text; lines are split at ``\n`` alone; a line of spaces, tabs and carriage
+returns is blank.
 """
 
 from __future__ import annotations
@@ -33,87 +43,135 @@ from pyspark.sql import functions as F
 from docloom.llm.runtime import cut
 
 _NO_ID = -(1 << 63)
-_LOW = 0xFFFFFFFF
+_ROW_BITS = 33
 
 
 @dataclass(frozen=True)
 class Settings:
-    #: Lines of the shortest run that is deleted; a power of two.
-    min_lines: int = 2
-    min_words: int = 20
+    #: Lines of the shortest run that is deleted.
+    min_lines: int = 1
+
+
+@dataclass
+class Suffixes:
+    """``ranked``: (s, r, first, solid) of the suffixes whose first line occurs elsewhere; ``first`` is the interval's
+    first member, ``solid`` tells whether a line of the run isn't blank. ``names``: (m, d, t), the documents by number."""
+
+    ranked: DataFrame
+    names: DataFrame
+    #: The lower bits of ``s`` that hold the line number.
+    bits: int
+
+    def line(self) -> Column:
+        return F.col("s").bitwiseAND((1 << self.bits) - 1)
+
+    def number(self) -> Column:
+        return F.shiftright("s", self.bits)
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Docs with __d (the id) and __t (hash of the text in the upper half), which name a document."""
-    text = F.col(f"`{text_col}`")
-    return docs.withColumn("__d", F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(_NO_ID))).withColumn(
-        "__t", F.shiftleft(F.hash(text).cast("long"), 32)
-    )
+    """Docs with __d (the id) and __t (hash of the text), which name a document."""
+    return docs.withColumn("__d", F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(_NO_ID))).withColumn("__t", F.xxhash64(F.col(f"`{text_col}`")))
 
 
-def _self() -> Column:
-    return F.struct("d", "tp")
+def _numbered(lines: DataFrame) -> Suffixes:
+    """The documents of (d, t, pos, r, solid) numbered in order, and its rows with one long for each suffix."""
+    ordered = cut(lines.select("d", "t").distinct().orderBy("d", "t").withColumn("m", F.monotonically_increasing_id()))
+    row = F.col("m").bitwiseAND((1 << _ROW_BITS) - 1)
+    # One row of three numbers: how many bits the parts of a suffix need.
+    top = ordered.agg(F.max(F.shiftright("m", _ROW_BITS)).alias("part"), F.max(row).alias("row")).first()
+    longest = lines.agg(F.max("pos")).first()[0]
+    row_bits, bits = (top.row or 0).bit_length(), (longest or 0).bit_length()
+    if (top.part or 0).bit_length() + row_bits + bits > 62:
+        raise ValueError("documents and lines are too many for 62 bits")
+    names = ordered.select("d", "t", (F.shiftleft(F.shiftright("m", _ROW_BITS), row_bits) + row).alias("m"))
+    suffix = lines.join(names, ["d", "t"]).select((F.shiftleft("m", bits) + F.col("pos")).alias("s"), "r", "solid")
+    return Suffixes(suffix, names, bits)
 
 
-def suffixes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s: Settings = Settings()) -> DataFrame:
-    """(d, tp, r, first, long): the suffixes whose first line occurs elsewhere, ranked by that line.
+def _intervals(suffix: DataFrame, by: list[str]) -> DataFrame:
+    """Intervals with more than one member, and their first."""
+    ends = suffix.groupBy(*by).agg(F.min("s").alias("first"), F.max("s").alias("last"))
+    return ends.where(F.col("first") != F.col("last")).drop("last")
+
 
-    ``tp`` is the text's hash and, in the lower half, the line number.
-    ``first`` is the interval's first member.
-    """
-    keyed = _keyed(docs, id_col, text_col)
+def suffixes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Suffixes:
+    """The suffixes, ranked by their first line."""
     line = F.col("line")
-    lines = keyed.select(F.col("__d").alias("d"), "__t", F.posexplode(F.split(F.col(f"`{text_col}`"), "\n", -1)).alias("pos", "line")).select(
-        "d",
-        F.col("__t").bitwiseOR(F.col("pos").cast("long")).alias("tp"),
-        F.xxhash64(line).alias("r"),
-        (F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1 >= s.min_words).alias("long"),
+    lines = (
+        _keyed(docs, id_col, text_col)
+        .select(F.col("__d").alias("d"), F.col("__t").alias("t"), F.posexplode(F.split(F.col(f"`{text_col}`"), "\n", -1)).alias("pos", "line"))
+        .select("d", "t", F.col("pos").cast("long").alias("pos"), F.xxhash64(line).alias("r"), (F.length(F.btrim(line, F.lit(" \t\r"))) > 0).alias("solid"))
     )
     # Checkpointed, so that both sides of the joins are plain exchanges and Spark can split a hot line.
     often = cut(lines.groupBy("r").agg(F.count("*").alias("n")).where("n > 1").select("r"))
-    repeated = cut(lines.join(often, "r"))
-    return cut(repeated.join(cut(_intervals(repeated, ["r"])), "r").select("d", "tp", "r", "first", "long"))
+    found = _numbered(cut(lines.join(often, "r")))
+    suffix = cut(found.ranked)
+    return Suffixes(cut(suffix.join(cut(_intervals(suffix, ["r"])), "r").select("s", "r", "first", "solid")), found.names, found.bits)
 
 
-def _intervals(suffix: DataFrame, by: list[str]) -> DataFrame:
-    """Intervals with more than one member, and their first."""
-    ends = suffix.groupBy(*by).agg(F.min(_self()).alias("first"), F.max(_self()).alias("last"))
-    return ends.where(F.col("first") != F.col("last")).drop("last")
+def _paired(x: Suffixes, ranked: DataFrame, step: int) -> DataFrame:
+    """(s, a, b, solid): the suffixes with a second rank, ``step`` lines on in the same document."""
+    ahead = ranked.where(x.line() >= step).select((F.col("s") - step).alias("s"), F.col("r").alias("b"), F.col("solid").alias("more"))
+    return ranked.select("s", F.col("r").alias("a"), "solid").join(ahead, "s").select("s", "a", "b", (F.col("solid") | F.col("more")).alias("solid"))
 
 
-def double(ranked: DataFrame, depth: int) -> DataFrame:
+def double(x: Suffixes, ranked: DataFrame, depth: int) -> DataFrame:
     """Ranks by the first 2 * depth lines, of the suffixes that share them."""
-    ahead = ranked.where(F.col("tp").bitwiseAND(_LOW) >= depth).select("d", (F.col("tp") - depth).alias("tp"), F.col("r").alias("b"))
-    pairs = ranked.select("d", "tp", F.col("r").alias("a")).join(ahead, ["d", "tp"])
+    pairs = _paired(x, ranked, depth)
     # Numbers that grow with the sorted pairs: the order of the suffixes.
     names = _intervals(pairs, ["a", "b"]).orderBy("a", "b").withColumn("r", F.monotonically_increasing_id())
-    return cut(pairs.join(names, ["a", "b"]).select("d", "tp", "r", "first"))
+    return cut(pairs.join(names, ["a", "b"]).select("s", "r", "first", "solid"))
+
+
+def _windows(x: Suffixes, ranked: DataFrame, depth: int, size: int) -> DataFrame:
+    """The later suffixes of the intervals of ``size`` lines, depth <= size < 2 * depth, that aren't all blank."""
+    if size > depth:
+        pairs = _paired(x, ranked, size - depth)
+        ranked = pairs.join(_intervals(pairs, ["a", "b"]), ["a", "b"])
+    return ranked.where(F.col("solid") & (F.col("first") < F.col("s"))).select("s")
+
+
+def _longest(x: Suffixes, rounds: list[DataFrame]) -> DataFrame:
+    """(m, longest): of each document with later copies the greatest common prefix of one and its deepest interval's first."""
+    now = None
+    for k in range(len(rounds) - 1, -1, -1):
+        if now is not None:
+            # As many lines again, if both places have the same rank there.
+            mine = rounds[k].select((F.col("s")).alias("at"), F.col("r").alias("a"))
+            its = rounds[k].select((F.col("s")).alias("to"), F.col("r").alias("b"))
+            ahead = now.withColumn("at", F.col("s") + F.col("n")).withColumn("to", F.col("first") + F.col("n"))
+            same = F.coalesce(F.col("a") == F.col("b"), F.lit(False))
+            inside = (F.shiftright("at", x.bits) == F.col("m")) & (F.shiftright("to", x.bits) == F.shiftright("first", x.bits))
+            now = ahead.join(mine, "at", "left").join(its, "to", "left").select("m", "s", "first", (F.col("n") + F.when(same & inside, 1 << k).otherwise(0)).alias("n"))
+        # Documents whose deepest later copies are of this round.
+        new = rounds[k].where(F.col("first") < F.col("s")).select(x.number().alias("m"), "s", "first", F.lit(1 << k).cast("long").alias("n"))
+        now = cut(new if now is None else now.unionByName(new.join(now.select("m").distinct(), "m", "left_anti")))
+    return now.groupBy("m").agg(F.max("n").alias("longest")) if now is not None else None
 
 
 def find_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s: Settings = Settings()) -> DataFrame:
-    """(__d, __t, gone, longest): sorted numbers of a document's lines to delete, and the depth of its deepest later copy.
-
-    ``longest`` is a power of two: the deepest doubling round in which a suffix
-    of the document has an earlier copy; 0 if none reaches ``min_lines``.
-    """
-    if s.min_lines < 1 or s.min_lines & (s.min_lines - 1):
-        raise ValueError("min_lines must be a power of two")
-    later = F.col("first") < _self()
-    doc = [F.col("d").alias("__d"), F.col("tp").bitwiseAND(F.lit(~_LOW)).alias("__t")]
-    line = F.col("tp").bitwiseAND(_LOW).cast("int")
-    ranked, depth = suffixes(docs, id_col, text_col, s), 1
-    parts = [ranked.where(later & F.col("long")).select(*doc, line.alias("line"), F.lit(0).alias("longest"))]
+    """(__d, __t, gone, longest): sorted numbers of a document's lines to delete, and its longest run that occurs earlier."""
+    if s.min_lines < 1:
+        raise ValueError("min_lines must be at least 1")
+    x = suffixes(docs, id_col, text_col)
+    ranked, depth, rounds, lines = x.ranked, 1, [], []
+    # A blank line goes with a neighbour that isn't blank.
+    sizes = (1, 2) if s.min_lines == 1 else (s.min_lines,)
     while not ranked.isEmpty():
-        copies = ranked.where(later)
-        if depth == s.min_lines:
-            parts.append(copies.select(*doc, F.explode(F.sequence(line, line + (depth - 1))).alias("line"), F.lit(depth).alias("longest")))
-        elif depth > s.min_lines:
-            parts.append(copies.select(*doc, F.lit(None).cast("int").alias("line"), F.lit(depth).alias("longest")).distinct())
-        ranked, depth = double(ranked, depth), 2 * depth
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
-    return found.groupBy("__d", "__t").agg(F.sort_array(F.collect_set("line")).alias("gone"), F.max("longest").alias("longest"))
+        for size in sizes:
+            if depth <= size < 2 * depth:
+                later = _windows(x, ranked, depth, size)
+                lines.append(later.select(F.explode(F.sequence(F.col("s"), F.col("s") + (size - 1))).alias("s")) if size > 1 else later)
+        rounds.append(ranked)
+        ranked, depth = double(x, ranked, depth), 2 * depth
+    gone = x.ranked.select("s").where(F.lit(False))
+    for part in lines:
+        gone = gone.unionByName(part)
+    gone = gone.groupBy(x.number().alias("m")).agg(F.sort_array(F.collect_set(x.line().cast("int"))).alias("gone"))
+    longest = _longest(x, rounds or [x.ranked])
+    found = gone.join(longest, "m", "full").join(x.names, "m")
+    return found.select(F.col("d").alias("__d"), F.col("t").alias("__t"), "gone", F.when(F.col("longest") >= s.min_lines, F.col("longest")).alias("longest"))
 
 
 def _mark(docs: DataFrame, id_col: str, text_col: str, s: Settings) -> DataFrame:
@@ -154,14 +212,18 @@ def run(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
 SQL = """
 WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents),
 p AS (SELECT doc_id, unnest(range(1, len(lines) + 1)) AS i, lines FROM l),
-w AS (SELECT doc_id, i, k, sha256(array_to_string(lines[i:i + (1 << k) - 1], chr(10))) AS run, lines[i] AS line
-      FROM p, (SELECT unnest(range(0, 16)) AS k) WHERE i + (1 << k) - 1 <= len(lines)),
-f AS (SELECT *, first_value(doc_id * 10000000 + i) OVER (PARTITION BY k, run ORDER BY doc_id, i) < doc_id * 10000000 + i AS later FROM w),
-g AS (SELECT DISTINCT doc_id, unnest(CASE WHEN k = 0 THEN [i] ELSE [i, i + 1] END) AS i FROM f
-      WHERE later AND (k = 1 OR (k = 0 AND length(line) - length(replace(line, ' ', '')) + 1 >= 20))),
+w AS (SELECT doc_id, i, k, sha256(array_to_string(lines[i:i + (1 << k) - 1], chr(10))) AS run,
+             length(trim(array_to_string(lines[i:i + (1 << k) - 1], ''), ' ' || chr(9) || chr(13))) > 0 AS solid
+      FROM p, (SELECT unnest(range(0, (SELECT CAST(floor(log2(max(len(lines)))) AS BIGINT) + 1 FROM l))) AS k) WHERE i + (1 << k) - 1 <= len(lines)),
+v AS (SELECT *, first_value(doc_id) OVER x AS fd, first_value(i) OVER x AS fi FROM w WINDOW x AS (PARTITION BY k, run ORDER BY doc_id, i)),
+f AS (SELECT * FROM v WHERE fd <> doc_id OR fi <> i),
+g AS (SELECT DISTINCT doc_id, unnest(CASE WHEN k = 0 THEN [i] ELSE [i, i + 1] END) AS i FROM f WHERE k <= 1 AND solid),
 s AS (SELECT doc_id, i, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS island FROM g),
 n AS (SELECT doc_id, count(*) AS n_removed, count(DISTINCT island) AS n_spans FROM s GROUP BY doc_id),
-d AS (SELECT doc_id, max(1 << k) AS longest_run FROM f WHERE later AND k >= 1 GROUP BY doc_id),
+e AS (SELECT doc_id, max(k) AS k FROM f GROUP BY doc_id),
+c AS (SELECT f.doc_id, f.i, f.fi AS j, a.lines AS x, b.lines AS y, least(len(a.lines) - f.i, len(b.lines) - f.fi) + 1 AS most
+      FROM f JOIN e ON e.doc_id = f.doc_id AND e.k = f.k JOIN l a ON a.doc_id = f.doc_id JOIN l b ON b.doc_id = f.fd),
+d AS (SELECT doc_id, max(coalesce(list_position([x[i + t] = y[j + t] FOR t IN range(0, most)], false) - 1, most)) AS longest_run FROM c GROUP BY doc_id),
 t AS (SELECT p.doc_id, string_agg(p.lines[p.i], chr(10) ORDER BY p.i) AS kept FROM p LEFT JOIN g ON g.doc_id = p.doc_id AND g.i = p.i
       WHERE g.i IS NULL GROUP BY p.doc_id)
 SELECT l.doc_id, CAST(coalesce(len(lines), 0) AS BIGINT) AS n_lines, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,

@@ -4,45 +4,80 @@ import pytest
 from docloom.llm import linedup as ld
 
 
-def brute(texts, m=2, words=20):
+def brute(texts, m=1):
     """Kept lines of each text by comparing all windows."""
     seen, gone = {}, [set() for _ in texts]
     for d, t in enumerate(texts):
         rows = t.split("\n")
-        for size in sorted({1, m}):
+        for size in (1, 2) if m == 1 else (m,):
             for i in range(len(rows) - size + 1):
-                run = (size, *rows[i : i + size])
-                if size == 1 and rows[i].count(" ") + 1 < words and m != 1:
-                    continue
-                if run in seen:
+                run = tuple(rows[i : i + size])
+                if run in seen and any(r.strip(" \t\r") for r in run):
                     gone[d].update(range(i, i + size))
-                else:
-                    seen[run] = d
+                seen.setdefault(run, d)
     return ["\n".join(r for i, r in enumerate(t.split("\n")) if i not in g) for t, g in zip(texts, gone)]
 
 
-TEXTS = ["a\nb\nc\nd", "x\nb\nc\ny", "b\nc\nd\na\nb", "q\nq\nq\nq", "lone", " ".join("long" * 1 for _ in range(25)), "z\n" + " ".join("long" for _ in range(25)), "", "a\nb\nc\nd"]
-
-
-@pytest.mark.parametrize("m", [1, 2, 4])
+def longest(texts):
+    """Of each text the greatest common prefix of a line's suffix and the first place of its deepest power-of-two window."""
+    rows, out = [t.split("\n") for t in texts], []
+    for d, mine in enumerate(rows):
+        best, deepest = 0, 0
+        for i in range(len(mine)):
+            depth = 1
+            while i + depth <= len(mine):
+                places = [(e, j) for e in range(d + 1) for j in range(len(rows[e]) - depth + 1) if rows[e][j : j + depth] == mine[i : i + depth]]
+                if places[0] != (d, i):
+                    e, j = places[0]
+                    n = 0
+                    while i + n < len(mine) and j + n < len(rows[e]) and mine[i + n] == rows[e][j + n]:
+                        n += 1
+                    if depth > deepest:
+                        deepest, best = depth, 0
+                    if depth == deepest:
+                        best = max(best, n)
+                depth *= 2
+        out.append(best)
+    return out
+
+
+TEXTS = ["a\nb\nc\nd", "x\nb\nc\ny", "b\nc\nd\na\nb", "q\nq\nq\nq", "lone", "two words", "z\ntwo words", "", "a\nb\nc\nd", "k\n\nl\n \n\nm", "\n\nn\nk\n\nl\n \n\nm",
+         "\n".join("abcdefghijklmnop"), "!\n" + "\n".join("abcdefghijkl?nop")]
+
+
+@pytest.mark.parametrize("m", [1, 2, 3, 4, 7])
 def test_against_brute_force(spark, m):
     docs = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")
     kept = {r.doc_id: r.text for r in ld.dedup(docs, s=ld.Settings(min_lines=m)).collect()}
     assert [kept[i] for i in range(len(TEXTS))] == brute(TEXTS, m)
 
 
+def test_longest_common_prefix(spark):
+    docs = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")
+    found = {r.doc_id: r.longest_run for r in ld.run(docs).collect()}
+    assert [found[i] for i in range(len(TEXTS))] == longest(TEXTS)
+    assert found[12] == 12
+
+
 def test_ranks_are_suffix_order(spark):
     docs = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")
-    ranked = ld.suffixes(docs)
-    line = {(r.d, r.tp & 0xFFFFFFFF): r.r for r in ranked.collect()}
-    doubled = ld.double(ranked, 1).collect()
-    pairs = {(r.d, r.tp & 0xFFFFFFFF): r.r for r in doubled}
-    for (d, i), a in pairs.items():
-        for (e, j), b in pairs.items():
-            left, right = (line[d, i], line[d, i + 1]), (line[e, j], line[e, j + 1])
+    x = ld.suffixes(docs)
+    line = {r.s: r.r for r in x.ranked.collect()}
+    pairs = {r.s: r.r for r in ld.double(x, x.ranked, 1).collect()}
+    for i, a in pairs.items():
+        for j, b in pairs.items():
+            left, right = (line[i], line[i + 1]), (line[j], line[j + 1])
             assert (a < b) == (left < right) and (a == b) == (left == right)
 
 
+def test_no_floor_on_the_words_of_a_line(spark):
+    """A short line at random places goes, from its second copy on; blank lines alone stay."""
+    docs = spark.createDataFrame([(i, f"own {i}\n\nAll rights reserved.\n\nmore {i}") for i in range(5)], "doc_id long, text string")
+    kept = [r.text for r in ld.dedup(docs).orderBy("doc_id").collect()]
+    assert kept[0].count("reserved") == 1 and not any("reserved" in t for t in kept[1:])
+    assert kept[1] == "own 1\nmore 1"
+
+
 def test_sql(spark, sf):
     documents = duckdb.read_parquet(f"{sf}/documents.parquet")  # noqa: F841
     want = duckdb.sql(ld.SQL).df().sort_values("doc_id").reset_index(drop=True)
@@ -69,6 +104,6 @@ def test_no_python_on_the_main_path(spark, sf):
     assert not any(x in plan for x in ("Python", "Arrow", "Pandas"))
 
 
-def test_min_lines_is_a_power_of_two(docs):
+def test_min_lines_is_positive(docs):
     with pytest.raises(ValueError):
-        ld.find_copies(docs, s=ld.Settings(min_lines=3))
+        ld.find_copies(docs, s=ld.Settings(min_lines=0))

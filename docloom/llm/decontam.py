@@ -35,9 +35,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docloom.functions.session import importable
 from docloom.llm import text as tx
-from docloom.llm.runtime import add_columns, cut, keep_rows
+from docloom.llm.runtime import add_columns, cut, keep_rows, workers
 
 _WORD = np.zeros(256, bool)
 _WORD[0x30:0x3A] = _WORD[0x61:0x7B] = _WORD[0x80:] = True
@@ -246,7 +245,7 @@ def _one_by_one(shared: list[Broadcast]) -> Iterator[tuple[int, Block]]:
 def _marker(docs: DataFrame, bench: DataFrame, text_col: str, s: Settings) -> Callable[[pa.Array], list[pa.Array]]:
     """A function from a batch's texts to the columns of FIELDS."""
     spark = docs.sparkSession
-    importable(spark)
+    workers(spark)
     cast = spark.sparkContext.broadcast
     items, n_blocks = _items(bench, s)
     if n_blocks > 1:

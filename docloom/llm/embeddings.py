@@ -32,9 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.functions.session import importable
 from docloom.llm.components import stars
-from docloom.llm.runtime import cut, shuffle_width
+from docloom.llm.runtime import cut, shuffle_width, workers
 from docloom.llm.text import mix
 
 
@@ -86,7 +85,7 @@ def _cells(points: DataFrame, dim: int, count: int, s: Settings) -> DataFrame:
             own = (_unit(_matrix(batch.column(0), dim)) @ P.T).argmax(1)
             yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32))], names=["cell"])
 
-    importable(spark)
+    workers(spark)
     sizes = np.zeros(len(P), np.int64)
     for row in points.select("vec").mapInArrow(nearest, "cell int").groupBy("cell").agg(F.count("*").alias("n")).collect():
         sizes[row.cell] = row.n
@@ -215,7 +214,7 @@ def join(points: DataFrame, dim: int, count: int, s: Settings) -> DataFrame:
             if len(frame):
                 yield pa.RecordBatch.from_pandas(frame, preserve_index=False)
 
-    importable(points.sparkSession)
+    workers(points.sparkSession)
     width = shuffle_width(points.sparkSession)
     return dealt.repartition(width, "cell", "chunk").sortWithinPartitions("cell", "chunk", "turn").mapInArrow(framed, "v long, p long, n long")
 

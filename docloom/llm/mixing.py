@@ -32,8 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.functions.session import importable
-from docloom.llm.runtime import cut
+from docloom.llm.runtime import cut, workers
 
 #: Copies of a document that are exploded at once.
 _BLOCK = 1 << 16
@@ -97,7 +96,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
         for u, rate in parts:
             yield pd.Series(draw(u.to_numpy(), rate.to_numpy()))
 
-    importable(docs.sparkSession)
+    workers(docs.sparkSession)
     key = F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit(""))
     # 13 hexadecimal digits are exact in a double.
     u = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(s.seed), key)), 1, 13), 16, 10).cast("double") / float(1 << 52)

@@ -16,12 +16,25 @@ from pyspark.sql import types as T
 
 from docloom.functions.session import importable
 from docloom.operators.store import cut, shared_folder
+from docloom.sources import tables
 
-__all__ = ["add_columns", "cut", "keep_rows", "read_table", "shared_folder", "shuffle_width"]
+__all__ = ["add_columns", "cut", "keep_rows", "read_table", "shared_folder", "shuffle_width", "workers"]
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return tables.read(spark, sf_dir, name)
+
+
+#: Most bytes of a batch that a Python worker gets, where the application sets none.
+BATCH_BYTES = 4 << 20
+_BATCH_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def workers(spark: SparkSession) -> None:
+    """Make Python workers ready: this package importable, and batches bounded in bytes, since texts can be very long."""
+    importable(spark)
+    if not spark.sparkContext.getConf().contains(_BATCH_KEY):
+        spark.conf.set(_BATCH_KEY, str(BATCH_BYTES))
 
 
 def shuffle_width(spark: SparkSession) -> int:
@@ -57,7 +70,7 @@ def add_columns(
             if batch.num_rows:
                 yield pa.RecordBatch.from_arrays([*batch.columns[:n_kept], *compute(batch.column(at))], names=arrow_names)
 
-    importable(df.sparkSession)
+    workers(df.sparkSession)
     return inner.mapInArrow(run, schema)
 
 
@@ -70,5 +83,5 @@ def keep_rows(df: DataFrame, text_col: str, test: Callable[[pa.Array], np.ndarra
             if batch.num_rows:
                 yield batch.filter(pa.array(test(batch.column(at)), pa.bool_()))
 
-    importable(df.sparkSession)
+    workers(df.sparkSession)
     return df.mapInArrow(run, df.schema)

@@ -37,9 +37,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docloom.functions.session import importable
 from docloom.llm.components import stars
-from docloom.llm.runtime import add_columns, cut, shuffle_width
+from docloom.llm.runtime import add_columns, cut, shuffle_width, workers
 from docloom.llm.text import LOWER_TABLE
 
 _TO_SPACE = bytes(32 if 9 <= b <= 13 else LOWER_TABLE[b] for b in range(256))
@@ -172,27 +171,26 @@ def tiled(rows: DataFrame, by: list[str], name: str, tile: int, radius: int) ->
     by population count ``ones`` and a hash of ``name``, in the pairs that the
     radius allows.  Rows alone in their cell are left out.
     """
-    sizes = rows.groupBy(*by, "ones").agg(F.count("*").alias("n"))
-    # A cell has at most 65 population counts, so its list of them is short.  Checkpointed, so that both sides of the
-    # join are plain exchanges and Spark can split a hot cell.
-    plan = cut(
-        sizes.groupBy(*by)
-        .agg(F.sum("n").alias("total"), F.collect_list(F.struct("ones", F.ceil(F.col("n") / (tile // 2)).alias("parts"))).alias("layers"))
-        .where("total > 1")
-        .select(*by, F.when(F.col("total") > tile, F.col("layers")).alias("layers"))
-    )
-    rows = rows.join(plan, by)
-    whole = F.col("layers").isNull()
-    own = F.expr("filter(layers, x -> x.ones = ones)[0].parts")
-    part = F.when(whole, F.lit(0)).otherwise(F.pmod(F.xxhash64(name), own)).cast("int")
-    rows = rows.withColumn("mine", F.col("ones").cast("long") * (1 << 32) + part)
+    # Checkpointed, so that both sides of the join are plain exchanges and Spark can split a hot cell.
+    often = cut(rows.groupBy(*by).agg(F.count("*").alias("total")).where("total > 1"))
+    rows = cut(rows.join(often, by))
+    small = rows.where(F.col("total") <= tile).withColumn("cell", F.xxhash64(*by)).drop(*by, "total")
+    big = rows.where(F.col("total") > tile).drop("total")
+    if big.isEmpty():
+        return small
+    sizes = big.groupBy(*by, "ones").agg(F.count("*").alias("n"))
+    # A cell has at most 65 population counts, so its list of them is short.
+    layers = sizes.groupBy(*by).agg(F.collect_list(F.struct("ones", F.ceil(F.col("n") / (tile // 2)).alias("parts"))).alias("layers"))
+    big = big.join(cut(layers), by)
+    part = F.pmod(F.xxhash64(name), F.expr("filter(layers, x -> x.ones = ones)[0].parts"))
+    big = big.withColumn("mine", F.col("ones").cast("long") * (1 << 32) + part)
     # The tiles to meet: those whose population counts are within the radius.
     others = F.expr(
         f"flatten(transform(filter(layers, x -> abs(x.ones - ones) <= {radius}), x -> transform(sequence(0L, x.parts - 1), q -> cast(x.ones as long) * {1 << 32} + q)))"
     )
-    rows = rows.withColumn("other", F.explode(F.when(whole, F.array(F.lit(-1).cast("long"))).otherwise(others)))
-    pair = [F.when(F.col("other") < 0, -1).otherwise(F.least("mine", "other")), F.when(F.col("other") < 0, 0).otherwise(F.greatest("mine", "other"))]
-    return rows.withColumn("cell", F.xxhash64(*by, *pair)).drop(*by, "layers", "mine", "other")
+    big = big.withColumn("other", F.explode(others))
+    big = big.withColumn("cell", F.xxhash64(*by, F.least("mine", "other"), F.greatest("mine", "other"))).drop(*by, "layers", "mine", "other")
+    return small.unionByName(big)
 
 
 def links(classes: DataFrame, s: Settings = Settings()) -> DataFrame:
@@ -219,7 +217,7 @@ def links(classes: DataFrame, s: Settings = Settings()) -> DataFrame:
         if found:
             yield pd.DataFrame({"v": np.concatenate([x for x, _ in found]), "p": np.concatenate([x for _, x in found])})
 
-    importable(spark)
+    workers(spark)
     return rows.repartition(shuffle_width(spark), "cell").sortWithinPartitions("cell").mapInPandas(compare, schema)
 
 

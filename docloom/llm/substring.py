@@ -38,9 +38,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docloom.functions.session import importable
 from docloom.llm import text as tx
-from docloom.llm.runtime import add_columns, cut, shuffle_width
+from docloom.llm.runtime import add_columns, cut, shuffle_width, workers
 
 _NO_ID = -(1 << 63)
 _CHUNK = 1 << 20
@@ -134,7 +133,7 @@ def anchors(docs: DataFrame, text_col: str, s: Settings) -> DataFrame:
                 cols = [pa.array(key.view(np.int64)), pa.array(whole.view(np.int64)), batch.column(0).take(take), batch.column(1).take(take), pa.array(place)]
                 yield pa.RecordBatch.from_arrays(cols, names=["key", "whole", "d", "t", "place"])
 
-    importable(docs.sparkSession)
+    workers(docs.sparkSession)
     text = F.col(f"`{text_col}`")
     return docs.select("__d", "__t", text).where(F.octet_length(text) >= s.length).mapInArrow(run, "key long, whole long, d long, t long, place long")
 
@@ -400,5 +399,5 @@ def run(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
             cols = list(zip(*rows)) if rows else [(), (), (), ()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.string())], names=[f.name for f in schema.fields])
 
-    importable(docs.sparkSession)
+    workers(docs.sparkSession)
     return marked.mapInArrow(digest, schema)

@@ -9,7 +9,7 @@ SMALL_BYTES = 64 << 20
 
 
 def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A table; a small one is dealt out to all cores, a large one is left where it lies.
+    """A table; a small one in fewer files than cores is dealt out to all of them, any other is left where it lies.
 
     The size is the planner's estimate from the files, so nothing is read to
     find it.  A shuffle of at most SMALL_BYTES is cheaper than one task doing
@@ -17,6 +17,7 @@ def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """
     table = spark.read.parquet(f"{folder}/{name}.parquet")
     size = int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if (1 << 20) < size <= SMALL_BYTES:
-        return table.repartition(spark.sparkContext.defaultParallelism)
+    cores = spark.sparkContext.defaultParallelism
+    if (1 << 20) < size <= SMALL_BYTES and len(table.inputFiles()) < cores:
+        return table.repartition(cores)
     return table

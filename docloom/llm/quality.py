@@ -1,6 +1,6 @@
 """Quality classifier: supervised subword embeddings.
 
-Words (runs without ASCII white space), word bigrams and byte n-grams are
+Words (runs without ASCII white space), word bigrams and character n-grams are
 hashed into one table of learned vectors (a word followed by itself is one
 shared bigram, so that repetition generalises).  A document is the average of its
 feature vectors; a softmax layer turns that into class probabilities.  Vectors
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docloom.llm import text as tx
-from docloom.llm.runtime import add_columns, keep_rows
+from docloom.llm.runtime import add_columns, cut, keep_rows
 
 #: Bytes that are not ASCII white space.
 _SOLID = np.ones(256, bool)
@@ -39,13 +39,15 @@ _SOLID[[9, 10, 11, 12, 13, 32, 0]] = False
 class Settings:
     buckets: int = 1 << 16
     dim: int = 12
-    byte_grams: tuple[int, ...] = (3, 5)
+    char_grams: tuple[int, ...] = (3, 5)
     epochs: int = 8
     batch: int = 16
     rate: float = 0.3
     seed: int = 7
     #: Bound on the labelled documents that training reads, by hash of the id.
     max_train_docs: int = 3000
+    #: Bound on their features, in the same order; 4 bytes each on the driver.
+    max_train_features: int = 40_000_000
     #: Fold of crc32(id as text) modulo folds that training never sees.
     folds: int = 5
     threshold: float = 0.3
@@ -55,6 +57,17 @@ class Settings:
             raise ValueError("buckets must be a power of two up to 65536")
 
 
+def _characters(data: np.ndarray) -> np.ndarray:
+    """Each UTF-8 character's bytes as one number."""
+    lead = np.flatnonzero((data & 0xC0) != 0x80)
+    size = np.diff(np.concatenate((lead, [len(data)])))
+    out = data[lead].astype(np.uint32)
+    for k in range(1, 4):
+        more = np.flatnonzero(size > k)
+        out[more] = (out[more] << np.uint32(8)) | data[lead[more] + k]
+    return out
+
+
 def features(buf: np.ndarray, offs: np.ndarray, s: Settings) -> list[tuple[np.ndarray, np.ndarray]]:
     """(row, bucket) arrays by kind of feature, over a run of rows."""
     data, begin = tx.separated(buf, offs)
@@ -71,33 +84,38 @@ def features(buf: np.ndarray, offs: np.ndarray, s: Settings) -> list[tuple[np.nd
         pair[words[:-1] == words[1:]] = 1  # any word followed by itself is one and the same bigram
         same = word_row[:-1] == word_row[1:]
         out.append((word_row[:-1][same], (pair[same] & mask).astype(np.int64)))
-    narrow = data.astype(np.uint32)
-    for k in s.byte_grams:
-        m = len(data) - k + 1
+    chars, row_of = _characters(data), row_of[(data & 0xC0) != 0x80]
+    for k in s.char_grams:
+        m = len(chars) - k + 1
         if m <= 0:
             continue
         h = np.full(m, k * 2654435761 & 0xFFFFFFFF, np.uint32)
         for i in range(k):
-            h = h * np.uint32(0x01000193) + narrow[i : i + m]
+            h = h * np.uint32(0x01000193) + chars[i : i + m]
         h = (h ^ (h >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
         h ^= h >> np.uint32(13)
         inside = row_of[:m] == row_of[k - 1 : k - 1 + m]
-        inside &= data[k - 1 : k - 1 + m] != 0  # the gap is no part of a row
+        inside &= chars[k - 1 : k - 1 + m] != 0  # the gap is no part of a row
         at = np.flatnonzero(inside)
         out.append((row_of[at], (h[at] & np.uint32(s.buckets - 1)).astype(np.int64)))
     return out
 
 
 def _counts(col: pa.Array, s: Settings) -> pa.Array:
-    """Per row: a list of its features, each the bucket in the upper and its count (at most 65535) in the lower 16 bits."""
+    """Per row: a list of its features, each the bucket in the upper and its count in the lower 16 bits; a larger count takes several."""
     rows: list = []
     for _, _, buf, offs in tx.slices(col):
         n = len(offs) - 1
         parts = features(buf, offs, s)
         key = np.concatenate([r * s.buckets + b for r, b in parts])
         key, cnt = np.unique(key, return_counts=True)
+        if len(cnt) and cnt.max() > 0xFFFF:
+            times = -(-cnt // 0xFFFF)
+            key, last = np.repeat(key, times), np.cumsum(times) - 1
+            cnt, rest = np.full(len(key), 0xFFFF), cnt - (times - 1) * 0xFFFF
+            cnt[last] = rest
         cut = np.searchsorted(key, np.arange(n + 1) * s.buckets)
-        packed = (((key % s.buckets) << 16) | np.minimum(cnt, 0xFFFF)).astype(np.uint32).view(np.int32)
+        packed = (((key % s.buckets) << 16) | cnt).astype(np.uint32).view(np.int32)
         rows += [packed[a:b] for a, b in zip(cut[:-1], cut[1:])]
     return pa.array(rows, pa.list_(pa.int32()))
 
@@ -133,8 +151,11 @@ def train(examples: list[tuple[np.ndarray, int]], s: Settings = Settings()) -> M
 
     def unpacked(i: int) -> tuple[np.ndarray, np.ndarray]:
         x = examples[i][0].view(np.uint32)
-        c = (x & np.uint32(0xFFFF)).astype(np.float32)
-        return x >> np.uint32(16), c / max(1.0, float(c.sum()))
+        b, c = x >> np.uint32(16), (x & np.uint32(0xFFFF)).astype(np.float32)
+        first = np.flatnonzero(np.concatenate(([True], b[1:] != b[:-1]))) if len(b) else np.zeros(0, np.int64)
+        if len(first) < len(b):  # a count in several parts
+            b, c = b[first], np.add.reduceat(c, first)
+        return b, c / max(1.0, float(c.sum()))
 
     steps, done = s.epochs * ((len(labels) + s.batch - 1) // s.batch), 0
     for _ in range(s.epochs):
@@ -178,8 +199,14 @@ def fit(
     )
     # Bounded by max_train_docs, so this side is broadcast.
     picked = docs.select(F.col(f"`{id_col}`").alias("__id"), F.col(f"`{text_col}`").alias("__doc")).join(F.broadcast(ids), "__id")
-    field = T.StructField("__f", T.ArrayType(T.IntegerType()))
-    found = add_columns(picked, "__doc", [field], lambda col: [_counts(col, s)], keep=["__id", "__y"]).toArrow()
+    fields = [T.StructField("__f", T.ArrayType(T.IntegerType()))]
+    rows = cut(add_columns(picked, "__doc", fields, lambda col: [_counts(col, s)], keep=["__id", "__y"]))
+    # Two numbers for each of at most max_train_docs documents: as many of them as the bound on features lets in.
+    sizes = rows.groupBy("__id").agg(F.max(F.size("__f")).alias("n")).orderBy(F.xxhash64("__id"), "__id").collect()
+    room = np.cumsum([r.n for r in sizes]) <= s.max_train_features
+    if not room.all():
+        rows = rows.where(F.col("__id").isin([r["__id"] for r, ok in zip(sizes, room) if ok]))
+    found = rows.toArrow()
     order = sorted(range(found.num_rows), key=found.column("__id").to_pylist().__getitem__)
     y, feats = found.column("__y").to_pylist(), found.column("__f").combine_chunks()
     if isinstance(feats, pa.ChunkedArray):

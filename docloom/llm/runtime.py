@@ -18,7 +18,7 @@ from docloom.functions.session import importable
 from docloom.operators.store import cut, shared_folder
 from docloom.sources import tables
 
-__all__ = ["add_columns", "cut", "keep_rows", "read_table", "shared_folder", "shuffle_width", "workers"]
+__all__ = ["add_columns", "cut", "join_counted", "keep_rows", "read_table", "shared_folder", "shuffle_width", "workers"]
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +41,25 @@ def shuffle_width(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+#: A key with more than this share of all rows is hot; so at most as many keys are.
+HOT_SHARE = 1024
+
+
+def join_counted(rows: DataFrame, table: DataFrame, by: list[str], n: str) -> DataFrame:
+    """Rows joined with a checkpointed table of distinct keys, whose column ``n`` counts the rows of each.
+
+    Keys with over 1 / HOT_SHARE of all rows are fewer than HOT_SHARE: they are
+    broadcast, and their rows stay where they are.  Rows of other keys are
+    dealt by key, none of which fills a task.
+    """
+    total, most = table.agg(F.sum(n), F.max(n)).first()
+    limit = max(1 << 12, (total or 0) // HOT_SHARE)
+    if (most or 0) <= limit:
+        return rows.join(table, by)
+    hot = F.broadcast(table.where(F.col(n) > limit))
+    return rows.join(hot, by).unionByName(rows.join(hot.select(*by), by, "left_anti").join(table.where(F.col(n) <= limit), by))
+
+
 def add_columns(
     df: DataFrame,
     text_col: str,

@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docloom.llm import text as tx
-from docloom.llm.runtime import add_columns, cut, shuffle_width, workers
+from docloom.llm.runtime import add_columns, cut, join_counted, shuffle_width, workers
 
 _NO_ID = -(1 << 63)
 _CHUNK = 1 << 20
@@ -157,15 +157,17 @@ def _settle(rows: DataFrame, s: Settings, extra: list[str] = []) -> tuple[DataFr
     """
     least = F.min(F.struct(*_SEG, *extra)).alias("rep")
     kinds = cut(rows.groupBy("key", "whole").agg(F.count("*").alias("n"), least))
-    same = rows.select("key", "whole", *_SEG).join(kinds.where("n > 1").select("key", "whole", F.struct(*[F.col(f"rep.{c}") for c in _SEG]).alias("rep")), ["key", "whole"])
+    many = kinds.where("n > 1").select("key", "whole", "n", F.struct(*[F.col(f"rep.{c}") for c in _SEG]).alias("rep"))
+    # A key may hold a large share of the segments, and a segment a large share of its key's.
+    same = join_counted(rows.select("key", "whole", *_SEG), many, ["key", "whole"], "n")
     if s.keep_first:
         same = same.where(F.struct(*_SEG) != F.col("rep"))
-    groups = kinds.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
+    groups = cut(kinds.groupBy("key").agg(F.count("*").alias("members")).where("members > 1"))
     judge = F.lit(True) if s.keep_first else F.col("n") == 1
     if "open" in extra:  # settled segments only stand to be met
         judge = judge & F.col("rep.open")
     body = [F.col("rep.body")] if "body" in extra else []
-    left = kinds.join(groups, "key").select("key", *[F.col(f"rep.{c}").alias(c) for c in _SEG], judge.alias("open"), "members", *body)
+    left = join_counted(kinds, groups, ["key"], "members").select("key", *[F.col(f"rep.{c}").alias(c) for c in _SEG], judge.alias("open"), "members", *body)
     return same.select("d", "t", *_interval(s.length)), left
 
 

@@ -54,3 +54,48 @@ def test_folds_follow_crc32(spark):
     ids = spark.range(200).withColumnRenamed("id", "doc_id").select("doc_id", (q.fold_of("doc_id", 5) == 0).alias("h")).collect()
     assert all(r.h == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in ids)
     assert ids and F is not None
+
+
+def test_features_by_brute_force(spark, sf):
+    """Each text's features are those of its words, pairs of words and runs of characters, looked at one by one."""
+    s = q.Settings()
+
+    def alone(text):
+        ((_, _, buf, offs),) = q.tx.slices(pa.array([text]))
+        return [b.tolist() for _, b in q.features(buf, offs, s)]
+
+    texts = ["ein schöner Tag 日本語 テキスト", "a  a\tb\n😀😀😀", "x"]
+    for t in texts:
+        words = t.split()
+        got = [b for _, b in q.features(*next(q.tx.slices(pa.array([t])))[2:], s)]
+        want = [alone(w)[0][0] for w in words]
+        if len(words) > 1:
+            want += [alone(f"{a} {b}")[1][0] for a, b in zip(words, words[1:])]
+        for i, k in enumerate(s.char_grams):
+            # Runs without white space stand in the last lists of a text that is one run.
+            runs = [t[j : j + k] for j in range(len(t) - k + 1)]
+            want += [alone(r)[len(alone(r)) - 1 - (k == 3 and len(r) >= 5)][0] for r in runs]
+        assert sorted(np.concatenate(got).tolist()) == sorted(want), t
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").limit(40)
+    model = q.Model(np.random.default_rng(3).normal(size=s.buckets).astype(np.float32), -0.2, s)
+    for r in q.score(docs, model).collect():
+        flat = np.concatenate([np.array(x) for x in alone(r.text)]) if r.text else np.zeros(0, int)
+        z = (model.table[flat.astype(int)].astype(float).mean() if len(flat) else 0.0) - 0.2
+        assert np.isclose(r.score, 1 / (1 + np.exp(-z)))
+
+
+def test_large_counts_are_whole():
+    s = q.Settings()
+    (row,) = q._counts(pa.array(["a " * 150_000]), s)
+    packed = np.asarray(row.values).view(np.uint32)
+    ((_, _, buf, offs),) = q.tx.slices(pa.array(["a " * 150_000]))
+    assert int((packed & 0xFFFF).sum()) == sum(len(b) for _, b in q.features(buf, offs, s)) > 4 * 0xFFFF
+    model = q.train([(np.asarray(row.values), 1), (np.asarray(q._counts(pa.array(["other words"]), s)[0].values), 0)], s)
+    scores = model.score_batch(pa.array(["a " * 150_000, "other words"]))
+    assert scores[0] > 0.5 > scores[1]
+
+
+def test_features_of_training_are_bounded(spark, docs):
+    labels = spark.createDataFrame([(1, 1, 0), (3, 0, 0), (4, 1, 0), (8, 0, 1), (9, 0, 1), (11, 1, 0)], "doc_id long, quality int, toxic int")
+    a, b = q.fit(docs, labels), q.fit(docs, labels, s=q.Settings(max_train_features=0))
+    assert a.table.any() and not b.table.any()

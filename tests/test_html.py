@@ -120,20 +120,66 @@ def test_crawl(spark):
     site = {
         "https://d.example/en/": '<a href="a.html">a</a><a href="b.html">b</a><a href="gone.html">g</a>',
         "https://d.example/en/a.html": '<a href="c.html?highlight=q">c</a><a href="/">out</a>',
-        "https://d.example/en/b.html": '<a href="index.html">home</a><a href="file.html">f</a>',
+        "https://d.example/en/b.html": '<a href="index.html">home</a><a href="file.html">f</a><a href="data">d</a>',
         "https://d.example/en/c.html": "end",
         "https://d.example/en/map.html": "from the sitemap",
     }
-    stored = spark.createDataFrame([(u, 200, "text/html", h) for u, h in site.items()] + [("https://d.example/en/file.html", 200, "image/png", "")], "url string, status int, content_type string, html string")
+    stored = spark.createDataFrame([(u, 200, "text/html", h) for u, h in site.items()] + [("https://d.example/en/file.html", 200, "image/png", ""), ("https://d.example/en/data", 200, "text/csv", "")], "url string, status int, content_type string, html string")
     fetch = lambda urls: stored.join(urls, "url", "left_semi")
     sitemap = spark.createDataFrame([("https://d.example/en/map.html",), ("https://x.example/z",)], "loc string")
     pages, counts = crawl.crawl("https://d.example/en/index.html", fetch, spark, 50, sitemap)
-    assert {r.url for r in pages.collect()} == set(site)
-    assert tuple(counts.first()) == (5, 1, 1)
+    # By its type or by its name a page.
+    assert {r.url for r in pages.collect()} == set(site) | {"https://d.example/en/file.html"}
+    assert tuple(counts.first()) == (6, 1, 1)
     few, counts = crawl.crawl("https://d.example/en/", fetch, spark, 2)
     assert few.count() == 2 and counts.first().fetched == 2
 
 
+def test_crawl_takes_pages_first_in_first_out(spark):
+    """Against a queue, one page at a time, with pages that fail, a sitemap and limits that bind."""
+    import random
+    from collections import deque
+
+    rng = random.Random(4)
+    base = "https://d.example/en/"
+    names = [f"{base}{c}.html" for c in "qwertyuiopasdfghjkl"]
+    site = {base: rng.sample(names, 3), **{n: rng.sample(names, rng.randint(0, 4)) for n in names if rng.random() < 0.8}}
+    listed = rng.sample(names, 6)
+    rows = [(u, 200, "text/html", "".join(f'<a href="{x}">x</a>' for x in links)) for u, links in site.items()]
+    stored = spark.createDataFrame(rows, "url string, status int, content_type string, html string")
+    sitemap = spark.createDataFrame([(u,) for u in listed], "loc string").coalesce(1)
+
+    def one_by_one(limit, requests):
+        queue, seen, kept = deque([base]), {base}, []
+        asked = 0
+        while queue and len(kept) < limit and asked < requests:
+            url = queue.popleft()
+            asked += 1
+            if url in site:
+                kept.append(url)
+                for link in site[url]:
+                    if link not in seen:
+                        seen.add(link)
+                        queue.append(link)
+            if asked == 1:
+                for link in listed:
+                    if link not in seen:
+                        seen.add(link)
+                        queue.append(link)
+        return kept
+
+    for limit, requests in ((1, 99), (5, 99), (9, 99), (50, 99), (50, 7)):
+        pages, _ = crawl.crawl(base, lambda urls: stored.join(urls, "url", "left_semi"), spark, limit, sitemap, requests)
+        assert [r.url for r in pages.collect()] == one_by_one(limit, requests), limit
+
+
+def test_frontier_has_no_depth_limit(spark):
+    links = spark.createDataFrame([(i, i + 1, 0) for i in range(60)], "page long, target long, pos int")
+    found = crawl.frontier(links, 0)
+    assert found.count() == 61 and found.agg({"depth": "max"}).first()[0] == 60
+    assert crawl.frontier(links, 0, max_depth=5).count() == 6
+
+
 def test_frontier_is_breadth_first(spark):
     links = spark.createDataFrame([(0, 2, 0), (0, 1, 1), (1, 3, 0), (2, 4, 0), (2, 3, 1), (3, 0, 0), (4, 5, 0)], "page long, target long, pos int")
     found = crawl.frontier(links, 0).orderBy("depth", "found_at").collect()

@@ -38,8 +38,8 @@ def empty(spark: SparkSession, table: str) -> DataFrame:
     return spark.createDataFrame([], TABLES[table])
 
 
-def conform(df: DataFrame, table: str) -> DataFrame:
-    """The table's columns in order; missing ones are added with their default (empty text, confidence 1)."""
+def conform(df: DataFrame, table: str, also: list[str] = []) -> DataFrame:
+    """The table's columns in order, then those of ``also``; missing ones are added with their default (empty text, confidence 1)."""
     from pyspark.sql.types import StructType
 
     nullable = {"anchor", "parent_entity_id", "line_start", "line_end", "toc"}
@@ -48,4 +48,4 @@ def conform(df: DataFrame, table: str) -> DataFrame:
         blank = F.lit(None) if f.name in nullable else F.lit(1.0) if f.name == "confidence" else F.lit("") if f.dataType.typeName() == "string" else F.lit(None)
         value = F.col(f"`{f.name}`") if f.name in df.columns else blank
         out.append(value.cast(f.dataType).alias(f.name) if f.name != "toc" or f.name not in df.columns else value)
-    return df.select(*out)
+    return df.select(*out, *also)

@@ -136,6 +136,10 @@ def mentions(text: str) -> list[tuple[str, str, str, float]]:
     return found
 
 
+#: A text in which any relation can be stated.
+_STATED = "|".join([f"(?i:{pattern})" for _, pattern, _ in RELATIONS] + [FROM_NAME])
+
+
 @F.pandas_udf(_MENTION)
 def mention_list(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for batch in texts:
@@ -145,35 +149,47 @@ def mention_list(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
 def text_candidates(entities: DataFrame, notes: DataFrame) -> DataFrame:
     """Candidates that the texts and notes of entities state in words."""
     importable(entities.sparkSession)
-    own = entities.select("source_base", "page_url", "entity_id", "line_start", "line_end", F.col("body_text").alias("text"))
-    noted = entities.select("source_base", "page_url", "entity_id", "line_start", "line_end").join(notes.select("entity_id", "text"), "entity_id")
-    each = own.unionByName(noted).select("*", F.explode(mention_list("text")).alias("m"))
-    return unique_candidates(schema.conform(each.select("source_base", "page_url", F.col("entity_id").alias("from_entity_id"), F.lit("text_inference").alias("source_kind"), "line_start", "line_end", "m.*"), "candidates"))
+    place = ["source_base", "page_url", "entity_id", "line_start", "line_end"]
+    number = F.col("ord") if "ord" in notes.columns else F.lit(0)
+    own = entities.select(*place, F.lit(-1).alias("part"), F.col("body_text").alias("text"))
+    noted = entities.select(*place).join(notes.select("entity_id", number.cast("int").alias("part"), "text"), "entity_id")
+    # A pattern in the JVM finds the texts that state anything; Python sees those alone.
+    some = own.unionByName(noted).where(F.col("text").rlike(_STATED))
+    each = some.select("*", F.posexplode(mention_list("text")).alias("at", "m"))
+    found = each.select("source_base", "page_url", F.col("entity_id").alias("from_entity_id"), F.lit("text_inference").alias("source_kind"), "line_start", "line_end", "m.*", "part", "at")
+    return unique_candidates(schema.conform(found, "candidates", ["part", "at"]), ["part", "at"])
 
 
 def link_candidates(entities: DataFrame) -> DataFrame:
-    """Candidates from the links of entities with an array ``xrefs``; a confidence of 0 or null is 1."""
-    each = entities.select("source_base", "page_url", F.col("entity_id").alias("from_entity_id"), "line_start", "line_end", F.explode("xrefs").alias("x"))
+    """Candidates from the links of entities with an array ``xrefs``, the first of equals; a confidence of 0 or null is 1."""
+    each = entities.select("source_base", "page_url", F.col("entity_id").alias("from_entity_id"), "line_start", "line_end", F.posexplode("xrefs").alias("at", "x"))
     text = lambda c: F.coalesce(F.col(f"x.{c}"), F.lit("")).alias(c)
     sure = F.coalesce(F.nullif(F.col("x.confidence"), F.lit(0.0)), F.lit(1.0)).alias("confidence")
     kind = F.coalesce(F.nullif(F.col("x.source_kind"), F.lit("")), F.lit("xref")).alias("source_kind")
     cols = [text(c) for c in ("edge_type", "target_url", "target_anchor", "target_name", "snippet")]
-    return unique_candidates(schema.conform(each.select("source_base", "page_url", "from_entity_id", "line_start", "line_end", kind, sure, *cols), "candidates"))
+    found = each.select("source_base", "page_url", "from_entity_id", "line_start", "line_end", kind, sure, *cols, "at")
+    return unique_candidates(schema.conform(found, "candidates", ["at"]), ["at"])
 
 
-def _first_of(rows: DataFrame, key: list[str]) -> DataFrame:
-    """One row for each key: the surest, then the least of the other columns."""
-    others = [c for c in rows.columns if c not in key]
-    chosen = rows.groupBy(*key).agg(F.max(F.struct(*[F.col(c) for c in sorted(others, key=lambda c: c != "confidence")])).alias("__r"))
-    return chosen.select(*[F.col(c) if c in key else F.col(f"__r.{c}").alias(c) for c in rows.columns])
+def _first_of(rows: DataFrame, key: list[str], order: list[str] | None) -> DataFrame:
+    """One row for each key: the first by the columns of ``order``, which are dropped; without them the surest, then the greatest of the other columns."""
+    others = [c for c in rows.columns if c not in key and c not in (order or [])]
+    if order:
+        kept = F.min_by(F.struct(*others), F.struct(*order))
+    else:
+        kept = F.max(F.struct(*sorted(others, key=lambda c: c != "confidence")))
+    chosen = rows.groupBy(*key).agg(kept.alias("__r"))
+    return chosen.select(*[F.col(c) if c in key else F.col(f"__r.{c}").alias(c) for c in rows.columns if c in key or c in others])
 
 
-def unique_edges(edges: DataFrame) -> DataFrame:
-    return _first_of(edges, schema.EDGE_KEY)
+def unique_edges(edges: DataFrame, order: list[str] | None = None) -> DataFrame:
+    """Edges, each once. ``order`` names columns by which the first of equal keys stays."""
+    return _first_of(edges, schema.EDGE_KEY, order)
 
 
-def unique_candidates(candidates: DataFrame) -> DataFrame:
-    return _first_of(candidates, schema.CANDIDATE_KEY)
+def unique_candidates(candidates: DataFrame, order: list[str] | None = None) -> DataFrame:
+    """Candidates, each once. ``order`` names columns by which the first of equal keys stays."""
+    return _first_of(candidates, schema.CANDIDATE_KEY, order)
 
 
 # --- resolution --------------------------------------------------------------------
@@ -308,23 +324,29 @@ def top_unresolved(candidates: DataFrame, entities: DataFrame, key: str = "cid",
 
 
 def stats(pages: DataFrame, entities: DataFrame, edges: DataFrame, candidates: DataFrame, source_base: str) -> DataFrame:
-    """One row of diagnostics of a root."""
+    """One row of diagnostics of a root, as one plan: aggregates of one row each, side by side."""
     mine = F.col("source_base") == source_base
-    own = entities.where(mine)
-    keyed = candidates.where(mine).withColumn("cid", F.monotonically_increasing_id())
-    as_map = lambda df, c: df.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(c, "n"))))).first()[0]
-    lost = unresolved(keyed, own)
+    own, near = entities.where(mine), edges.where(mine)
+    lost = unresolved(candidates.where(mine).withColumn("cid", F.monotonically_increasing_id()), own)
+
+    def number(df: DataFrame, name: str) -> DataFrame:
+        return df.agg(F.count("*").alias(name))
+
+    def counted(column: str, name: str) -> DataFrame:
+        return histogram(near, column).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(column, "n")))).alias(name))
+
     target = F.coalesce(F.nullif("target_anchor", F.lit("")), F.col("target_name"), F.col("target_url")).alias("target")
     worst = lost.groupBy(target).agg(F.count("*").alias("count")).orderBy(F.desc("count"), "target").limit(20)
-    row = (
-        source_base,
-        pages.where(mine).count(),
-        own.count(),
-        as_map(histogram(edges.where(mine), "edge_type"), "edge_type"),
-        as_map(histogram(edges.where(mine), "source_kind"), "source_kind"),
-        lost.count(),
-        [(r["target"], r["count"]) for r in worst.collect()],
-        stale_edges(edges.where(mine), entities).count(),
-    )
-    ddl = "source_base string, pages long, entities long, edges_by_type map<string,long>, edges_by_source map<string,long>, unresolved long, top_unresolved array<struct<target string, count long>>, stale_edges long"
-    return pages.sparkSession.createDataFrame([row], ddl)
+    ranked = F.array_sort(F.collect_list(F.struct((-F.col("count")).alias("less"), "target")))
+    parts = [
+        number(pages.where(mine), "pages"),
+        number(own, "entities"),
+        counted("edge_type", "edges_by_type"),
+        counted("source_kind", "edges_by_source"),
+        number(lost, "unresolved"),
+        worst.agg(F.transform(ranked, lambda x: F.struct(x.target.alias("target"), (-x.less).alias("count"))).alias("top_unresolved")),
+        number(stale_edges(near, entities), "stale_edges"),
+    ]
+    # Each part has one row, and so has their join.
+    whole = reduce(lambda a, b: a.join(b, "__one"), [p.withColumn("__one", F.lit(1)) for p in parts])
+    return whole.select(F.lit(source_base).alias("source_base"), *[p.columns[0] for p in parts])

@@ -6,8 +6,6 @@ Texts are analysed by the ``simple`` analyzer here, which SQL can express; the
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,32 +15,12 @@ from docloom.operators import catalog, chunks, graph, search
 from docloom.operators import index as ix
 from docloom.operators.query import Stage
 from docloom.plans import fixtures as fx
+from docloom.plans import manual, texts  # noqa: F401  (they register their queries)
+from docloom.plans.book import oracle_sql, queries  # noqa: F401
+from docloom.plans.book import query as _query
 from docloom.sources import crawl, html, tables
 from docloom.streaming import ingest
 
-Query = Callable[[SparkSession, str], DataFrame]
-_QUERIES: dict[str, Query] = {}
-_SQL: dict[str, str] = {}
-
-
-def _query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        _QUERIES[name] = f
-        if sql is not None:
-            _SQL[name] = sql
-        return f
-
-    return add
-
-
-def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
-
-
-def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
-
-
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as pages."""
     return fx.frame(spark, sf_dir, fx.PAGES).withColumn("title", F.substring_index(F.col("body"), "\n", 1))
@@ -217,13 +195,6 @@ def best_snippet_line(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pages(spark, sf_dir).select("url", search.best_line(F.col("body"), "erthat thing").alias("b")).select("url", "b.line", "b.offset")
 
 
-@_query("search_pages")
-def search_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole search: chunks, stages, cap, one hit for each page, line."""
-    pages = _pages(spark, sf_dir)
-    return search.search(None, chunks.chunk(pages), pages, "thing erthat nothing else matters here", 20)
-
-
 # --- pages ---------------------------------------------------------------------------
 
 
@@ -256,11 +227,6 @@ def fetch_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pages(spark, sf_dir).select("url", tx.line_slice(F.col("body"), 3, 8).alias("p")).select("url", "p.*")
 
 
-@_query("chunk_pages")
-def chunk_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunks.chunk(_pages(spark, sf_dir)).select("url", "ord", "line_start", "line_end", F.length("chunk").alias("size"))
-
-
 @_query(
     "paragraph_spans",
     f"""WITH {_WITH_PAGES}, l AS (SELECT url, string_split(replace(body, '. ', chr(10) || chr(10)), chr(10)) AS r FROM p),
@@ -328,7 +294,7 @@ def bfs_frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crawl.frontier(fx.frame(spark, sf_dir, fx.LINKS), 0, max_depth=6).select("page", "depth")
 
 
-@_query("sitemap_locations")
+@_query("sitemap_locations", "SELECT CAST(floor(page_id / 50) AS BIGINT) AS no, url AS loc, false AS nested FROM pages")
 def sitemap_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Page URLs written as a sitemap of 50 each, and read again."""
     pages = tables.read(spark, sf_dir, "pages").select(F.floor(F.col("page_id") / 50).alias("no"), F.replace("url", F.lit("&"), F.lit("&amp;")).alias("url"))
@@ -336,11 +302,6 @@ def sitemap_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crawl.sitemap_locations(maps, "xml").select("no", "loc", "nested")
 
 
-@_query("render_pages")
-def render_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html.parse(tables.read(spark, sf_dir, "pages")).select("url", "title", F.length("body").alias("n_chars"))
-
-
 @_query("page_titles", "SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title FROM pages")
 def page_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.read(spark, sf_dir, "pages").select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"))
@@ -560,31 +521,33 @@ def stale_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 _EDGE_KEY = "from_entity_id, to_entity_id, edge_type, source_kind, param_name, page_url, line_start, line_end"
 
 
-@_query("edge_dedupe", f"WITH {_WITH_GRAPH} SELECT {_EDGE_KEY}, max(confidence) AS confidence FROM g GROUP BY ALL")
+@_query("edge_dedupe", f"WITH {_WITH_GRAPH} SELECT {_EDGE_KEY}, arg_min(confidence, edge_no) AS confidence FROM g GROUP BY ALL")
 def edge_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.unique_edges(_edges(spark, sf_dir).drop("edge_no")).select(*_EDGE_KEY.split(", "), "confidence")
+    """Of edges with equal keys the first stays."""
+    return graph.unique_edges(_edges(spark, sf_dir), ["edge_no"]).select(*_EDGE_KEY.split(", "), "confidence")
 
 
 @_query(
     "xref_dedupe",
-    f"WITH {_WITH_GRAPH} SELECT from_entity_id, edge_type, source_kind, target_url, target_anchor, target_name, snippet, max(confidence) AS confidence FROM c GROUP BY ALL",
+    f"WITH {_WITH_GRAPH} SELECT from_entity_id, edge_type, source_kind, target_url, target_anchor, target_name, snippet, arg_min(confidence, cid) AS confidence FROM c GROUP BY ALL",
 )
 def xref_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = graph.unique_candidates(_candidates(spark, sf_dir).drop("cid"))
+    """Of candidates with equal keys the first stays."""
+    found = graph.unique_candidates(_candidates(spark, sf_dir), ["cid"])
     return found.select("from_entity_id", "edge_type", "source_kind", "target_url", "target_anchor", "target_name", "snippet", "confidence")
 
 
 @_query(
     "entity_edges",
-    f"WITH {_WITH_GRAPH} SELECT {_EDGE_KEY}, confidence FROM (SELECT {_EDGE_KEY}, max(confidence) AS confidence FROM g GROUP BY ALL) WHERE from_entity_id = 'n3' AND edge_type = 'references' "
+    f"WITH {_WITH_GRAPH} SELECT {_EDGE_KEY}, confidence FROM (SELECT {_EDGE_KEY}, arg_min(confidence, edge_no) AS confidence FROM g GROUP BY ALL) WHERE from_entity_id = 'n3' AND edge_type = 'references' "
     "ORDER BY edge_type, source_kind, to_entity_id, from_entity_id, param_name, page_url, line_start LIMIT 50",
 )
 def entity_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = graph.unique_edges(_edges(spark, sf_dir).drop("edge_no"))
+    edges = graph.unique_edges(_edges(spark, sf_dir), ["edge_no"])
     return graph.neighbours(edges, "n3", "out", "references").select(*_EDGE_KEY.split(", "), "confidence")
 
 
-_NEAR = """d AS (SELECT *, max(confidence) OVER (PARTITION BY from_entity_id, to_entity_id, edge_type, source_kind, page_url, line_start) AS best FROM g),
+_NEAR = """d AS (SELECT *, first_value(confidence) OVER (PARTITION BY from_entity_id, to_entity_id, edge_type, source_kind, page_url, line_start ORDER BY edge_no) AS best FROM g),
 k AS (SELECT DISTINCT from_entity_id, to_entity_id, edge_type, source_kind, page_url, line_start, best AS confidence FROM d),
 b AS (SELECT *, 'out' AS direction, 0 AS dn FROM k WHERE from_entity_id = '{0}' UNION ALL SELECT *, 'in', 1 FROM k WHERE to_entity_id = '{0}'),
 t AS (SELECT * FROM b ORDER BY dn, edge_type, source_kind, to_entity_id, from_entity_id, page_url, line_start LIMIT {1})"""
@@ -598,7 +561,7 @@ CASE WHEN direction = 'in' AND edge_type = 'returns' THEN 'returned_by' WHEN dir
 e.qualname AS target FROM t JOIN e ON e.entity_id = CASE t.direction WHEN 'out' THEN t.to_entity_id ELSE t.from_entity_id END""",
 )
 def related_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = graph.unique_edges(_edges(spark, sf_dir).drop("edge_no"))
+    edges = graph.unique_edges(_edges(spark, sf_dir), ["edge_no"])
     found = graph.related(edges, _entities(spark, sf_dir), "r2")
     return found.select("direction", "edge_type", "source_kind", "confidence", "source_page_url", "line_start", "relation_label", F.col("target.qualname").alias("target"))
 
@@ -612,7 +575,7 @@ s AS (SELECT t.*, x.qualname AS a, y.qualname AS z, row_number() OVER (ORDER BY
 SELECT direction, string_agg(a || ' ' || edge_type || ' ' || z, ';' ORDER BY place) AS relations FROM s WHERE place <= 30 GROUP BY direction""",
 )
 def compact_related(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = graph.unique_edges(_edges(spark, sf_dir).drop("edge_no"))
+    edges = graph.unique_edges(_edges(spark, sf_dir), ["edge_no"])
     found = graph.compact_related(edges, _entities(spark, sf_dir), "r1")
     return found.select("direction", F.array_join("relations", ";").alias("relations"))
 
@@ -627,15 +590,6 @@ def graph_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("source_base", "entities", "unresolved", "stale_edges")
 
 
-@_query("text_inference")
-def text_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Relations stated in turns of conversations."""
-    turns = _turns(spark, sf_dir)
-    said = F.concat(F.col("chunk"), F.lit(". It must be used with "), F.col("title"), F.lit("_x and is similar to Turn. See from_user_turn."))
-    entities = turns.select(F.concat_ws("#", "url", "ord").alias("entity_id"), F.lit("talk").alias("source_base"), F.col("url").alias("page_url"), F.lit(None).cast("int").alias("line_start"), F.lit(None).cast("int").alias("line_end"), said.alias("body_text"))
-    return graph.text_candidates(entities, spark.createDataFrame([], "entity_id string, text string"))
-
-
 # --- incremental --------------------------------------------------------------------------------------
 
 

@@ -18,10 +18,10 @@ later copies go.  Blank lines alone are no repeated run; with ``min_lines`` 1 a
 blank line goes if it and a line beside it that isn't blank stand together
 elsewhere before.
 
-The longest common prefix of a later suffix and the first of its deepest
-interval follows by binary descent over the stored rounds: equal ranks at depth
-2**k move both on by as many lines.  ``longest_run`` is the greatest of a
-document's.
+In a document's deepest interval, of depth 2**k, later suffixes of consecutive
+lines whose intervals have consecutive firsts follow one earlier place: c + 1 of
+them have a longest common prefix of 2**k + c lines with it, a maximal repeated
+run.  ``longest_run`` is the greatest of a document's.
 
 Everything is DataFrame functions; keys are pre-aggregated before they are
 joined, and ranks, never groups, are collected by key.
@@ -36,8 +36,9 @@ returns is blank.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.llm.runtime import cut
@@ -81,7 +82,7 @@ def _numbered(lines: DataFrame) -> Suffixes:
     # One row of three numbers: how many bits the parts of a suffix need.
     top = ordered.agg(F.max(F.shiftright("m", _ROW_BITS)).alias("part"), F.max(row).alias("row")).first()
     longest = lines.agg(F.max("pos")).first()[0]
-    row_bits, bits = (top.row or 0).bit_length(), (longest or 0).bit_length()
+    row_bits, bits = (top.row or 0).bit_length(), ((longest or 0) + 1).bit_length()
     if (top.part or 0).bit_length() + row_bits + bits > 62:
         raise ValueError("documents and lines are too many for 62 bits")
     names = ordered.select("d", "t", (F.shiftleft(F.shiftright("m", _ROW_BITS), row_bits) + row).alias("m"))
@@ -110,44 +111,46 @@ def suffixes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return Suffixes(cut(suffix.join(cut(_intervals(suffix, ["r"])), "r").select("s", "r", "first", "solid")), found.names, found.bits)
 
 
-def _paired(x: Suffixes, ranked: DataFrame, step: int) -> DataFrame:
-    """(s, a, b, solid): the suffixes with a second rank, ``step`` lines on in the same document."""
-    ahead = ranked.where(x.line() >= step).select((F.col("s") - step).alias("s"), F.col("r").alias("b"), F.col("solid").alias("more"))
-    return ranked.select("s", F.col("r").alias("a"), "solid").join(ahead, "s").select("s", "a", "b", (F.col("solid") | F.col("more")).alias("solid"))
+def _with_ahead(x: Suffixes, ranked: DataFrame, step: int) -> DataFrame:
+    """Ranked suffixes with b and more: rank and solid of the suffix ``step`` lines on in the same document, if it has one."""
+    there = Window.partitionBy("m").orderBy("s").rangeBetween(step, step)
+    return ranked.withColumn("m", x.number()).withColumns({"b": F.first("r").over(there), "more": F.first("solid").over(there)})
 
 
-def double(x: Suffixes, ranked: DataFrame, depth: int) -> DataFrame:
-    """Ranks by the first 2 * depth lines, of the suffixes that share them."""
-    pairs = _paired(x, ranked, depth)
+def _pairs(ahead: DataFrame) -> DataFrame:
+    """(s, a, b, solid): the suffixes with a second rank."""
+    return ahead.where("b is not null").select("s", F.col("r").alias("a"), "b", (F.col("solid") | F.col("more")).alias("solid"))
+
+
+def walk(x: Suffixes, ranked: DataFrame, depth: int) -> DataFrame:
+    """A round's suffixes with what the next round needs, and ``run``.
+
+    ``run``, of a later suffix, is the length of the run that ends with its
+    window and follows one earlier place line by line.  A task holds the
+    suffixes of one document at a time.
+    """
+    near = Window.partitionBy("m").orderBy("s")
+    later = F.col("first") < F.col("s")
+    follows = later & (F.lag("s").over(near) == F.col("s") - 1) & (F.lag("first").over(near) == F.col("first") - 1)
+    begun = F.last(F.when(later & ~F.coalesce(follows, F.lit(False)), F.col("s")), ignorenulls=True).over(near.rowsBetween(Window.unboundedPreceding, 0))
+    return cut(_with_ahead(x, ranked, depth).withColumn("run", F.when(later, F.col("s") - begun + depth)))
+
+
+def double(walked: DataFrame) -> DataFrame:
+    """Ranks by twice as many lines, of the suffixes that share them."""
+    pairs = _pairs(walked)
     # Numbers that grow with the sorted pairs: the order of the suffixes.
     names = _intervals(pairs, ["a", "b"]).orderBy("a", "b").withColumn("r", F.monotonically_increasing_id())
-    return cut(pairs.join(names, ["a", "b"]).select("s", "r", "first", "solid"))
+    return pairs.join(names, ["a", "b"]).select("s", "r", "first", "solid")
 
 
-def _windows(x: Suffixes, ranked: DataFrame, depth: int, size: int) -> DataFrame:
+def _windows(x: Suffixes, walked: DataFrame, depth: int, size: int) -> DataFrame:
     """The later suffixes of the intervals of ``size`` lines, depth <= size < 2 * depth, that aren't all blank."""
+    found = walked
     if size > depth:
-        pairs = _paired(x, ranked, size - depth)
-        ranked = pairs.join(_intervals(pairs, ["a", "b"]), ["a", "b"])
-    return ranked.where(F.col("solid") & (F.col("first") < F.col("s"))).select("s")
-
-
-def _longest(x: Suffixes, rounds: list[DataFrame]) -> DataFrame:
-    """(m, longest): of each document with later copies the greatest common prefix of one and its deepest interval's first."""
-    now = None
-    for k in range(len(rounds) - 1, -1, -1):
-        if now is not None:
-            # As many lines again, if both places have the same rank there.
-            mine = rounds[k].select((F.col("s")).alias("at"), F.col("r").alias("a"))
-            its = rounds[k].select((F.col("s")).alias("to"), F.col("r").alias("b"))
-            ahead = now.withColumn("at", F.col("s") + F.col("n")).withColumn("to", F.col("first") + F.col("n"))
-            same = F.coalesce(F.col("a") == F.col("b"), F.lit(False))
-            inside = (F.shiftright("at", x.bits) == F.col("m")) & (F.shiftright("to", x.bits) == F.shiftright("first", x.bits))
-            now = ahead.join(mine, "at", "left").join(its, "to", "left").select("m", "s", "first", (F.col("n") + F.when(same & inside, 1 << k).otherwise(0)).alias("n"))
-        # Documents whose deepest later copies are of this round.
-        new = rounds[k].where(F.col("first") < F.col("s")).select(x.number().alias("m"), "s", "first", F.lit(1 << k).cast("long").alias("n"))
-        now = cut(new if now is None else now.unionByName(new.join(now.select("m").distinct(), "m", "left_anti")))
-    return now.groupBy("m").agg(F.max("n").alias("longest")) if now is not None else None
+        pairs = _pairs(_with_ahead(x, walked.select("s", "r", "solid"), size - depth))
+        found = pairs.join(_intervals(pairs, ["a", "b"]), ["a", "b"])
+    return found.where(F.col("solid") & (F.col("first") < F.col("s"))).select("s")
 
 
 def find_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s: Settings = Settings()) -> DataFrame:
@@ -155,21 +158,24 @@ def find_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if s.min_lines < 1:
         raise ValueError("min_lines must be at least 1")
     x = suffixes(docs, id_col, text_col)
-    ranked, depth, rounds, lines = x.ranked, 1, [], []
+    depth, lines, runs = 1, [], []
     # A blank line goes with a neighbour that isn't blank.
     sizes = (1, 2) if s.min_lines == 1 else (s.min_lines,)
-    while not ranked.isEmpty():
+    walked = walk(x, x.ranked, depth)
+    while True:
         for size in sizes:
             if depth <= size < 2 * depth:
-                later = _windows(x, ranked, depth, size)
+                later = _windows(x, walked, depth, size)
                 lines.append(later.select(F.explode(F.sequence(F.col("s"), F.col("s") + (size - 1))).alias("s")) if size > 1 else later)
-        rounds.append(ranked)
-        ranked, depth = double(x, ranked, depth), 2 * depth
-    gone = x.ranked.select("s").where(F.lit(False))
+        runs.append(walked.where("run is not null").groupBy("m").agg(F.max("run").alias("run")).withColumn("depth", F.lit(depth)))
+        if walked.where("b is not null").isEmpty():
+            break
+        walked, depth = walk(x, double(walked), 2 * depth), 2 * depth
+    gone = walked.select("s").where(F.lit(False))
     for part in lines:
         gone = gone.unionByName(part)
     gone = gone.groupBy(x.number().alias("m")).agg(F.sort_array(F.collect_set(x.line().cast("int"))).alias("gone"))
-    longest = _longest(x, rounds or [x.ranked])
+    longest = reduce(DataFrame.unionByName, runs).groupBy("m").agg(F.max_by("run", "depth").alias("longest"))
     found = gone.join(longest, "m", "full").join(x.names, "m")
     return found.select(F.col("d").alias("__d"), F.col("t").alias("__t"), "gone", F.when(F.col("longest") >= s.min_lines, F.col("longest")).alias("longest"))
 
@@ -221,9 +227,9 @@ g AS (SELECT DISTINCT doc_id, unnest(CASE WHEN k = 0 THEN [i] ELSE [i, i + 1] EN
 s AS (SELECT doc_id, i, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS island FROM g),
 n AS (SELECT doc_id, count(*) AS n_removed, count(DISTINCT island) AS n_spans FROM s GROUP BY doc_id),
 e AS (SELECT doc_id, max(k) AS k FROM f GROUP BY doc_id),
-c AS (SELECT f.doc_id, f.i, f.fi AS j, a.lines AS x, b.lines AS y, least(len(a.lines) - f.i, len(b.lines) - f.fi) + 1 AS most
-      FROM f JOIN e ON e.doc_id = f.doc_id AND e.k = f.k JOIN l a ON a.doc_id = f.doc_id JOIN l b ON b.doc_id = f.fd),
-d AS (SELECT doc_id, max(coalesce(list_position([x[i + t] = y[j + t] FOR t IN range(0, most)], false) - 1, most)) AS longest_run FROM c GROUP BY doc_id),
+c AS (SELECT f.doc_id, f.k, fd, f.i - fi AS shift, f.i - row_number() OVER (PARTITION BY f.doc_id, fd, f.i - fi ORDER BY f.i) AS island FROM f JOIN e ON e.doc_id = f.doc_id AND e.k = f.k),
+r AS (SELECT doc_id, count(*) + (1 << any_value(k)) - 1 AS run FROM c GROUP BY doc_id, fd, shift, island),
+d AS (SELECT doc_id, max(run) AS longest_run FROM r GROUP BY doc_id),
 t AS (SELECT p.doc_id, string_agg(p.lines[p.i], chr(10) ORDER BY p.i) AS kept FROM p LEFT JOIN g ON g.doc_id = p.doc_id AND g.i = p.i
       WHERE g.i IS NULL GROUP BY p.doc_id)
 SELECT l.doc_id, CAST(coalesce(len(lines), 0) AS BIGINT) AS n_lines, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,

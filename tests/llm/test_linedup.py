@@ -19,24 +19,25 @@ def brute(texts, m=1):
 
 
 def longest(texts):
-    """Of each text the greatest common prefix of a line's suffix and the first place of its deepest power-of-two window."""
+    """Of each text the longest run that follows one earlier place, of the windows of its deepest power of two."""
     rows, out = [t.split("\n") for t in texts], []
     for d, mine in enumerate(rows):
-        best, deepest = 0, 0
-        for i in range(len(mine)):
-            depth = 1
-            while i + depth <= len(mine):
-                places = [(e, j) for e in range(d + 1) for j in range(len(rows[e]) - depth + 1) if rows[e][j : j + depth] == mine[i : i + depth]]
-                if places[0] != (d, i):
-                    e, j = places[0]
-                    n = 0
-                    while i + n < len(mine) and j + n < len(rows[e]) and mine[i + n] == rows[e][j + n]:
-                        n += 1
-                    if depth > deepest:
-                        deepest, best = depth, 0
-                    if depth == deepest:
-                        best = max(best, n)
-                depth *= 2
+        best, depth = 0, 1
+        while depth <= len(mine):
+            first = {}
+            for i in range(len(mine) - depth + 1):
+                e, j = next((e, j) for e in range(d + 1) for j in range(len(rows[e]) - depth + 1) if rows[e][j : j + depth] == mine[i : i + depth])
+                if (e, j) != (d, i):
+                    first[i] = (e, j)
+            if not first:
+                break
+            best = 0
+            for i in first:
+                n = 1
+                while i + n in first and first[i + n] == (first[i][0], first[i][1] + n):
+                    n += 1
+                best = max(best, depth + n - 1)
+            depth *= 2
         out.append(best)
     return out
 
@@ -63,7 +64,7 @@ def test_ranks_are_suffix_order(spark):
     docs = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")
     x = ld.suffixes(docs)
     line = {r.s: r.r for r in x.ranked.collect()}
-    pairs = {r.s: r.r for r in ld.double(x, x.ranked, 1).collect()}
+    pairs = {r.s: r.r for r in ld.double(ld.walk(x, x.ranked, 1)).collect()}
     for i, a in pairs.items():
         for j, b in pairs.items():
             left, right = (line[i], line[i + 1]), (line[j], line[j + 1])

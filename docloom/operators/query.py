@@ -10,6 +10,13 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from docloom.functions.session import importable
+
 #: Words that never become search terms.
 STOPWORDS = frozenset(
     "a an and are as at be been but by can could did do does for from had has have how i if in into is it its may might must my no not of on or our "
@@ -105,3 +112,13 @@ def stages(text: str) -> list[Stage]:
 def primary_and_fallback(text: str) -> tuple[Stage | None, Stage | None]:
     found = stages(text)
     return (found[0] if found else None, found[-1] if len(found) > 1 else None)
+
+
+def plans(queries: DataFrame, column: str) -> DataFrame:
+    """The batch form: adds ``plan``, the match strings of each query's stages."""
+
+    def planned(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: [s.match() for s in stages(t or "")])
+
+    importable(queries.sparkSession)
+    return queries.withColumn("plan", F.pandas_udf(planned, T.ArrayType(T.StringType()))(F.col(f"`{column}`")))

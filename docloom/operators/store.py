@@ -12,12 +12,30 @@ from pyspark.sql import DataFrame, SparkSession
 from docloom.functions import schema
 
 
+_CLEANED: set[str] = set()
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none."""
+    """The folder that driver and executors share, this application's own part of it.
+
+    Where the session names none, a local one gets a temporary folder; a
+    cluster has none that all nodes see, so that is an error.  What is in it
+    goes when the driver ends.
+    """
     sc = spark.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="docloom-checkpoint-"))
-    return sc._jsc.sc().getCheckpointDir().get()
+    held = sc._jsc.sc().getCheckpointDir()
+    if not held.isDefined():
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all nodes share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="docloom-checkpoint-"))
+        held = sc._jsc.sc().getCheckpointDir()
+    own = held.get()
+    if own not in _CLEANED:
+        path = spark._jvm.org.apache.hadoop.fs.Path(own)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+        _CLEANED.add(own)
+    return own
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -35,7 +53,10 @@ class Store:
 
     @classmethod
     def default(cls, spark: SparkSession) -> "Store":
-        return cls(spark, spark.conf.get("docloom.store", None) or os.path.join(os.getcwd(), "docloom-store"))
+        path = spark.conf.get("docloom.store", None)
+        if path is None and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set docloom.store to a folder that all nodes share")
+        return cls(spark, path or os.path.join(os.getcwd(), "docloom-store"))
 
     def _fs(self):
         jvm = self.spark._jvm

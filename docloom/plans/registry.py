@@ -15,7 +15,7 @@ from docloom.operators import catalog, chunks, graph, search
 from docloom.operators import index as ix
 from docloom.operators.query import Stage
 from docloom.plans import fixtures as fx
-from docloom.plans import manual, texts  # noqa: F401  (they register their queries)
+from docloom.plans import manual, stores, texts  # noqa: F401  (they register their queries)
 from docloom.plans.book import oracle_sql, queries  # noqa: F401
 from docloom.plans.book import query as _query
 from docloom.sources import crawl, html, tables

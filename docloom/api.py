@@ -31,10 +31,10 @@ class Engine:
         return self.store.read(name)
 
     def _chunk_index(self) -> ix.Index:
-        return ix.Index(self._t("chunk_postings"), self._t("chunk_lengths"), ("url", "ord"), ("title", "chunk"), "english")
+        return ix.Index(self._t("chunk_postings"), self._t("chunk_lengths"), ("url", "ord"), ("title", "chunk"), "english", self._t("chunk_totals"))
 
     def _entity_index(self) -> ix.Index:
-        return ix.Index(self._t("entity_postings"), self._t("entity_lengths"), ("entity_id",), (*catalog.SEARCHED, "body"), "english")
+        return ix.Index(self._t("entity_postings"), self._t("entity_lengths"), ("entity_id",), (*catalog.SEARCHED, "body"), "english", self._t("entity_totals"))
 
     # --- indexing ---
 

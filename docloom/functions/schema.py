@@ -26,7 +26,8 @@ CHUNK_POSTINGS = "term string, url string, ord int, length long, positions array
 CHUNK_LENGTHS = "url string, ord int, length long"
 ENTITY_POSTINGS = "term string, entity_id string, length long, positions array<int>"
 ENTITY_LENGTHS = "entity_id string, length long"
-INDEXES = {"chunk_postings": CHUNK_POSTINGS, "chunk_lengths": CHUNK_LENGTHS, "entity_postings": ENTITY_POSTINGS, "entity_lengths": ENTITY_LENGTHS}
+INDEX_TOTALS = "n long, mean double"
+INDEXES = {"chunk_totals": INDEX_TOTALS, "entity_totals": INDEX_TOTALS, "chunk_postings": CHUNK_POSTINGS, "chunk_lengths": CHUNK_LENGTHS, "entity_postings": ENTITY_POSTINGS, "entity_lengths": ENTITY_LENGTHS}
 TABLES = {"pages": PAGES, "chunks": CHUNKS, "entities": ENTITIES, "params": PARAMS, "notes": NOTES, "edges": EDGES, "candidates": CANDIDATES, **INDEXES}
 
 #: Columns whose equality makes two rows one; null line numbers are equal.

@@ -29,6 +29,8 @@ class Index:
     """``postings``: term, keys, length, positions; ``lengths``: keys, length (tokens of all columns).
 
     A posting holds its row's length, so that a query never joins the lengths.
+    ``totals`` (n, mean), one row, is what a query needs of all lengths; a
+    stored index keeps it, so that no query reads them.
     """
 
     postings: DataFrame
@@ -36,6 +38,11 @@ class Index:
     keys: tuple[str, ...]
     columns: tuple[str, ...]
     analyzer: str
+    totals: DataFrame | None = None
+
+
+def totals(lengths: DataFrame) -> DataFrame:
+    return lengths.agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
 
 
 def build(rows: DataFrame, keys: list[str], columns: list[str], analyzer: str = "english") -> Index:
@@ -129,7 +136,7 @@ def _frequency(phrase: tuple[str, ...], terms: list[str]) -> Column:
 def look_up(index: Index, plan: Plan, only: list[str] | None = None) -> Hits:
     """Frequencies from the postings of the query's terms. ``only``: columns that may match."""
     keys = list(index.keys)
-    stats = index.lengths.agg(F.count("*").alias("n"), F.avg("length").alias("mean")).first()
+    stats = (totals(index.lengths) if index.totals is None else index.totals).first() or (0, None)
     found = index.postings.where(F.col("term").isin(plan.terms))
     if only is not None:
         bases = [i for i, c in enumerate(index.columns) if c in only]
@@ -138,7 +145,7 @@ def look_up(index: Index, plan: Plan, only: list[str] | None = None) -> Hits:
     merged = found.groupBy(*keys).agg(F.max("length").alias("length"), F.map_from_entries(F.collect_list(F.struct("term", "positions"))).alias("at"))
     none = F.array().cast("array<int>")
     hits = merged.select(*keys, "length", *[F.coalesce(F.col("at")[t], none).alias(f"at_{i}") for i, t in enumerate(plan.terms)])
-    return Hits(hits.select(*keys, "length", *[_frequency(p, plan.terms).alias(f"f_{j}") for j, p in enumerate(plan.phrases)]), float(stats.n), stats.mean)
+    return Hits(hits.select(*keys, "length", *[_frequency(p, plan.terms).alias(f"f_{j}") for j, p in enumerate(plan.phrases)]), float(stats[0]), stats[1])
 
 
 def _flag(stage: tuple[tuple[int, ...], tuple[int, ...]]) -> Column:

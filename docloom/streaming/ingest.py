@@ -51,6 +51,11 @@ def prune_incoming(edges: DataFrame, old: DataFrame, new: DataFrame) -> DataFram
     return edges.join(lost.withColumnRenamed("entity_id", "to_entity_id"), "to_entity_id", "left_anti").select(edges.columns)
 
 
+def _with_totals(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """The tables and, of each index, its row of totals."""
+    return tables | {t.replace("_lengths", "_totals"): ix.totals(rows) for t, rows in tables.items() if t.endswith("_lengths")}
+
+
 def clear_source(store: Store, source_base: str) -> int:
     """Delete a root: its pages and all that came from them. Returns how many pages went."""
     root = validate.source_base(source_base)
@@ -63,7 +68,7 @@ def clear_source(store: Store, source_base: str) -> int:
     changed |= {t: without_pages(store.read(t), gone, "url") for t in ("chunk_postings", "chunk_lengths")}
     changed |= {t: without_source(store.read(t), root) for t in ("edges", "candidates")}
     # Everything is read before anything is replaced.
-    changed = {t: cut(schema.conform(rows, t)) for t, rows in changed.items()}
+    changed = _with_totals({t: cut(schema.conform(rows, t)) for t, rows in changed.items()})
     for t, rows in changed.items():
         store.write(t, rows)
     return gone.count()
@@ -106,7 +111,7 @@ def upsert_pages(store: Store, fetched: DataFrame, source_base: str, now: int |
     tables = {"pages": over("pages", pages, "url"), "chunks": over("chunks", cut_up, "url"), "entities": entities, "params": all_params, "notes": child("notes", notes), "candidates": candidates, "edges": edges}
     tables |= {"chunk_postings": over("chunk_postings", by_chunk.postings, "url"), "chunk_lengths": over("chunk_lengths", by_chunk.lengths, "url")}
     tables |= {"entity_postings": child("entity_postings", by_entity.postings), "entity_lengths": child("entity_lengths", by_entity.lengths)}
-    tables = {t: cut(schema.conform(rows, t)) if t != "pages" else rows for t, rows in tables.items()}
+    tables = _with_totals({t: cut(schema.conform(rows, t)) if t != "pages" else rows for t, rows in tables.items()})
     pages_now = tables.pop("pages")
     store.write("pages", pages_now)
     for t, rows in tables.items():

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
@@ -54,9 +53,15 @@ def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.run(read_table(spark, sf_dir, "embeddings"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline  # it stands on this subpackage, so it is imported when it runs
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Query]:
     return {
-        "pipeline": corpus_pipeline.run,
+        "pipeline": pipeline,
         "op1_quality": op1_quality,
         "op2_token_counts": op2_token_counts,
         "op3_line_dedup": op3_line_dedup,

@@ -30,9 +30,16 @@ BATCH_BYTES = 4 << 20
 _BATCH_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
+#: Environment of Python workers, which live from task to task: large arrays go back to the system when they are freed.
+_MEMORY = {"MALLOC_MMAP_THRESHOLD_": str(4 << 20), "MALLOC_TRIM_THRESHOLD_": str(16 << 20), "MALLOC_ARENA_MAX": "2", "ARROW_DEFAULT_MEMORY_POOL": "system"}
+
+
 def workers(spark: SparkSession) -> None:
-    """Make Python workers ready: this package importable, and batches bounded in bytes, since texts can be very long."""
+    """Make Python workers ready: this package importable, memory given back, batches bounded in bytes, since texts can be very long."""
     importable(spark)
+    env = spark.sparkContext.environment
+    for name, value in _MEMORY.items():
+        env.setdefault(name, value)
     if not spark.sparkContext.getConf().contains(_BATCH_KEY):
         spark.conf.set(_BATCH_KEY, str(BATCH_BYTES))
 

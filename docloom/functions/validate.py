@@ -18,27 +18,27 @@ MAX_LINES = 5000
 def number(name: str, value: float) -> float:
     low, high = BOUNDS[name]
     if not low <= value <= high:
-        raise ValueError(f"{name} must be between {low} and {high}")
+        raise ValueError(f"{name}: {value} is outside {low} to {high}")
     return value
 
 
 def web_url(name: str, value: str) -> str:
     value = value.strip()
     if not re.match(r"https?://[^/?#]+", value):
-        raise ValueError(f"{name} must be an absolute http(s) URL")
+        raise ValueError(f"{name}: a web address with scheme and host is needed")
     return value
 
 
 def symbol(value: str) -> str:
     if not value.strip():
-        raise ValueError("symbol_name must not be empty")
+        raise ValueError("a symbol needs a name")
     return value.strip()
 
 
 def kind(value: str | None) -> str | None:
     value = (value or "").strip().lower() or None
     if value not in (None, *KINDS):
-        raise ValueError("kind must be 'class', 'method' or omitted")
+        raise ValueError(f"no such kind: {value}; there are {', '.join(KINDS)}")
     return value
 
 
@@ -46,7 +46,7 @@ def edge_types(values: list[str] | None) -> list[str] | None:
     found = list(dict.fromkeys(v.strip() for v in values or [] if v.strip()))
     for v in found:
         if v not in EDGE_TYPES:
-            raise ValueError(f"unsupported edge type: {v}")
+            raise ValueError(f"no edges are of type {v}")
     return found or None
 
 
@@ -73,7 +73,7 @@ def line_slice(start: int | None, end: int | None) -> tuple[int, int] | None:
     if start is None and end is None:
         return None
     if start is None or end is None:
-        raise ValueError("provide both start and end, or neither")
+        raise ValueError("a slice has a first and a last line")
     if start < 1 or end < start or end - start + 1 > MAX_LINES:
         raise ValueError(f"need 1 <= start <= end and at most {MAX_LINES} lines")
     return start, end

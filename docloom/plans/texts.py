@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.functions import text as tx
+from docloom.functions import validate
+from docloom.functions.session import importable
 from docloom.operators import catalog, chunks, graph, search
 from docloom.operators import query as q
 from docloom.plans import fixtures as fx
@@ -257,3 +260,38 @@ SELECT '{{"sources":[' || string_agg('{{"source_base":"' || source_base || '","p
 def status_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The listing of roots as JSON."""
     return catalog.status(_pages(spark, sf_dir))
+
+
+# --- parameters ----------------------------------------------------------------------------------------------------
+
+
+@query(
+    "checked_parameters",
+    """SELECT p_partkey, p_partkey BETWEEN 1 AND 100 AS limit_ok, p_partkey BETWEEN 1 AND 500 AS pages_ok, p_partkey <= 30 AS delay_ok, p_partkey % 3 <> 1 AS kind_ok,
+p_partkey % 4 <> 0 AS symbol_ok, p_partkey % 5 < 3 AS url_ok, p_partkey >= 1 AND p_partkey <= 1000 AS slice_ok, p_partkey % 2 = 0 AS edge_ok FROM part""",
+)
+def checked_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which parameters the checks let through, for a row of values from each part."""
+
+    def ok(check, *values) -> bool:
+        try:
+            check(*values)
+        except ValueError:
+            return False
+        return True
+
+    def rows(batches):
+        for batch in batches:
+            out = []
+            for k in batch["p_partkey"]:
+                url = ("https://a.example/x", " http://b.example ", "https://c", "ftp://d.example", "no address")[k % 5]
+                found = [ok(validate.number, "limit", k), ok(validate.number, "pages_limit", k), ok(validate.number, "delay", k), ok(validate.kind, ("class", "module", None)[k % 3])]
+                found += [ok(validate.symbol, "" if k % 4 == 0 else f" S{k} "), ok(validate.web_url, "u", url), ok(validate.line_slice, k, k * 6 - 1 + (0 if k <= 1000 else 1)), ok(validate.edge_types, [("returns", "other")[k % 2]])]
+                out.append((k, *found))
+            yield pd.DataFrame(out, columns=["p_partkey", *_CHECKS])
+
+    importable(spark)
+    return tables.read(spark, sf_dir, "part").select(F.col("p_partkey").cast("long")).mapInPandas(rows, "p_partkey long, " + ", ".join(f"{c} boolean" for c in _CHECKS))
+
+
+_CHECKS = [f"{c}_ok" for c in ("limit", "pages", "delay", "kind", "symbol", "url", "slice", "edge")]

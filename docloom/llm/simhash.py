@@ -164,16 +164,21 @@ def forest(fp: np.ndarray, rep: np.ndarray, radius: int) -> tuple[np.ndarray, np
     return rep[moved], p[moved]
 
 
-def tiled(rows: DataFrame, by: list[str], name: str, tile: int, radius: int) -> DataFrame:
+def counted(rows: DataFrame, by: list[str]) -> DataFrame:
+    """(by, total): the keys of more than one row; checkpointed."""
+    return cut(rows.groupBy(*by).agg(F.count("*").alias("total")).where("total > 1"))
+
+
+def tiled(rows: DataFrame, by: list[str], name: str, tile: int, radius: int, often: DataFrame | None = None) -> DataFrame:
     """Rows (by, ones, name, ...) with ``cell``: each row once for each tile pair that it is in.
 
     Rows that share ``by`` make one cell up to ``tile`` of them; beyond, tiles
     by population count ``ones`` and a hash of ``name``, in the pairs that the
-    radius allows.  Rows alone in their cell are left out.
+    radius allows.  Rows alone in their cell are left out.  ``often`` is
+    counted() of the rows, if it is there already.
     """
     # Checkpointed, so that both sides of the join are plain exchanges and Spark can split a hot cell.
-    often = cut(rows.groupBy(*by).agg(F.count("*").alias("total")).where("total > 1"))
-    rows = cut(rows.join(often, by))
+    rows = cut(rows.join(counted(rows, by) if often is None else often, by))
     small = rows.where(F.col("total") <= tile).withColumn("cell", F.xxhash64(*by)).drop(*by, "total")
     big = rows.where(F.col("total") > tile).drop("total")
     if big.isEmpty():

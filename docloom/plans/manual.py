@@ -184,22 +184,22 @@ def manual_link_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "manual_symbol",
-    f"""WITH {SUPPLIERS}, {OBJECTS}, x AS (SELECT o.*, string_split({BODY}, chr(10)) AS r, o.line_start + length(o.body_text) - length(replace(o.body_text, chr(10), '')) AS line_end FROM o WHERE qualname = 'm3.S10.run')
+    f"""WITH {SUPPLIERS}, {OBJECTS}, x AS (SELECT o.*, string_split({BODY}, chr(10)) AS r, o.line_start + length(o.body_text) - length(replace(o.body_text, chr(10), '')) AS line_end FROM o WHERE qualname = 'm4.S4.run')
 SELECT true AS found, qualname AS symbol_name, url AS page_url, entity_id AS url_with_anchor, kind, line_start, greatest(1, line_start - 8)::INT AS context_start, least(len(r), line_end + 16)::INT AS context_end,
 array_to_string(r[greatest(1, line_start - 8):least(len(r), line_end + 16)], chr(10)) AS context, summary FROM x""",
 )
 def manual_symbol(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A symbol with its lines of the page and the answer's fields."""
     parsed = html.parse(pages(spark, sf_dir))
-    found = catalog.lookup_symbol(None, html.entity_rows(parsed, BASE), parsed.select("url", "body"), None, BASE, "m3.S10.run")
+    found = catalog.lookup_symbol(None, html.entity_rows(parsed, BASE), parsed.select("url", "body"), None, BASE, "m4.S4.run")
     return found.select("found", "symbol_name", "page_url", "url_with_anchor", "kind", "line_start", "context_start", "context_end", "context", "summary")
 
 
-@query("manual_entity_context", f"WITH {SUPPLIERS}, {OBJECTS} SELECT entity_id, qualname, 4::INT AS n_params, 4::INT AS n_notes FROM o WHERE name = 'S10'")
+@query("manual_entity_context", f"WITH {SUPPLIERS}, {OBJECTS} SELECT entity_id, qualname, 4::INT AS n_params, 4::INT AS n_notes FROM o WHERE name = 'S4'")
 def manual_entity_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best class for a query, in full."""
     entities = _entities(spark, sf_dir)
     params, notes = html.child_tables(entities)
     index = catalog.entity_index(entities, notes, "simple")
-    found = catalog.entity_context(index, entities.drop("params", "notes", "xrefs"), params, notes, "S10", kind="class")
+    found = catalog.entity_context(index, entities.drop("params", "notes", "xrefs"), params, notes, "S4", kind="class")
     return found.select("entity_id", "qualname", F.size("params").alias("n_params"), F.size("notes").alias("n_notes"))

@@ -169,16 +169,19 @@ def counted(rows: DataFrame, by: list[str]) -> DataFrame:
     return cut(rows.groupBy(*by).agg(F.count("*").alias("total")).where("total > 1"))
 
 
-def tiled(rows: DataFrame, by: list[str], name: str, tile: int, radius: int, often: DataFrame | None = None) -> DataFrame:
-    """Rows (by, ones, name, ...) with ``cell``: each row once for each tile pair that it is in.
+def met(rows: DataFrame, by: list[str], often: DataFrame | None = None) -> DataFrame:
+    """Rows with ``total``, the rows that share ``by``; those alone are left out. ``often`` is counted() of the rows, if it is there already."""
+    # Checkpointed, so that both sides of the join are plain exchanges and Spark can split a hot cell.
+    return cut(rows.join(counted(rows, by) if often is None else often, by))
+
+
+def tiled(rows: DataFrame, by: list[str], name: str, tile: int, radius: int) -> DataFrame:
+    """Rows of met() (by, ones, name, ...) with ``cell``: each row once for each tile pair that it is in.
 
     Rows that share ``by`` make one cell up to ``tile`` of them; beyond, tiles
     by population count ``ones`` and a hash of ``name``, in the pairs that the
-    radius allows.  Rows alone in their cell are left out.  ``often`` is
-    counted() of the rows, if it is there already.
+    radius allows.
     """
-    # Checkpointed, so that both sides of the join are plain exchanges and Spark can split a hot cell.
-    rows = cut(rows.join(counted(rows, by) if often is None else often, by))
     small = rows.where(F.col("total") <= tile).withColumn("cell", F.xxhash64(*by)).drop(*by, "total")
     big = rows.where(F.col("total") > tile).drop("total")
     if big.isEmpty():
@@ -203,7 +206,8 @@ def links(classes: DataFrame, s: Settings = Settings()) -> DataFrame:
     spark = classes.sparkSession
     blocks = block_count(classes.count(), s.radius)
     cells = classes.select("fp", F.bit_count("fp").alias("ones"), F.explode(F.array(*_cells(blocks, s.radius))).alias("c"))
-    rows = tiled(cells.select("fp", "ones", "c.choice", "c.bits"), ["choice", "bits"], "fp", s.tile, s.radius).select("cell", "fp")
+    by = ["choice", "bits"]
+    rows = tiled(met(cells.select("fp", "ones", "c.choice", "c.bits"), by), by, "fp", s.tile, s.radius).select("cell", "fp")
     schema, radius = "v long, p long", s.radius
 
     def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -252,6 +256,22 @@ def named(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.withColumn("__none", key.isNull()).withColumn("__id", F.coalesce(key, F.lit(0))).withColumn("__h", F.xxhash64(f"`{text_col}`"))
 
 
+#: Size of the sieves.
+BUCKETS = 1 << 22
+
+
+def sieve(keys: DataFrame, column: str) -> np.ndarray:
+    """Which of BUCKETS buckets any key is in, from one word of 64 bits for each 64 buckets.
+
+    It only spares rows that nothing wants, so its fixed size is no limit.
+    """
+    bucket = keys.select(F.pmod(column, F.lit(BUCKETS)).alias("b"))
+    words = bucket.groupBy(F.shiftright("b", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b & 63 as int))")).alias("word")).toArrow()
+    bits = np.zeros(BUCKETS // 64, np.int64)
+    bits[words.column("at").to_numpy()] = words.column("word").to_numpy()
+    return np.unpackbits(bits.view(np.uint8), bitorder="little").astype(bool)
+
+
 def one_each(rows: DataFrame, cols: list[str], least: DataFrame, found: DataFrame) -> DataFrame:
     """Of the rows of named(), the least of each component. ``least``: (key, r), each class and its least row; ``found``: stars of keys."""
     kept = least.join(found.withColumnRenamed("v", "key"), "key", "left").groupBy(F.coalesce("p", "key")).agg(F.min("r").alias("r")).select("r.*")

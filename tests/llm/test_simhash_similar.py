@@ -5,10 +5,12 @@ import re
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
 from docloom.llm import simhash as sh
 from docloom.llm import simhash_similar as nc
+from docloom.llm.runtime import cut
 
 SIMILAR = sh.Settings(words=5, radius=30, percent=80)
 
@@ -101,6 +103,71 @@ def test_pipeline_stage_links_at_four_fifths(spark, sf):
     assert [r.doc_id for r in dict(cp.STAGES)["simhash"](spark, docs, sf).collect()] == [1]
 
 
+def related(rng, groups, members, words):
+    """Groups of documents that share more than half of their shingles and yet are no near copies."""
+    for _ in range(groups):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(words)]
+        for _ in range(members):
+            yield " ".join(w if i % 20 else f"edit{rng.randrange(10**9)}" for i, w in enumerate(base))
+
+
+def cells_of(spark, texts):
+    rows = sh.named(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8), "doc_id", "text")
+    groups = cut(nc._marks(rows, "text", ["__id"], SIMILAR))
+    cells, ends = nc._cells(groups, SIMILAR)
+    return cut(cells.repartition(16)), ends, groups
+
+
+def test_pairs_to_verify_do_not_grow_with_the_square_of_a_group(spark, monkeypatch):
+    """Documents that are related, but no near copies, are told apart in their cells, long ones too."""
+    monkeypatch.setattr(nc, "OFTEN", 10**6)
+    rng, seen, similar = random.Random(5), [], nc._similar
+    texts = [*related(rng, 2, 40, 200), *related(rng, 1, 40, 6000)]
+    cells, ends, groups = cells_of(spark, texts)
+    assert max(r["count"] for r in cells.groupBy("cell").count().collect()) >= 30
+    some = cut(nc._partnered(cells, ends, SIMILAR))
+    assert 0 < some.count() <= cells.count()
+    assert nc._offers(some, groups, None, 0, SIMILAR).isEmpty()
+    monkeypatch.setattr(nc, "_similar", lambda rows, text_col, least, pairs, s: seen.append(pairs.count()) or similar(rows, text_col, least, pairs, s))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sh.keep_one(docs, s=SIMILAR).count() == len(texts) and sum(seen) == 0
+
+
+def test_labels_lose_no_pair(spark):
+    """A later round reads whole cells, however the joins before it deal them: with no two classes labelled alike it finds all pairs."""
+    rng = random.Random(6)
+    texts = [" ".join(edited(rng, base, 1)) for base in ([f"w{rng.randrange(10**6)}" for _ in range(150)] for _ in range(40)) for _ in range(6)]
+    cells, ends, groups = cells_of(spark, texts)
+    labels = spark.createDataFrame([], "v long, p long")
+    key = {r["__id"]: r.key for r in groups.select("__id", "key").collect()}
+    sets = [shingles(t) for t in texts]
+    similar = {
+        (max(key[i], key[j]), min(key[i], key[j])) for i in range(len(texts)) for j in range(i) if i // 6 == j // 6 and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])
+    }
+    some = cut(nc._partnered(cells, ends, SIMILAR))
+    # The nearest alone, and then the rows held back, give all pairs too.
+    first = cut(nc._offers(some, groups, labels, 1, SIMILAR))
+    held = some.join(first.where("p is null").select("cell", F.col("v").alias("key")), ["cell", "key"], "left_semi")
+    two = first.where("p is not null").unionByName(nc._offers(held, groups, labels, 0, SIMILAR))
+    for table in (nc._offers(some, groups, None, 0, SIMILAR), nc._offers(some, groups, labels, 0, SIMILAR), two):
+        assert len(similar) > 300 and similar <= {(r.v, r.p) for r in table.collect()}
+
+
+def test_bitmaps():
+    """A bitmap folds to the smaller one, and never differs in more bits than the sets do."""
+    rng = np.random.default_rng(4)
+    sets = [rng.integers(0, 1 << 64, n, np.uint64) for n in (0, 3, 400, 700, 5000)] + [rng.integers(0, 1 << 64, 5000, np.uint64)]
+    sets.append(np.concatenate((sets[3], sets[2])))
+    raw = np.array([nc._parity(x) for x in sets], object)
+    assert len({len(x) for x in raw}) == 4 and len(nc._parity(np.arange(1 << 20, dtype=np.uint64))) == nc.PARITY_MOST // 8
+    a, b = np.array([(i, j) for i in range(len(sets)) for j in range(len(sets))]).T
+    found = nc.Bitmaps(raw).apart(a, b)
+    for i, j, bits in zip(a, b, found):
+        n = min(len(raw[i]), len(raw[j])) * 8
+        odd = np.bincount(np.concatenate((sets[i], sets[j])) % np.uint64(n), minlength=n) & 1
+        assert bits == odd.sum() <= len(np.setxor1d(sets[i], sets[j]))
+
+
 def test_sets():
     texts = [t for _, t in corpus()] + ["nul\x00inside is one word here"]
     found = nc.shingle_sets(pa.array(texts, pa.string()), 5)

@@ -275,8 +275,21 @@ def sieve(keys: DataFrame, column: str) -> np.ndarray:
 def one_each(rows: DataFrame, cols: list[str], least: DataFrame, found: DataFrame) -> DataFrame:
     """Of the rows of named(), the least of each component. ``least``: (key, r), each class and its least row; ``found``: stars of keys."""
     kept = least.join(found.withColumnRenamed("v", "key"), "key", "left").groupBy(F.coalesce("p", "key")).agg(F.min("r").alias("r")).select("r.*")
+    kept = cut(kept)
+    # Most rows stay and are alone; those that a sieve can tell never reach the shuffle, which carries whole texts.
+    doubtful = rows.groupBy(*ROW).agg(F.count("*").alias("n")).join(kept.withColumn("kept", F.lit(True)), ROW, "left").where("n > 1 or kept is null")
+    shared = rows.sparkSession.sparkContext.broadcast(sieve(doubtful.select(F.xxhash64(*ROW).alias("w")), "w"))
+
+    @F.pandas_udf(T.BooleanType())
+    def passes(w: pd.Series) -> pd.Series:
+        return pd.Series(shared.value[w.to_numpy() % BUCKETS])
+
+    workers(rows.sparkSession)
+    out = [F.col(f"`{c}`") for c in cols]
+    rows = rows.withColumn("__in", passes(F.xxhash64(*ROW)))
     once = Window.partitionBy(*ROW).orderBy("__h")
-    return rows.join(kept, ROW, "left_semi").withColumn("__n", F.row_number().over(once)).where("__n = 1").select(*[F.col(f"`{c}`") for c in cols])
+    some = rows.where("__in").join(kept, ROW, "left_semi").withColumn("__n", F.row_number().over(once)).where("__n = 1")
+    return rows.where("not __in").select(*out).unionByName(some.select(*out))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s: Settings = Settings()) -> DataFrame:

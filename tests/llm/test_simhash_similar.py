@@ -133,6 +133,28 @@ def test_pairs_to_verify_do_not_grow_with_the_square_of_a_group(spark, monkeypat
     assert sh.keep_one(docs, s=SIMILAR).count() == len(texts) and sum(seen) == 0
 
 
+def test_small_sieves_lose_nothing(spark, monkeypatch):
+    """Sieves so full that nearly all passes give the same rows."""
+    for module in (sh, nc):
+        monkeypatch.setattr(module, "BUCKETS", 64)
+    rows = corpus()
+    kept = sh.keep_one(spark.createDataFrame(rows, "doc_id long, text string"), s=SIMILAR)
+    assert sorted(r.doc_id for r in kept.collect()) == brute(rows)
+
+
+def test_texts_that_stay_are_not_shuffled(spark, monkeypatch):
+    monkeypatch.setattr(nc, "SAMPLE", 1)
+    rng = random.Random(7)
+    rows = [(i, " ".join(rng.randbytes(500).hex() for _ in range(30))) for i in range(100)]
+    rows.append((100, rows[3][1] + " end"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").localCheckpoint()
+    written = lambda: spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+    before = written()
+    kept = sh.keep_one(docs, s=SIMILAR)
+    assert sorted(r.doc_id for r in kept.collect()) == list(range(100))
+    assert written() - before < sum(len(t) for _, t in rows) / 4
+
+
 def test_labels_lose_no_pair(spark):
     """A later round reads whole cells, however the joins before it deal them: with no two classes labelled alike it finds all pairs."""
     rng = random.Random(6)

@@ -32,8 +32,12 @@ def best_line(chunk: Column, query: str) -> Column:
 
     Lines are those of the stripped chunk, stripped; the offset counts from 0.
     """
+    return best_row(F.transform(tx.lines(tx.strip(chunk)), tx.strip), query)
+
+
+def best_row(rows: Column, query: str) -> Column:
+    """Struct (line, offset): the same of an array of stripped lines; without one that isn't empty, the empty line and no offset."""
     words = q.needles(query)
-    rows = F.transform(tx.lines(tx.strip(chunk)), tx.strip)
     scored = F.transform(rows, lambda r, i: F.struct(_matches(r, words).alias("score"), F.length(r).alias("size"), (-i).alias("before"), F.substring(r, 1, SNIPPET).alias("line")))
     top = F.array_max(F.filter(scored, lambda s: s.size > 0))
     return F.struct(F.coalesce(top.line, F.lit("")).alias("line"), (-top.before).alias("offset"))

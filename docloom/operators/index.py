@@ -45,23 +45,42 @@ def totals(lengths: DataFrame) -> DataFrame:
     return lengths.agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
 
 
+def _grouped(parts: Column) -> Column:
+    """Array of (token, positions) of the parts (base, tokens) of one row: tokens are sorted, and each run of equal ones is cut out."""
+    at = F.flatten(F.transform(parts, lambda p: F.transform(p.tokens, lambda t, i: F.struct(t.alias("token"), (p.base + i).alias("at")))))
+    # Sorted once, in a place of its own, since the cuts refer to it again and again.
+    return F.transform(F.array(F.sort_array(at)), _runs)[0]
+
+
+def _runs(seen: Column) -> Column:
+    begins = F.filter(F.transform(seen, lambda x, i: F.when((i == 0) | (F.get(seen, i - 1).token != x.token), i)), lambda i: i.isNotNull())
+
+    def cut_out(begins: Column) -> Column:
+        def run(i: Column, k: Column) -> Column:
+            part = F.slice(seen, i + 1, F.coalesce(F.get(begins, k + 1), F.size(seen)) - i)
+            return F.struct(F.get(seen, i).token.alias("token"), F.transform(part, lambda x: x["at"]).alias("positions"))
+
+        return F.transform(begins, run)
+
+    return F.transform(F.array(begins), cut_out)[0]
+
+
 def build(rows: DataFrame, keys: list[str], columns: list[str], analyzer: str = "english") -> Index:
-    """Index rows by their text columns."""
+    """Index rows, each of keys of its own, by their text columns.
+
+    A row's postings are made where the row is, so that occurrences are never shuffled.
+    """
     parts = F.array(*[F.struct(F.lit(i * COLUMN_STEP).alias("base"), analyze.tokens(F.col(c)).alias("tokens")) for i, c in enumerate(columns)])
     length = F.aggregate("parts", F.lit(0).cast("long"), lambda n, p: n + F.size(p.tokens))
     tokenised = rows.select(*keys, parts.alias("parts")).select(*keys, length.alias("length"), "parts")
     lengths = tokenised.select(*keys, "length")
-    tokenised = tokenised.select(*keys, "length", F.explode("parts").alias("p"))
-    seen = tokenised.select(*keys, "length", F.col("p.base").alias("base"), F.posexplode("p.tokens").alias("pos", "token"))
-    seen = seen.select(*keys, "length", "token", (F.col("base") + F.col("pos")).alias("at"))
+    postings = tokenised.select(*keys, "length", F.explode(_grouped(F.col("parts"))).alias("p")).select(F.col("p.token").alias("term"), *keys, "length", "p.positions")
     if analyzer == "english":
         importable(rows.sparkSession)
-        # Stems of the distinct vocabulary, joined back.
-        vocabulary = seen.select("token").distinct().withColumn("term", analyze.english_terms("token"))
-        seen = seen.join(vocabulary, "token")
-    else:
-        seen = seen.withColumnRenamed("token", "term")
-    postings = seen.groupBy("term", *keys, "length").agg(F.sort_array(F.collect_list("at")).alias("positions"))
+        # Stems of the distinct vocabulary, joined back; a row's tokens of one stem are put together.
+        vocabulary = postings.select(F.col("term").alias("token")).distinct().withColumn("term", analyze.english_terms("token"))
+        stemmed = postings.withColumnRenamed("term", "token").join(vocabulary, "token")
+        postings = stemmed.groupBy("term", *keys, "length").agg(F.sort_array(F.flatten(F.collect_list("positions"))).alias("positions"))
     return Index(postings, lengths, tuple(keys), tuple(columns), analyzer)
 
 

@@ -45,3 +45,11 @@ def test_kept_totals_are_those_of_the_lengths(spark):
     plan = ix.Plan.of([query.Stage((), ("two",))], "simple")
     ranks = lambda i: sorted((r.k, r["rank"]) for r in ix.match(ix.look_up(i, plan), plan).collect())
     assert ranks(kept) == ranks(index) and len(ranks(kept)) == 3
+
+
+def test_postings_are_made_without_a_shuffle(spark):
+    rows = spark.createDataFrame([(1, "b a b", "a"), (2, "", None), (3, None, "b")], "k long, t string, u string")
+    postings = ix.build(rows, ["k"], ["t", "u"], "simple").postings
+    found = sorted((r.term, r.k, r.length, r.positions) for r in postings.collect())
+    assert found == [("a", 1, 4, [1, ix.COLUMN_STEP]), ("b", 1, 4, [0, 2]), ("b", 3, 1, [ix.COLUMN_STEP])]
+    assert "Exchange" not in postings._jdf.queryExecution().executedPlan().toString()

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.operators import catalog, graph
+from docloom.operators.store import cut
 from docloom.plans.book import query
 from docloom.sources import html, tables
 
@@ -34,7 +35,7 @@ SUPPLIERS = f"s AS (SELECT {', '.join(f'({v})::VARCHAR AS {k}' for k, v in _FIEL
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(url, html) of the manual."""
+    """(url, html) of the manual. A supplier of some 20 bytes becomes a page of 2 KB."""
     values = [F.expr(v).cast("string") for v in _FIELDS.values()]
     text, order = _PAGE.replace("{{", "\x01").replace("}}", "\x02"), list(_FIELDS)
     parts: list = []
@@ -44,11 +45,12 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         parts += [F.lit(head), values[order.index(name)]]
     page = F.concat(*parts, F.lit(text))
     page = F.translate(page, "\x01\x02", "{}")
-    return tables.read(spark, sf_dir, "supplier").select(F.concat(F.lit(BASE + "s"), F.col("s_suppkey").cast("string"), F.lit(".html")).alias("url"), page.alias("html"))
+    return tables.read(spark, sf_dir, "supplier", weight=100).select(F.concat(F.lit(BASE + "s"), F.col("s_suppkey").cast("string"), F.lit(".html")).alias("url"), page.alias("html"))
 
 
 def _entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html.entity_rows(html.parse(pages(spark, sf_dir)), BASE)
+    """The manual's entities; each page is read once, whatever refers to them."""
+    return cut(html.entity_rows(cut(html.parse(pages(spark, sf_dir))), BASE))
 
 
 _SIGNATURE = "'class S' || k || '(key: int, *rest, size = ' || z || ')'"
@@ -190,7 +192,7 @@ array_to_string(r[greatest(1, line_start - 8):least(len(r), line_end + 16)], chr
 )
 def manual_symbol(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A symbol with its lines of the page and the answer's fields."""
-    parsed = html.parse(pages(spark, sf_dir))
+    parsed = cut(html.parse(pages(spark, sf_dir)))
     found = catalog.lookup_symbol(None, html.entity_rows(parsed, BASE), parsed.select("url", "body"), None, BASE, "m4.S4.run")
     return found.select("found", "symbol_name", "page_url", "url_with_anchor", "kind", "line_start", "context_start", "context_end", "context", "summary")
 

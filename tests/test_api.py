@@ -1,5 +1,7 @@
 import pytest
 
+from pyspark.sql import functions as F
+
 from docloom.api import Engine
 
 ROOT = "https://d.example/en/"
@@ -47,3 +49,20 @@ def test_bad_parameters(engine):
     for call in (lambda: engine.search("x", 0), lambda: engine.fetch("x"), lambda: engine.lookup_symbol(ROOT, " "), lambda: engine.related_symbols(ROOT, "Bot", ["likes"]), lambda: engine.fetch(ROOT, 3, 2)):
         with pytest.raises(ValueError):
             call()
+
+
+def test_a_manual_is_read_once(spark, monkeypatch):
+    """A query that refers to the entities again and again reads no page twice, and in as many tasks as there are cores."""
+    from docloom.plans import manual
+    from docloom.sources import html
+
+    read = spark.sparkContext.accumulator(0)
+    own = html.parse
+
+    def counted(pages):
+        return own(pages.where(F.udf(lambda u: (read.add(1), True)[1], "boolean")("url")))
+
+    monkeypatch.setattr(html, "parse", counted)
+    assert manual.pages(spark, "/root/testdata/sf0.1").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert len(manual.manual_entity_context(spark, "/root/testdata/sf0.01").collect()) == 1
+    assert read.value == spark.read.parquet("/root/testdata/sf0.01/supplier.parquet").count()

@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from docloom.functions import schema
 from docloom.functions import text as tx
-from docloom.functions.session import importable
+from docloom.functions.session import workers
 
 # --- names -------------------------------------------------------------------
 
@@ -148,7 +148,7 @@ def mention_list(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 def text_candidates(entities: DataFrame, notes: DataFrame) -> DataFrame:
     """Candidates that the texts and notes of entities state in words."""
-    importable(entities.sparkSession)
+    workers(entities.sparkSession)
     place = ["source_base", "page_url", "entity_id", "line_start", "line_end"]
     number = F.col("ord") if "ord" in notes.columns else F.lit(0)
     own = entities.select(*place, F.lit(-1).alias("part"), F.col("body_text").alias("text"))

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.functions import analyze
-from docloom.functions.session import importable
+from docloom.functions.session import workers
 from docloom.operators.query import Stage
 
 K1, B = 1.2, 0.75
@@ -76,7 +76,7 @@ def build(rows: DataFrame, keys: list[str], columns: list[str], analyzer: str =
     lengths = tokenised.select(*keys, "length")
     postings = tokenised.select(*keys, "length", F.explode(_grouped(F.col("parts"))).alias("p")).select(F.col("p.token").alias("term"), *keys, "length", "p.positions")
     if analyzer == "english":
-        importable(rows.sparkSession)
+        workers(rows.sparkSession)
         # Stems of the distinct vocabulary, joined back; a row's tokens of one stem are put together.
         vocabulary = postings.select(F.col("term").alias("token")).distinct().withColumn("term", analyze.english_terms("token"))
         stemmed = postings.withColumnRenamed("term", "token").join(vocabulary, "token")

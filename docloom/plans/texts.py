@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions import text as tx
 from docloom.functions import validate
-from docloom.functions.session import importable
+from docloom.functions.session import workers
 from docloom.operators import catalog, chunks, graph, search
 from docloom.operators import query as q
 from docloom.plans import fixtures as fx
@@ -290,7 +290,7 @@ def checked_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
                 out.append((k, *found))
             yield pd.DataFrame(out, columns=["p_partkey", *_CHECKS])
 
-    importable(spark)
+    workers(spark)
     return tables.read(spark, sf_dir, "part").select(F.col("p_partkey").cast("long")).mapInPandas(rows, "p_partkey long, " + ", ".join(f"{c} boolean" for c in _CHECKS))
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docloom.functions import urls
-from docloom.functions.session import importable
+from docloom.functions.session import workers
 
 _ANCHOR = r"""(?i)<a\s(?:[^>]*?\s)?href\s*=\s*["']([^"'>]*)["']"""
 _RELATED = r"""(?i)<link\s[^>]*>"""
@@ -31,7 +31,7 @@ def page_links(pages: DataFrame) -> DataFrame:
 
 def same_site_links(pages: DataFrame, site: Column, prefix: Column) -> DataFrame:
     """Pages' links, made absolute, that stay under a path of a site and look like pages: adds ``link`` and ``pos``."""
-    importable(pages.sparkSession)
+    workers(pages.sparkSession)
     found = page_links(pages.withColumns({"__site": site, "__prefix": prefix}))
     unescaped = F.replace("href", F.lit("&amp;"), F.lit("&"))
     found = found.withColumn("link", urls.page_url(urls.join(F.col("url"), unescaped)))
@@ -156,7 +156,7 @@ def _location_list(xml: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 def sitemap_locations(maps: DataFrame, column: str) -> DataFrame:
     """Sitemaps with ``loc`` and ``nested`` (true: the location is a further sitemap)."""
-    importable(maps.sparkSession)
+    workers(maps.sparkSession)
     return maps.select("*", F.explode(_location_list(column)).alias("l")).select("*", "l.loc", "l.nested").drop("l", column)
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.functions import schema, validate
-from docloom.functions.session import importable
+from docloom.functions.session import workers
 from docloom.operators import catalog, chunks, graph
 from docloom.operators import index as ix
 from docloom.operators.store import Store, cut
@@ -89,7 +89,7 @@ def upsert_pages(store: Store, fetched: DataFrame, source_base: str, now: int |
     params, notes = html.child_tables(found)
     links = graph.link_candidates(found)
     gone = cut(parsed.select("url"))
-    importable(store.spark)
+    workers(store.spark)
 
     old = store.read("entities")
     old_here = old.join(gone.withColumnRenamed("url", "page_url"), "page_url", "left_semi")

@@ -185,3 +185,10 @@ def test_frontier_is_breadth_first(spark):
     found = crawl.frontier(links, 0).orderBy("depth", "found_at").collect()
     assert [(r.page, r.depth) for r in found] == [(0, 0), (2, 1), (1, 1), (4, 2), (3, 2), (5, 3)]
     assert crawl.frontier(links, 0, max_pages=3).count() == 3
+
+
+def test_python_gets_small_batches(spark):
+    """Batches are bounded in bytes, and so few pages are held read at a time."""
+    pages = spark.range(1).select(html.F.lit("https://d.example/x").alias("url"), html.F.lit("<p>x</p>").alias("html"))
+    html.parse(pages)
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= 4 << 20

@@ -68,3 +68,23 @@ def test_readers_see_whole_snapshots(spark, store):
     for n in range(4):
         store.write("pages", rows.selectExpr("url", f"'{n}' as title", "body", "source_base", "fetched_at"))
     assert store.read("pages").first().title == "3" and len(store._snapshots("pages")) == 2
+
+
+def test_a_store_is_written_without_broadcasts(spark, tmp_path, monkeypatch):
+    """Its tables grow together, so none goes through the driver; the session's threshold stays as it was."""
+    keys = ["spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"]
+    before, seen, own = [spark.conf.get(k, None) for k in keys], [], ingest.cut
+
+    def watched(df):
+        seen.append(df._jdf.queryExecution().executedPlan().toString())
+        return own(df)
+
+    monkeypatch.setattr(ingest, "cut", watched)
+    store = Store(spark, str(tmp_path / "store"))
+    page = '<div class="rst-content"><dl class="py class"><dt id="m.A">class <span class="descname">A</span></dt><dd><p>must be used with A</p></dd></dl></div>'
+    pages = spark.createDataFrame([(f"https://d.example/{i}.html", page) for i in range(3)], "url string, html string")
+    ingest.upsert_pages(store, pages, "https://d.example/", 1)
+    ingest.rebuild_graph(store, "https://d.example/")
+    ingest.clear_source(store, "https://d.example/")
+    assert len(seen) > 10 and not any("Broadcast" in plan for plan in seen)
+    assert [spark.conf.get(k, None) for k in keys] == before

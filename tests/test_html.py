@@ -187,6 +187,27 @@ def test_frontier_is_breadth_first(spark):
     assert crawl.frontier(links, 0, max_pages=3).count() == 3
 
 
+def test_pages_that_were_read_are_freed(monkeypatch):
+    """Trees know their parents; none waits for Python to look for cycles."""
+    import gc
+    import weakref
+
+    trees, own = [], html.tree
+
+    def watched(page):
+        root = own(page)
+        trees.append(weakref.ref(root.elements[0]))
+        return root
+
+    monkeypatch.setattr(html, "tree", watched)
+    gc.disable()
+    try:
+        html.read_page("<main><p>one</p><dl class='py class'><dt id='a'>class a</dt><dd>b</dd></dl></main>", "https://d.example/x")
+        assert [t() for t in trees] == [None]
+    finally:
+        gc.enable()
+
+
 def test_python_gets_small_batches(spark):
     """Batches are bounded in bytes, and so few pages are held read at a time."""
     pages = spark.range(1).select(html.F.lit("https://d.example/x").alias("url"), html.F.lit("<p>x</p>").alias("html"))

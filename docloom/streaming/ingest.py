@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.functions import schema, validate
-from docloom.functions.session import workers
+from docloom.functions.session import shuffled_joins, workers
 from docloom.operators import catalog, chunks, graph
 from docloom.operators import index as ix
 from docloom.operators.store import Store, cut
@@ -59,6 +59,11 @@ def _with_totals(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
 def clear_source(store: Store, source_base: str) -> int:
     """Delete a root: its pages and all that came from them. Returns how many pages went."""
     root = validate.source_base(source_base)
+    with shuffled_joins(store.spark):
+        return _clear(store, root)
+
+
+def _clear(store: Store, root: str) -> int:
     pages = store.read("pages")
     gone = cut(pages.where(F.col("source_base") == root).select("url"))
     entities = store.read("entities")
@@ -82,9 +87,15 @@ def upsert_pages(store: Store, fetched: DataFrame, source_base: str, now: int |
     went are dropped.
     """
     root = validate.source_base(source_base)
+    # The batch of a stream has a session of its own.
+    with shuffled_joins(store.spark), shuffled_joins(fetched.sparkSession):
+        _upsert(store, fetched, root, now or int(time.time()))
+
+
+def _upsert(store: Store, fetched: DataFrame, root: str, now: int) -> None:
     batch = fetched.groupBy("url").agg(F.max("html").alias("html")) if "seq" not in fetched.columns else latest(fetched, ["url"], "seq")
     parsed = cut(html.parse(batch.select("url", "html")))
-    pages = html.page_rows(parsed, root, now or int(time.time()))
+    pages = html.page_rows(parsed, root, now)
     found = cut(html.entity_rows(parsed, root))
     params, notes = html.child_tables(found)
     links = graph.link_candidates(found)
@@ -121,6 +132,11 @@ def upsert_pages(store: Store, fetched: DataFrame, source_base: str, now: int |
 def rebuild_graph(store: Store, source_base: str) -> None:
     """Resolve all candidates of a root again and replace the edges that came from candidates."""
     root = validate.source_base(source_base)
+    with shuffled_joins(store.spark):
+        _rebuild(store, root)
+
+
+def _rebuild(store: Store, root: str) -> None:
     edges, own = store.read("edges"), store.read("entities").where(F.col("source_base") == root)
     stale = (F.col("source_base") == root) & F.col("source_kind").isin("xref", "text_inference")
     again = graph.resolved_edges(store.read("candidates").where(F.col("source_base") == root), own)
